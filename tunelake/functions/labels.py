@@ -11,37 +11,42 @@ RANGE = "range"      # 0-10% ... 90-100%
 PADDED = "padded"    # 00% to 10% ... 90% to 100%
 WORDS = "words"      # extremely low ... extremyly high
 
-# The two range patterns.
-RANGE_PATTERN = r"^(\d{1,2})-(\d{2,3})%$"
-PADDED_PATTERN = r"^(\d{2})% to (\d{2,3})%$"
-
-
-def bucket_label(decile: Column, style: str = RANGE) -> Column:
-    """Text of a decile; a decile outside the scale has no label."""
-    lower, upper = (decile * 10).cast("string"), ((decile + 1) * 10).cast("string")
+def labels_of(style: str) -> list[str]:
+    """The labels of a spelling, in scale order."""
+    lows = [i * 100 // N_BUCKETS for i in range(N_BUCKETS)]
+    step = 100 // N_BUCKETS
     if style == RANGE:
-        text = F.concat(lower, F.lit("-"), upper, F.lit("%"))
-        return F.when(decile.between(0, N_BUCKETS - 1), text)
+        return [f"{low}-{low + step}%" for low in lows]
     if style == PADDED:
-        text = F.concat(F.lpad(lower, 2, "0"), F.lit("% to "), upper, F.lit("%"))
-        return F.when(decile.between(0, N_BUCKETS - 1), text)
+        return [f"{low:02d}% to {low + step}%" for low in lows]
     if style == WORDS:
-        return F.get(F.array(*[F.lit(w) for w in SCALE_WORDS]), decile)
+        return SCALE_WORDS
     raise ValueError(f"unknown label style {style!r}")
 
 
+def _scale(style: str) -> Column:
+    return F.array(*[F.lit(text) for text in labels_of(style)])
+
+
+def bucket_label(decile: Column, style: str = RANGE) -> Column:
+    """Text of a decile; a decile outside the scale has no label."""
+    return F.get(_scale(style), decile)
+
+
+def _place(scale: Column, label: Column) -> Column:
+    return F.nullif(F.array_position(scale, label), F.lit(0)) - 1
+
+
+def range_bucket(label: Column) -> Column:
+    """Decile of a plain range label, or null."""
+    return _place(_scale(RANGE), label).cast("int")
+
+
 def label_bucket(label: Column) -> Column:
     """Decile of a label in either range spelling; null for anything else."""
-    text = F.coalesce(label, F.lit(""))
-    start = F.when(text.rlike(RANGE_PATTERN), F.regexp_extract(text, RANGE_PATTERN, 1)).when(
-        text.rlike(PADDED_PATTERN), F.regexp_extract(text, PADDED_PATTERN, 1)
-    )
-    decile = F.floor(start.cast("int") / 10).cast("int")
-    spelled = (bucket_label(decile, RANGE) == text) | (bucket_label(decile, PADDED) == text)
-    return F.when(spelled, decile)
+    return F.coalesce(range_bucket(label), _place(_scale(PADDED), label).cast("int"))
 
 
 def word_bucket(label: Column) -> Column:
     """Position of a label on the nine-word scale, or null."""
-    place = F.array_position(F.array(*[F.lit(w) for w in SCALE_WORDS]), label)
-    return F.when(place > 0, (place - 1).cast("int"))
+    return _place(_scale(WORDS), label).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,17 +28,32 @@ def normalize_raw(value: Column, lo, hi) -> Column:
 
 
 def bucket(position: Column) -> Column:
-    """Decile 0..9 of a position in [0, 1]; the upper edge belongs to the last."""
+    """Decile 0..9 of a position in [0, 1] by its percent; the upper edge belongs to the last."""
     return F.least(F.floor(position * 100 / 10), F.lit(N_BUCKETS - 1)).cast("int")
 
 
-def bucket_by_threshold(position: Column) -> Column:
-    """Decile 0..9 by comparing with the edges 0.1, 0.2, ..., 0.9."""
+def bucket_by_threshold(position: str) -> Column:
+    """Decile 0..9 of a position column by comparing with the edges 0.1, 0.2, ..., 0.9.
+
+    Differs from `bucket` for the doubles right below some edges, whose percent rounds
+    up to the edge. Takes a column name: a computed position is compared nine times.
+    """
+    return F.expr(threshold_case(position, [str(i) for i in range(N_BUCKETS)]))
+
+
+def threshold_case(position: str, results: Sequence[str]) -> str:
+    """SQL text of the decile comparison of a column with one result per decile; null stays null."""
     edges = [i / N_BUCKETS for i in range(1, N_BUCKETS)]
-    out = F.when(position < edges[0], F.lit(0))
-    for i, edge in enumerate(edges[1:], start=1):
-        out = out.when(position < edge, F.lit(i))
-    return out.otherwise(F.lit(N_BUCKETS - 1))
+    whens = " ".join(f"WHEN {position} < {e!r}D THEN {r}" for e, r in zip(edges, results))
+    return f"CASE {whens} WHEN {position} IS NOT NULL THEN {results[-1]} END"
+
+
+def clip_text(value: str, lo: float, hi: float) -> str:
+    """SQL text of `normalize_clip` for a column with constant limits."""
+    if hi == lo:
+        return f"if({value} IS NULL, NULL, 0.0D)"
+    clipped = f"least(greatest(cast({value} AS double), {lo!r}D), {hi!r}D)"
+    return f"if({value} IS NULL, NULL, ({clipped} - {lo!r}D) / {hi - lo!r}D)"
 
 
 def decode_bucket(decile: Column, lo: Column, hi: Column, default: Column, kind: Column) -> Column:

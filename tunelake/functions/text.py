@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 STATEMENT_BREAK = r"[;\n]+"
 
 
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build(value)` with the value computed once, however often `build` uses it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Text without white space at both ends, Unicode spaces and line ends included."""
     return F.regexp_replace(text, EDGE_SPACE, "")
@@ -74,8 +81,8 @@ def humanize_cost(c: Column) -> Column:
 
 def metrics_text(values: Column) -> Column:
     """`name: value; ` for each of the 14 counters of an array."""
-    names = F.array(*[F.lit(n) for n in METRIC_NAMES])
-    parts = F.zip_with(names, values, lambda n, v: F.concat(n, F.lit(": "), humanize_metric(v), F.lit("; ")))
+    names = F.array(*[F.lit(f"{n}: ") for n in METRIC_NAMES])
+    parts = F.zip_with(names, values, lambda n, v: F.concat(n, humanize_metric(v), F.lit("; ")))
     return F.array_join(parts, "")
 
 
@@ -86,15 +93,14 @@ def feature_text(size: Column, ratios: list[Column]) -> Column:
     return F.concat(*parts)
 
 
-def json_object_text(entries: Column) -> Column:
-    """Indented JSON object from an array of structs (name, text of the JSON value).
+def json_object_text(*lines: Column) -> Column:
+    """Indented JSON object from `"name": value` lines (texts or arrays of them); null lines are left out."""
+    text = F.concat(F.lit("{\n  "), F.concat_ws(",\n  ", *lines), F.lit("\n}"))
+    return F.replace(text, F.lit("{\n  \n}"), F.lit("{}"))
 
-    Entries with a null value are left out.
-    """
-    kept = F.filter(entries, lambda e: e["text"].isNotNull())
-    lines = F.transform(kept, lambda e: F.concat(F.lit('  "'), e["name"], F.lit('": '), e["text"]))
-    body = F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
-    return F.when(F.size(kept) == 0, F.lit("{}")).otherwise(body)
+
+def json_line(name: str, text: Column) -> Column:
+    return F.concat(F.lit(f'"{name}": '), text)
 
 
 def json_string(text: Column) -> Column:
@@ -104,10 +110,8 @@ def json_string(text: Column) -> Column:
 
 def metrics_json(values: Column) -> Column:
     """The 14 counters of an array as an indented JSON object."""
-    names = F.array(*[F.lit(n) for n in METRIC_NAMES])
-    return json_object_text(
-        F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), float_text(v).alias("text")))
-    )
+    names = F.array(*[F.lit(f'"{n}": ') for n in METRIC_NAMES])
+    return json_object_text(F.zip_with(names, values, lambda n, v: F.concat(n, float_text(v))))
 
 
 def metrics_map(values: Column) -> Column:
@@ -122,18 +126,22 @@ def extract_json_object(text: Column) -> Column:
     The text is parsed inside an array so that trailing data is noticed, and of
     repeated keys the last one counts.
     """
-    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     parsed = F.from_json(
-        F.concat(F.lit("["), body, F.lit("]")),
+        F.concat(F.lit("["), F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("]")),
         "array<map<string,string>>",
         {"allowSingleQuotes": "false"},
     )
-    entries = F.map_entries(F.get(parsed, F.lit(0)))
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]),
-    )
-    return F.when((body != "") & (F.size(parsed) == 1), F.map_from_entries(last))
+
+    def put(done, entry):
+        rest = F.map_filter(done, lambda k, _: k != entry["key"])
+        return F.map_concat(rest, F.create_map(entry["key"], entry["value"]))
+
+    def only(objects):
+        entries = F.map_entries(F.get(objects, F.lit(0)))
+        empty = F.create_map().cast("map<string,string>")
+        return F.when(F.size(objects) == 1, F.aggregate(entries, empty, put))
+
+    return bind(parsed, only)
 
 
 def workload_database(path: Column) -> Column:

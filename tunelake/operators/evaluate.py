@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunelake.catalog import renamed
 from tunelake.constants import N_BUCKETS
-from tunelake.functions.labels import RANGE_PATTERN, label_bucket
+from tunelake.functions.labels import label_bucket, range_bucket
 from tunelake.functions.scaling import abs_qps, decode_bucket, improvement_pct, ratio
 from tunelake.functions.text import extract_json_object
 from tunelake.operators.skew import salted_join
@@ -33,11 +33,6 @@ def answer_counters(parsed: DataFrame) -> DataFrame:
     )
 
 
-def range_bucket(label: Column) -> Column:
-    """Decile of a plain range label; other spellings do not take part in the scores."""
-    return F.when(label.rlike(RANGE_PATTERN), label_bucket(label))
-
-
 def knob_labels(parsed: DataFrame) -> DataFrame:
     """(sample, knob, truth, pred) for each knob of the truth; a missing prediction is null.
 
@@ -50,7 +45,7 @@ def knob_labels(parsed: DataFrame) -> DataFrame:
             "sample",
             "knob",
             "truth_label",
-            F.element_at(F.map_filter("pred", lambda k, _: k == F.col("knob")), F.col("knob")).alias("pred_label"),
+            F.try_element_at("pred", F.col("knob")).alias("pred_label"),
         )
     )
 
@@ -89,45 +84,47 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 def label_set(scored: DataFrame) -> DataFrame:
     """Sorted labels found in truth or prediction."""
-    counts = confusion_counts(scored)
-    return (
-        counts.select(F.col("y_true").alias("label"))
-        .union(counts.select("y_pred"))
-        .distinct()
-        .orderBy("label")
-    )
+    sides = F.explode(F.array("y_true", "y_pred")).alias("label")
+    return confusion_counts(scored).select(sides).distinct().orderBy("label")
 
 
 def confusion_matrix(scored: DataFrame, n_labels: int = N_BUCKETS) -> DataFrame:
-    """One row per label of truth or prediction, one column `pred_i` per label of the scale."""
-    counts = confusion_counts(scored)
-    matrix = (
-        counts.groupBy(F.col("y_true").alias("label"))
-        .pivot("y_pred", list(range(n_labels)))
-        .agg(F.sum("n"))
-    )
-    cells = [F.coalesce(F.col(f"`{i}`"), F.lit(0)).alias(f"pred_{i}") for i in range(n_labels)]
-    return label_set(scored).join(matrix, "label", "left").select("label", *cells)
+    """One row per label of truth or prediction, one column `pred_i` per label of the scale.
+
+    Every counted pair adds its cell to the row of its truth and an empty cell to the
+    row of its prediction, so both kinds of labels come out of one pass.
+    """
+    cell = F.struct(F.col("y_true").alias("label"), F.col("y_pred").alias("pred"), F.col("n"))
+    other = F.struct(F.col("y_pred").alias("label"), F.col("y_pred").alias("pred"), F.lit(0).cast("long").alias("n"))
+    cells = confusion_counts(scored).select(F.inline(F.array(cell, other)))
+    columns = [
+        F.sum(F.when(F.col("pred") == i, F.col("n")).otherwise(0)).alias(f"pred_{i}")
+        for i in range(n_labels)
+    ]
+    return cells.groupBy("label").agg(*columns)
 
 
 def label_report(scored: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per label; ratios without a base are 0."""
-    counts = confusion_counts(scored)
-    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
-    sides = counts.select(F.col("y_true").alias("label"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted")).union(
-        counts.select(F.col("y_pred"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("n"))
-    )
-    sums = sides.groupBy("label").agg(
-        F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted")
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(none)
+    truth = F.struct(F.col("y_true").alias("label"), hit.alias("tp"), n.alias("support"), none.alias("predicted"))
+    guess = F.struct(F.col("y_pred").alias("label"), none.alias("tp"), none.alias("support"), n.alias("predicted"))
+    sums = (
+        confusion_counts(scored)
+        .select(F.inline(F.array(truth, guess)))
+        .groupBy("label")
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     )
-    zero = F.lit(0.0)
-    p = F.coalesce(ratio(F.col("tp").cast("double"), F.col("predicted")), zero)
-    r = F.coalesce(ratio(F.col("tp").cast("double"), F.col("support")), zero)
-    f1 = F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), zero)
+
+    def rate(num, den):
+        return F.coalesce(ratio(num, den), F.lit(0.0))
+
+    hits, p, r = F.col("tp").cast("double"), F.col("precision"), F.col("recall")
     return (
-        sums.withColumn("precision", p)
-        .withColumn("recall", r)
-        .withColumn("f1", f1)
+        sums.withColumn("precision", rate(hits, F.col("predicted")))
+        .withColumn("recall", rate(hits, F.col("support")))
+        .withColumn("f1", rate(2 * p * r, p + r))
         .select("label", "precision", "recall", "f1", "support")
     )
 

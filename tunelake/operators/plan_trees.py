@@ -95,18 +95,18 @@ def render_tree(nodes: Column) -> Column:
     def step(done, n):
         own = key(n["path"])
         parent = key(F.slice(n["path"], 1, F.size(n["path"]) - 1))
-        inside = F.element_at(F.map_filter(done, lambda k, _: k == own), own)
+        inside = F.try_element_at(done, own)
         name = F.lower(n["type"])
         text = F.when(inside.isNull(), name).otherwise(
             F.concat(name, F.lit("("), inside, F.lit(", "), humanize_cost(n["cost"]), F.lit(")"))
         )
-        before = F.element_at(F.map_filter(done, lambda k, _: k == parent), parent)
+        before = F.try_element_at(done, parent)
         joined = F.when(before.isNull(), text).otherwise(F.concat(before, F.lit(", "), text))
         rest = F.map_filter(done, lambda k, _: (k != own) & (k != parent))
         return F.map_concat(rest, F.create_map(parent, joined))
 
     empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(ordered, empty, step, lambda done: F.element_at(done, F.lit("")))
+    return F.aggregate(ordered, empty, step, lambda done: F.try_element_at(done, F.lit("")))
 
 
 def plan_texts(plans: DataFrame) -> DataFrame:

@@ -23,12 +23,13 @@ from tunelake.constants import (
     PROMPT_PLANS,
     SYSTEM_TEXT,
 )
-from tunelake.functions.labels import bucket_label
-from tunelake.functions.scaling import bucket, bucket_by_threshold, normalize_clip
+from tunelake.functions.labels import RANGE, bucket_label, labels_of
+from tunelake.functions.scaling import bucket, clip_text, threshold_case
 from tunelake.functions.text import (
     chat_prompt,
     feature_text,
     float_text,
+    json_line,
     json_object_text,
     json_string,
     metrics_json,
@@ -40,36 +41,34 @@ from tunelake.operators.history import best_runs, best_with_metrics, runs_with_c
 from tunelake.operators.splits import exact_split, hash_split
 
 
-def knob_number_text(value: Column, knob: Knob) -> Column:
-    """Number as it stands in a configuration file: integer knobs without a fraction."""
-    return value.cast("long").cast("string") if knob.type == "integer" else float_text(value)
-
-
 def best_label_json(knobs: Sequence[str], catalog: dict[str, Knob]) -> Column:
-    """JSON object of bucket labels; knobs without limits keep their number."""
-    entries = []
+    """JSON object of bucket labels by percent; knobs without limits keep their number."""
+    lines = []
     for name in knobs:
-        value = F.col(name).cast("double")
         knob = catalog.get(name)
         if knob is None or knob.min is None or knob.max is None:
-            text = float_text(value)
+            lines.append(json_line(name, float_text(F.col(name).cast("double"))))
         else:
-            text = json_string(bucket_label(bucket(normalize_clip(value, knob.min, knob.max))))
-        entries.append(F.struct(F.lit(name).alias("name"), text.alias("text")))
-    return json_object_text(F.array(*entries))
+            position = clip_text(f"`{name}`", knob.min, knob.max)
+            lines.append(json_line(name, json_string(bucket_label(bucket(F.expr(position))))))
+    return json_object_text(*lines)
 
 
-def sample_label_json(catalog: Sequence[Knob], columns: Sequence[str]) -> Column:
-    """JSON object of bucket labels of the catalog knobs a sample has, in catalog order."""
-    entries = []
-    for knob in catalog:
-        if knob.knob in columns:
-            position = normalize_clip(F.col(knob.knob).cast("double"), knob.min, knob.max)
-            label = F.when(F.col(knob.knob).isNotNull(), bucket_label(bucket_by_threshold(position)))
-            entries.append(
-                F.struct(F.lit(knob.knob).alias("name"), json_string(label).alias("text"))
-            )
-    return json_object_text(F.array(*entries))
+def with_label_json(samples: DataFrame, catalog: Sequence[Knob], name: str = "output") -> DataFrame:
+    """Replaces the knob columns by a JSON object of their bucket labels, in catalog order.
+
+    The positions become columns first, so that the comparisons with the nine edges of a
+    knob share one computed position.
+    """
+    present = [k for k in catalog if k.knob in samples.columns]
+    knobs = {k.knob for k in present}
+    rest = [c for c in samples.columns if c not in knobs]
+    positions = [F.expr(clip_text(f"`{k.knob}`", k.min, k.max)).alias(k.knob) for k in present]
+    lines = [
+        F.expr(threshold_case(f"`{k.knob}`", [f"""'"{k.knob}": "{label}"'""" for label in labels_of(RANGE)]))
+        for k in present
+    ]
+    return samples.select(*rest, *positions).select(*rest, json_object_text(*lines).alias(name))
 
 
 def meta_columns(path: Column) -> Column:
@@ -115,11 +114,11 @@ def rejected_metrics(samples: DataFrame) -> DataFrame:
 
 def build_sample_records(samples: DataFrame, catalog: Sequence[Knob]) -> DataFrame:
     """One record per sample with complete counters."""
-    return complete_metrics(samples).select(
+    return with_label_json(complete_metrics(samples), catalog).select(
         F.lit(SYSTEM_TEXT).alias("system"),
         F.lit(INSTRUCTION_TEXT).alias("instruction"),
         metrics_json(F.col("inner_metrics")).alias("input"),
-        sample_label_json(catalog, samples.columns).alias("output"),
+        F.col("output"),
         meta_columns(F.col("workload")).alias("meta"),
         F.col("config_id"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tunelake.catalog import Knob
 from tunelake.constants import METRIC_NAMES, N_FOLDS, RUN_LIMIT, SEED
-from tunelake.functions.scaling import denormalize, negative_cost, normalize_raw
+from tunelake.functions.scaling import denormalize, negative_cost
 from tunelake.operators.evaluate import r2
 from tunelake.operators.history import run_order, value_range
 from tunelake.operators.skew import hash_order
@@ -34,7 +34,9 @@ def feature_array(catalog: Sequence[Knob]) -> Column:
     Knobs without a range are left out, for training and prediction alike.
     """
     knobs = [
-        normalize_raw(F.col(k.knob).cast("double"), k.min, k.max) for k in catalog if k.max != k.min
+        F.expr(f"(cast(`{k.knob}` AS double) - {k.min!r}D) / {k.max - k.min!r}D")
+        for k in catalog
+        if k.max != k.min
     ]
     return F.concat(F.array(*knobs), F.col("inner_metrics"))
 
@@ -161,33 +163,29 @@ def predict_cost(rows: DataFrame, models: Sequence[Model], lo: float | None, hi:
     return out.withColumn("predicted_cost", negative_cost(value))
 
 
-def uniform_draws(key: Column, n: int) -> list[Column]:
-    """n numbers in [0, 1) per row, fixed by the key: 32 bits each from md5 texts."""
-    texts = [F.md5(F.concat(key.cast("string"), F.lit(f":{i}"))) for i in range((n + 3) // 4)]
-    scale = float(2**32)
-    return [
-        F.conv(F.substring(texts[i // 4], 1 + 8 * (i % 4), 8), 16, 10).cast("double") / scale
-        for i in range(n)
-    ]
+def uniform_draw(key: str, i: int) -> str:
+    """SQL text of draw i in [0, 1) of a string column: 32 bits of an md5 text, four draws each."""
+    digits = f"substring(md5(concat({key}, ':{i // 4}')), {1 + 8 * (i % 4)}, 8)"
+    return f"cast(conv({digits}, 16, 10) AS double) / 4294967296.0D"
 
 
-def drawn_knobs(key: Column, catalog: Sequence[Knob]) -> list[Column]:
-    """One value per knob, spread over its range by the key's draws."""
+def drawn_knobs(key: str, catalog: Sequence[Knob]) -> list[Column]:
+    """One value per knob, spread over its range by the draws of a string column."""
     out = []
-    for knob, u in zip(catalog, uniform_draws(key, len(catalog))):
-        value = u * (knob.max - knob.min) + knob.min
+    for i, knob in enumerate(catalog):
+        value = f"{uniform_draw(key, i)} * {knob.max - knob.min!r}D + {knob.min!r}D"
         if knob.type == "integer":
-            value = value.cast("long").cast("double")
-        out.append(value.alias(knob.knob))
+            value = f"cast(cast({value} AS bigint) AS double)"
+        out.append(F.expr(value).alias(knob.knob))
     return out
 
 
 def candidates(metrics: DataFrame, catalog: Sequence[Knob], n: int = RUN_LIMIT, seed: int = SEED) -> DataFrame:
     """n candidate configurations for each workload row, drawn within the row."""
     numbered = metrics.withColumn("run_ord", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    key = hash_order(F.lit(seed), F.col("workload"), F.col("run_ord"))
-    return numbered.withColumn("config_id", key).select(
-        "workload", "run_ord", "config_id", "inner_metrics", *drawn_knobs(key, catalog)
+    keyed = numbered.withColumn("config_id", hash_order(F.lit(seed), F.col("workload"), F.col("run_ord")))
+    return keyed.select(
+        "workload", "run_ord", "config_id", "inner_metrics", *drawn_knobs("config_id", catalog)
     )
 
 

@@ -49,13 +49,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configs(spark: SparkSession, sf_dir: str, catalog: list[Knob] | None = None) -> DataFrame:
     """One configuration per event, drawn from its id; events with k = 0 have none."""
-    key = F.col("event_id").cast("string")
-    knobs = drawn_knobs(key, catalog or knob_records())
-    return (
+    keyed = (
         table(spark, sf_dir, "events")
         .filter(prop_k(F.col("props")) != 0)
-        .select(key.alias("config_id"), *knobs)
+        .select(F.col("event_id").cast("string").alias("config_id"))
     )
+    return keyed.select("config_id", *drawn_knobs("config_id", catalog or knob_records()))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +181,7 @@ def _number(x: float) -> str:
 
 
 def sql_knob(key: str, i: int, knob: Knob) -> str:
-    value = f"({_sql_uniform(key, i)} * ({_number(knob.max)} - {_number(knob.min)}) + {_number(knob.min)})"
+    value = f"({_sql_uniform(key, i)} * {_number(knob.max - knob.min)} + {_number(knob.min)})"
     return f"trunc({value})" if knob.type == "integer" else value
 
 

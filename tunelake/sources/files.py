@@ -125,8 +125,7 @@ def parse_metrics(docs: DataFrame) -> DataFrame:
     A list of a wrong length is kept as it is; the record builders reject it.
     """
     as_map = F.from_json("text", "map<string,double>")
-    names = F.array(*[F.lit(n) for n in METRIC_NAMES])
-    from_map = F.transform(names, lambda n: F.element_at(F.map_filter("_map", lambda k, _: k == n), n))
+    from_map = F.array(*[F.try_element_at("_map", F.lit(n)) for n in METRIC_NAMES])
     as_list = F.from_json("text", "array<double>")
     is_list = F.startswith(F.ltrim(F.col("text")), F.lit("["))
     return docs.withColumn("_map", F.when(~is_list, as_map)).select(
