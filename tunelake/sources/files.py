@@ -180,27 +180,26 @@ BENCHMARK_XML = (
 )
 
 
-def read_benchmark_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark settings: one row per file, weights as integers, transaction names in order."""
-    xml = (
-        spark.read.format("xml")
-        .option("rowTag", "parameters")
-        .schema(BENCHMARK_XML)
-        .load(path)
-    )
-    work = F.col("works.work")
-    return xml.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.xml$", 1).alias("workload"),
-        "url",
-        "scalefactor",
-        "terminals",
+def parse_benchmark_xml(docs: DataFrame) -> DataFrame:
+    """Benchmark settings of (path, text): weights as integers, transaction names in order."""
+    parsed = docs.select("path", F.from_xml("text", BENCHMARK_XML, {"mode": "PERMISSIVE"}).alias("x"))
+    work = F.col("x.works.work")
+    return parsed.select(
+        F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("workload"),
+        "x.url",
+        "x.scalefactor",
+        "x.terminals",
         work["time"].alias("time"),
         work["rate"].alias("rate"),
         F.transform(F.split(work["weights"], ","), lambda w: F.trim(w).cast("int")).alias("weights"),
-        F.col("transactiontypes.transactiontype.name").alias("transactions"),
+        F.col("x.transactiontypes.transactiontype.name").alias("transactions"),
     )
 
 
+def read_benchmark_xml(spark: SparkSession, path: str) -> DataFrame:
+    return parse_benchmark_xml(whole_files(spark, path, "*.xml"))
+
+
 def parse_benchmark_summary(docs: DataFrame) -> DataFrame:
     """(path, throughput) from summary documents; unreadable or missing values give 0.0."""
     value = F.try_variant_get(F.try_parse_json("text"), f"$['{THROUGHPUT_KEY}']", "double")
