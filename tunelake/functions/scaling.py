@@ -15,10 +15,11 @@ def _col(c) -> Column:
 
 
 def normalize_clip(value: Column, lo, hi) -> Column:
-    """Min-max position clipped to [0, 1]; a flat range gives 0.0."""
+    """Min-max position clipped to [0, 1]; a flat range gives 0.0, an absent value or limit null."""
     lo, hi = _col(lo), _col(hi)
     clipped = F.least(F.greatest(value, lo), hi)
-    return F.when(hi == lo, F.lit(0.0)).otherwise((clipped - lo) / (hi - lo))
+    position = F.when(hi == lo, F.lit(0.0)).otherwise((clipped - lo) / (hi - lo))
+    return F.when(value.isNotNull() & lo.isNotNull() & hi.isNotNull(), position)
 
 
 def normalize_raw(value: Column, lo, hi) -> Column:
@@ -29,7 +30,8 @@ def normalize_raw(value: Column, lo, hi) -> Column:
 
 def bucket(position: Column) -> Column:
     """Decile 0..9 of a position in [0, 1] by its percent; the upper edge belongs to the last."""
-    return F.least(F.floor(position * 100 / 10), F.lit(N_BUCKETS - 1)).cast("int")
+    decile = F.floor(position * 100 / 10).cast("int")
+    return F.when(position.isNotNull(), F.least(decile, F.lit(N_BUCKETS - 1)))
 
 
 def bucket_by_threshold(position: str) -> Column:

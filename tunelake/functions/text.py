@@ -137,9 +137,12 @@ def extract_json_object(text: Column) -> Column:
         return F.map_concat(rest, F.create_map(entry["key"], entry["value"]))
 
     def only(objects):
-        entries = F.map_entries(F.get(objects, F.lit(0)))
+        found = F.get(objects, F.lit(0))
+        names = F.map_keys(found)
         empty = F.create_map().cast("map<string,string>")
-        return F.when(F.size(objects) == 1, F.aggregate(entries, empty, put))
+        last_wins = F.aggregate(F.map_entries(found), empty, put)
+        unique = F.size(F.array_distinct(names)) == F.size(names)
+        return F.when(F.size(objects) == 1, F.when(unique, found).otherwise(last_wins))
 
     return bind(parsed, only)
 

@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from tunelake.constants import MIN_SAMPLES
 from tunelake.functions.scaling import capped_cost, cost_to_y, ratio
-from tunelake.operators.skew import ROWS_PER_SALT, running_min, salted_join, with_group_stats
+from tunelake.operators.skew import (
+    ROWS_PER_SALT,
+    key_counts,
+    running_min,
+    salted_join,
+    with_group_stats,
+)
 
 
 def valid_runs(runs: DataFrame) -> DataFrame:
@@ -42,10 +48,12 @@ def best_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("workload").agg(best).select("workload", "best.*")
 
 
-def crash_cap(runs: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def crash_cap(
+    runs: DataFrame, counts: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Adds `capped`: failed runs take the worst valid cost of their workload, or -1.0."""
     worst = F.max(F.when(F.col("cost") < 0, F.col("cost"))).alias("_worst")
-    stats = with_group_stats(runs, ["workload"], [worst], ["config_id"], rows_per_salt)
+    stats = with_group_stats(runs, ["workload"], [worst], ["config_id"], counts, rows_per_salt)
     return stats.withColumn("capped", capped_cost(F.col("cost"), F.col("_worst"))).drop("_worst")
 
 
@@ -82,13 +90,14 @@ def well_sampled(samples: DataFrame, spread_by: list[str], min_samples: int = MI
     return out.filter(F.col("_size") > min_samples).drop("_size")
 
 
-def with_metrics(rows: DataFrame, metrics: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with the counters of their workload; a left join gives absent ones an empty array.
+def with_metrics(
+    rows: DataFrame, metrics: DataFrame, how: str = "inner", counts: DataFrame | None = None
+) -> DataFrame:
+    """Rows (with a config_id) and the counters of their workload, an empty array where absent.
 
     `metrics` has one row per workload; `rows` may hold a hot workload.
     """
-    spread = ["config_id"] if "config_id" in rows.columns else rows.columns
-    out = salted_join(rows, metrics, ["workload"], spread, how)
+    out = salted_join(rows, metrics, ["workload"], ["config_id"], how, counts)
     empty = F.array().cast("array<double>")
     return out.withColumn("inner_metrics", F.coalesce("inner_metrics", empty))
 
@@ -136,11 +145,15 @@ def build_samples(runs: DataFrame, configs: DataFrame, metrics: DataFrame) -> Da
     """One sample per run: configuration, y = [throughput, inverse], counters, workload.
 
     The cap is taken over runs whose configuration exists, as those are the only
-    samples; the counters are optional.
+    samples; the counters are optional. The narrow runs go through the cap before the
+    wide configurations join, so these are shuffled once. Hot workloads are found on
+    the plain runs, for both joins on the workload.
     """
-    capped = crash_cap(runs_with_known_config(runs, configs))
+    counts = key_counts(runs, ["workload"])
+    capped = crash_cap(runs_with_known_config(runs, configs), counts)
     samples = capped.withColumn("y", cost_to_y(F.col("capped"))).drop("cost", "capped")
-    return with_metrics(runs_with_config(samples, configs), metrics, "left")
+    with_counters = with_metrics(samples, metrics, "left", counts)
+    return runs_with_config(with_counters, configs)
 
 
 def union_families(families: dict[str, DataFrame]) -> DataFrame:

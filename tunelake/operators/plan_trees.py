@@ -32,13 +32,13 @@ def tree_nodes(text: Column) -> Column:
     root = F.array(
         F.struct(F.array(F.lit(0)).alias("path"), F.try_parse_json(text).alias("v"))
     )
-    levels = F.sequence(F.lit(1), F.regexp_count(text, F.lit('"Plans"')) + 1)
+    levels = F.sequence(F.lit(0), F.regexp_count(text, F.lit('"Plans"')))
 
     def step(acc, _):
         below = F.flatten(F.transform(acc["front"], _children))
-        return F.struct(below.alias("front"), F.concat(acc["seen"], below).alias("seen"))
+        return F.struct(below.alias("front"), F.concat(acc["seen"], acc["front"]).alias("seen"))
 
-    start = F.struct(root.alias("front"), root.alias("seen"))
+    start = F.struct(root.alias("front"), F.filter(root, lambda _: F.lit(False)).alias("seen"))
     found = F.aggregate(levels, start, step, lambda acc: acc["seen"])
     return F.transform(
         found,
@@ -77,33 +77,32 @@ def render_tree(nodes: Column) -> Column:
     The nodes are folded from the deepest level up: a map carries the finished
     child texts of each parent until the parent itself is reached.
     """
+
+    def key(path):
+        return F.array_join(path.cast("array<string>"), ".")
+
     ordered = F.array_sort(
         F.transform(
             nodes,
             lambda n: F.struct(
                 (-F.size(n["path"])).alias("level"),
                 n["path"].alias("path"),
-                n["type"].alias("type"),
+                key(n["path"]).alias("own"),
+                key(F.slice(n["path"], 1, F.size(n["path"]) - 1)).alias("parent"),
+                F.lower(n["type"]).alias("type"),
                 (n["total"] - n["startup"]).alias("cost"),
             ),
         )
     )
 
-    def key(path):
-        return F.array_join(path.cast("array<string>"), ".")
-
     def step(done, n):
-        own = key(n["path"])
-        parent = key(F.slice(n["path"], 1, F.size(n["path"]) - 1))
-        inside = F.try_element_at(done, own)
-        name = F.lower(n["type"])
-        text = F.when(inside.isNull(), name).otherwise(
-            F.concat(name, F.lit("("), inside, F.lit(", "), humanize_cost(n["cost"]), F.lit(")"))
+        inside = F.concat(
+            F.lit("("), F.try_element_at(done, n["own"]), F.lit(", "), humanize_cost(n["cost"]), F.lit(")")
         )
-        before = F.try_element_at(done, parent)
-        joined = F.when(before.isNull(), text).otherwise(F.concat(before, F.lit(", "), text))
-        rest = F.map_filter(done, lambda k, _: (k != own) & (k != parent))
-        return F.map_concat(rest, F.create_map(parent, joined))
+        text = F.concat(n["type"], F.coalesce(inside, F.lit("")))
+        siblings = F.concat_ws(", ", F.try_element_at(done, n["parent"]), text)
+        rest = F.map_filter(done, lambda k, _: (k != n["own"]) & (k != n["parent"]))
+        return F.map_concat(rest, F.create_map(n["parent"], siblings))
 
     empty = F.create_map().cast("map<string,string>")
     return F.aggregate(ordered, empty, step, lambda done: F.try_element_at(done, F.lit("")))

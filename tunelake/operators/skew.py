@@ -20,6 +20,11 @@ MAX_HOT_KEYS = 512
 RANK_DIGITS = 4
 
 
+def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key in `_n`, combined map-side."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -31,16 +36,17 @@ def salted_join(
 ) -> DataFrame:
     """Equi join whose hot keys are spread over several tasks.
 
-    `counts` holds one row per key of `big` with its row count in `_n`; without
-    it the keys are counted first. Only the largest keys (at most MAX_HOT_KEYS
-    rows, hence the broadcast) get more than one salt; their rows of `small` are
-    repeated once per salt. `spread_by` are columns of `big` that differ within
-    a key; the salt depends on nothing else, so a recomputed task agrees with
-    the lost one.
+    Only the largest keys (at most MAX_HOT_KEYS rows, hence the broadcast) get more
+    than one salt; their rows of `small` are repeated once per salt. `spread_by` are
+    columns of `big` that differ within a key; the salt depends on nothing else, so a
+    recomputed task agrees with the lost one.
+
+    `counts` are the `key_counts` to find the hot keys with, by default those of `big`.
+    Salts change where rows go and never the result, so the counts of an earlier
+    stage of `big`, such as a plain scan, do as well and spare its evaluation.
     """
     keys = list(keys)
-    if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = key_counts(big, keys) if counts is None else counts
     hot = (
         counts.filter(F.col("_n") > rows_per_salt)
         .orderBy(F.desc("_n"), *keys)
@@ -63,18 +69,15 @@ def with_group_stats(
     keys: Sequence[str],
     stats: Sequence[Column],
     spread_by: Sequence[str],
+    counts: DataFrame | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Every row with aggregates of its group: an unordered window without its group buffer.
 
     The aggregates are combined map-side to one row per key and joined back.
     """
-    keys = list(keys)
-    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *stats)
-    counts = per_key.select(*keys, "_n")
-    return salted_join(
-        rows, per_key.drop("_n"), keys, spread_by, counts=counts, rows_per_salt=rows_per_salt
-    )
+    per_key = rows.groupBy(*keys).agg(*stats)
+    return salted_join(rows, per_key, keys, spread_by, "inner", counts, rows_per_salt)
 
 
 def running_min(

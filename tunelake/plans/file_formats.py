@@ -16,7 +16,7 @@ from tunelake.operators import plan_trees as pt
 from tunelake.operators.splits import hash_split
 from tunelake.plans import standins as st
 from tunelake.plans import telemetry as tl
-from tunelake.plans.tables import table
+from tunelake.plans.tables import spread, table
 from tunelake.session import scratch_path
 from tunelake.sources import files as src
 from tunelake.sources import sinks
@@ -265,7 +265,8 @@ def s14_run_log(spark, sf_dir):
         F.when(failed, F.concat(F.lit("run failed: "), "props")).otherwise(F.concat(F.lit("load throughput: "), float_text(F.col("value")))),
     )
     line = F.explode(F.array_repeat(text, 2)).alias("line")
-    return src.parse_run_log(table(spark, sf_dir, "events").select(line))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
+    return src.parse_run_log(spread(events).select(line))
 
 
 @query("s15_training_records", """

@@ -15,7 +15,7 @@ from tunelake.constants import BLOCK_BYTES, CRASH_COST, METRIC_NAMES
 from tunelake.functions.labels import bucket_label
 from tunelake.functions.scaling import bucket, normalize_clip
 from tunelake.operators.surrogate import drawn_knobs
-from tunelake.plans.tables import table
+from tunelake.plans.tables import spread, table
 
 FAMILIES = ["ycsb", "tpcc", "smallbank", "twitter", "wikipedia"]
 
@@ -39,7 +39,8 @@ def workload_of(user: Column) -> Column:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per event; an error event is a crashed run."""
     cost = F.when(F.col("event_type") == "error", F.lit(CRASH_COST)).otherwise(-F.col("value"))
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return spread(events).select(
         workload_of(F.col("user_id")).alias("workload"),
         F.col("event_id").alias("run_ord"),
         F.col("event_id").cast("string").alias("config_id"),
@@ -54,7 +55,7 @@ def configs(spark: SparkSession, sf_dir: str, catalog: list[Knob] | None = None)
         .filter(prop_k(F.col("props")) != 0)
         .select(F.col("event_id").cast("string").alias("config_id"))
     )
-    return keyed.select("config_id", *drawn_knobs("config_id", catalog or knob_records()))
+    return spread(keyed).select("config_id", *drawn_knobs("config_id", catalog or knob_records()))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ def workload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.lit("-- note\nSELECT source, SUM(n_chars) FROM docs GROUP BY source ORDER BY source;\n")
     odd = F.lit("WITH d AS (SELECT 1) SELECT MAX(n_chars) FROM d WHERE a = 1 OR b BETWEEN 2 AND 3;\n")
     middle = F.when(F.col("n_chars") % 2 == 0, even).otherwise(odd)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("workload"),
         F.concat(head, middle, F.col("text")).alias("text"),
     )
@@ -127,7 +128,8 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", join)
         .otherwise(_node("Aggregate", p, p * 16, _node("Sort", p * 2, p * 2 + 1000, join)))
     )
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return spread(orders).select(
         F.col("o_orderkey").alias("plan_id"), "o_orderstatus", text.alias("text")
     )
 
@@ -154,7 +156,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", both(F.lit("middle"), pred_buf))
         .otherwise(F.concat(F.lit("Here it is:\n"), both(pred_mem, pred_buf), F.lit("\nGood luck")))
     )
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    return spread(events).select(
         event.alias("sample"), both(true_mem, true_buf).alias("truth_text"), text.alias("answer_text")
     )
 
