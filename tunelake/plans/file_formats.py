@@ -40,12 +40,12 @@ ITEM_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("s1_knob_catalog", " UNION ALL ".join(
-    f"SELECT '{c}' AS knob, 'real' AS type, min({c}) AS min, max({c}) AS max, min({c}) AS default_value FROM lineitem" for c in ITEM_COLUMNS
+    f"SELECT '{c}' AS knob, 'real' AS type, min({c}) + 0.0 AS min, max({c}) AS max, min({c}) + 0.0 AS default_value FROM lineitem" for c in ITEM_COLUMNS
 ))
 def s1_knob_catalog(spark, sf_dir):
     """Catalog document of the item columns' ranges."""
     limits = [
-        F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.lit("real").alias("type"), F.min(c).alias("default")).alias(c)
+        F.struct((F.min(c) + 0.0).alias("min"), F.max(c).alias("max"), F.lit("real").alias("type"), (F.min(c) + 0.0).alias("default")).alias(c)
         for c in ITEM_COLUMNS
     ]
     docs = table(spark, sf_dir, "lineitem").agg(*limits).select(F.to_json(F.struct(*ITEM_COLUMNS)).alias("text"))

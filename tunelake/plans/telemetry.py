@@ -403,7 +403,7 @@ def j2_samples_metrics(spark, sf_dir):
 
 @query("j3_knobs_catalog", f"""
 WITH {SQL_CATALOG}, v AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'unknown' WHEN p_size % 2 = 0 THEN 'work_mem' ELSE 'geqo_effort' END AS knob, p_retailprice AS value FROM part)
-SELECT p_partkey, v.knob, coalesce({st.sql_range_label(st.sql_bucket(st.sql_clip('value', 'min', 'max')))}, value::VARCHAR) AS label FROM v LEFT JOIN catalog USING (knob)""")
+SELECT p_partkey, v.knob, CASE WHEN min IS NULL THEN value::VARCHAR ELSE {st.sql_range_label(st.sql_bucket(st.sql_clip('value', 'min', 'max')))} END AS label FROM v LEFT JOIN catalog USING (knob)""")
 def j3_knobs_catalog(spark, sf_dir):
     knob = (
         F.when(F.col("p_size") % 5 == 0, F.lit("unknown"))
@@ -635,23 +635,21 @@ def a14_best_response(spark, sf_dir):
 
 
 @query("a15_replay_throughput", """
-WITH g AS (SELECT user_id AS workload, count(*) AS n_statements, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE AS elapsed FROM events GROUP BY user_id)
-SELECT workload, n_statements, round(elapsed, 6) AS elapsed, round(n_statements / nullif(elapsed, 0), 9) AS qps, round(ceil(n_statements / 4.0::DOUBLE) * 4 / nullif(elapsed, 0), 9) AS qps_len0,
-  round(-elapsed / (ceil(n_statements / 4.0::DOUBLE) * 4), 6) AS neg_avg_time FROM g""")
+WITH g AS (SELECT user_id AS workload, count(*) AS n_statements, (max(epoch_us(ts)) - min(epoch_us(ts)))::DOUBLE AS us, ceil(count(*) / 4.0::DOUBLE) * 4 AS len0 FROM events GROUP BY user_id)
+SELECT workload, n_statements, us / 1000000 AS elapsed, n_statements / nullif(us, 0) * 1000000 AS qps, len0 / nullif(us, 0) * 1000000 AS qps_len0, -us / len0 / 1000000 AS neg_avg_time FROM g""")
 def a15_replay_throughput(spark, sf_dir):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     done = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("workload"), micros.alias("started"), micros.alias("ended")
     )
-    out = ft.replay_throughput(done, 4)
-    second = 1000000.0
-    return out.select(
+    second = 1000000
+    return ft.replay_throughput(done, 4).select(
         "workload",
         "n_statements",
-        F.round(F.col("elapsed") / second, 6).alias("elapsed"),
-        F.round(F.col("qps") * second, 9).alias("qps"),
-        F.round(F.col("qps_len0") * second, 9).alias("qps_len0"),
-        F.round(F.col("neg_avg_time") / second, 6).alias("neg_avg_time"),
+        (F.col("elapsed") / second).alias("elapsed"),
+        (F.col("qps") * second).alias("qps"),
+        (F.col("qps_len0") * second).alias("qps_len0"),
+        (F.col("neg_avg_time") / second).alias("neg_avg_time"),
     )
 
 
@@ -876,11 +874,11 @@ def v1_plan_nodes(spark, sf_dir):
     return pt.plan_nodes(st.plans(spark, sf_dir))
 
 
-@query("v2_plan_self_cost", st.with_views(["nodes"], "SELECT plan_id, round(sum(total_cost - startup_cost), 4) AS self_cost, CAST(max(depth) AS INTEGER) AS depth, count(*) AS n_nodes FROM nodes GROUP BY plan_id"))
+@query("v2_plan_self_cost", st.with_views(["nodes"], "SELECT plan_id, round(sum(total_cost - startup_cost), 5) AS self_cost, CAST(max(depth) AS INTEGER) AS depth, count(*) AS n_nodes FROM nodes GROUP BY plan_id"))
 def v2_plan_self_cost(spark, sf_dir):
     nodes = pt.plan_nodes(st.plans(spark, sf_dir))
     return nodes.groupBy("plan_id").agg(
-        F.round(F.sum(pt.self_cost()), 4).alias("self_cost"), F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_nodes")
+        F.round(F.sum(pt.self_cost()), 5).alias("self_cost"), F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_nodes")
     )
 
 
@@ -895,12 +893,12 @@ def v3_plan_text_from_nodes(spark, sf_dir):
 
 
 @query("v4_plan_profile", st.with_views(["nodes"], """, t AS (SELECT o_orderstatus, node_type, count(*) AS n_nodes, sum(total_cost - startup_cost) AS cost FROM nodes GROUP BY ALL)
-SELECT o_orderstatus, node_type, n_nodes, round(cost, 2) AS cost, round(cost / sum(cost) OVER (PARTITION BY o_orderstatus), 9) AS cost_share FROM t"""))
+SELECT o_orderstatus, node_type, n_nodes, round(cost, 5) AS cost, round(cost / sum(cost) OVER (PARTITION BY o_orderstatus), 9) AS cost_share FROM t"""))
 def v4_plan_profile(spark, sf_dir):
     plans = st.plans(spark, sf_dir)
     nodes = pt.plan_nodes(plans).join(plans.select("plan_id", "o_orderstatus"), "plan_id")
     out = pt.plan_profile(nodes, ["o_orderstatus"])
-    return out.select("o_orderstatus", "node_type", "n_nodes", F.round("cost", 2).alias("cost"), F.round("cost_share", 9).alias("cost_share"))
+    return out.select("o_orderstatus", "node_type", "n_nodes", F.round("cost", 5).alias("cost"), F.round("cost_share", 9).alias("cost_share"))
 
 
 # ---------------------------------------------------------------- evaluation of runs
