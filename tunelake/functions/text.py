@@ -180,11 +180,13 @@ def chat_prompt(system: Column, instruction: Column, content: Column) -> Column:
 
 def replay_statements(text: Column) -> Column:
     """Statements for replay: breaks at `;` and line ends, a final empty piece is dropped."""
-    pieces = F.split(text, STATEMENT_BREAK, -1)
-    trimmed = F.when(
-        F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)
-    ).otherwise(pieces)
-    return F.transform(trimmed, lambda s: F.concat(s, F.lit(";")))
+
+    def closed(pieces):
+        ends_empty = F.element_at(pieces, -1) == ""
+        kept = F.slice(pieces, 1, F.size(pieces) - F.when(ends_empty, 1).otherwise(0))
+        return F.transform(kept, lambda s: F.concat(s, F.lit(";")))
+
+    return bind(F.split(text, STATEMENT_BREAK, -1), closed)
 
 
 def semicolon_statements(text: Column) -> Column:

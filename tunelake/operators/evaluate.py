@@ -9,7 +9,7 @@ from tunelake.catalog import renamed
 from tunelake.constants import N_BUCKETS
 from tunelake.functions.labels import label_bucket, range_bucket
 from tunelake.functions.scaling import abs_qps, decode_bucket, improvement_pct, ratio
-from tunelake.functions.text import extract_json_object
+from tunelake.functions.text import bind, extract_json_object
 from tunelake.operators.skew import salted_join
 
 
@@ -25,28 +25,38 @@ def _is_valid(pred: Column) -> Column:
 
 
 def answer_counters(parsed: DataFrame) -> DataFrame:
-    """One row: readable answers and parse errors; an empty object counts as an error."""
-    usable = parsed.filter(F.col("truth").isNotNull())
-    return usable.agg(
-        F.count_if(_is_valid(F.col("pred"))).alias("valid_samples"),
-        F.count_if(~_is_valid(F.col("pred"))).alias("parse_errors"),
+    """One row: readable answers and parse errors; an empty object counts as an error.
+
+    The conditions sit in the aggregates: a filter would be pushed below the parsing
+    and parse every text twice.
+    """
+    usable, valid = F.col("truth").isNotNull(), _is_valid(F.col("pred"))
+    return parsed.agg(
+        F.count_if(usable & valid).alias("valid_samples"),
+        F.count_if(usable & ~valid).alias("parse_errors"),
     )
 
 
 def knob_labels(parsed: DataFrame) -> DataFrame:
-    """(sample, knob, truth, pred) for each knob of the truth; a missing prediction is null.
+    """(sample, knob, truth_label, pred_label) for each knob of the truth of readable answers.
 
-    Truth and prediction stand in the same row, so the pairing needs no shuffle.
+    A missing prediction is null. Truth and prediction stand in the same row, so the
+    pairing needs no shuffle; the outer generator keeps the parsing from running twice.
     """
-    return (
-        parsed.filter(F.col("truth").isNotNull() & _is_valid(F.col("pred")))
-        .select("sample", "pred", F.explode("truth").alias("knob", "truth_label"))
-        .select(
-            "sample",
-            "knob",
-            "truth_label",
-            F.try_element_at("pred", F.col("knob")).alias("pred_label"),
+
+    def pairs(row):
+        paired = F.transform(
+            F.map_entries(row["truth"]),
+            lambda e: F.struct(
+                e["key"].alias("knob"),
+                e["value"].alias("truth_label"),
+                F.try_element_at(row["pred"], e["key"]).alias("pred_label"),
+            ),
         )
+        return F.when(_is_valid(row["pred"]), paired)
+
+    return parsed.select("sample", F.inline_outer(bind(F.struct("truth", "pred"), pairs))).filter(
+        F.col("knob").isNotNull()
     )
 
 

@@ -23,8 +23,14 @@ SPLITTERS = {
 
 
 def statements(files: DataFrame, rule: str = "replay") -> DataFrame:
-    """(workload, stmt_pos, sql_text) from whole workload files (workload, text)."""
-    return files.select("workload", F.posexplode(SPLITTERS[rule](F.col("text"))).alias("stmt_pos", "sql_text"))
+    """(workload, stmt_pos, sql_text) from whole workload files (workload, text).
+
+    The outer generator splits every text once; an inner one would infer a filter on the
+    split array and split twice.
+    """
+    pieces = SPLITTERS[rule](F.col("text"))
+    out = files.select("workload", F.posexplode_outer(pieces).alias("stmt_pos", "sql_text"))
+    return out.filter(F.col("stmt_pos").isNotNull())
 
 
 def first_statements(stmts: DataFrame, limit: int = REPLAY_LIMIT) -> DataFrame:

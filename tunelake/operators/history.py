@@ -27,8 +27,9 @@ def valid_runs(runs: DataFrame) -> DataFrame:
 def runs_with_config(runs: DataFrame, configs: DataFrame) -> DataFrame:
     """Runs joined with their configuration; runs of an unknown one are dropped.
 
-    A configuration id is unique in `configs`, and a run names one id, so neither
-    side can have a hot key.
+    A configuration id is unique in `configs`. A configuration that very many runs share
+    makes a large partition on the side of the runs only, which comes straight from a
+    shuffle, so adaptive execution splits it.
     """
     return runs.join(configs, "config_id", "inner")
 

@@ -52,10 +52,15 @@ def tree_nodes(text: Column) -> Column:
 
 
 def plan_nodes(plans: DataFrame) -> DataFrame:
-    """Node table (plan_id, node_path, parent_path, ordinal, depth, node_type, costs)."""
+    """Node table (plan_id, node_path, parent_path, ordinal, depth, node_type, costs).
+
+    An outer generator, because for an inner one the array would be computed a second
+    time in an inferred filter.
+    """
     node = F.col("node")
     path = node["path"]
-    return plans.select("plan_id", F.explode(tree_nodes(F.col("text"))).alias("node")).select(
+    exploded = plans.select("plan_id", F.explode_outer(tree_nodes(F.col("text"))).alias("node"))
+    return exploded.filter(node.isNotNull()).select(
         "plan_id",
         F.array_join(path.cast("array<string>"), ".").alias("node_path"),
         F.when(F.size(path) > 1, F.array_join(F.slice(path, 1, F.size(path) - 1).cast("array<string>"), ".")).alias("parent_path"),
@@ -155,7 +160,8 @@ def read_plan_rows(files: DataFrame) -> DataFrame:
     entries = F.try_variant_get(F.try_parse_json("text"), "$", "array<variant>")
     plan = F.col("_entry")
     return (
-        files.select("workload", F.posexplode(entries).alias("_pos", "_entry"))
+        files.select("workload", F.posexplode_outer(entries).alias("_pos", "_entry"))
+        .filter(F.col("_pos").isNotNull())
         .select(
             "workload",
             F.concat_ws("#", "workload", F.col("_pos").cast("string")).alias("plan_id"),

@@ -133,8 +133,7 @@ placed AS (SELECT sample, knob, label, type, min, max, CASE WHEN label = 'middle
   FROM labels_long JOIN catalog USING (knob))
 SELECT sample, knob, label, trunc((max - min) / 10 * bucket + (max - min) / 10 / 2 + min) AS value, bucket IS NULL AS rejected FROM placed"""))
 def p5_decode_label(spark, sf_dir):
-    parsed = ev.parsed_answers(st.answers(spark, sf_dir)).select("sample", F.explode("pred").alias("knob", "label"))
-    return ev.decode_answers(parsed, knob_table(spark))
+    return ev.decode_answers(_long_labels(spark, sf_dir)[1], knob_table(spark))
 
 
 @query("p6_rename_knobs", """
@@ -418,9 +417,12 @@ def j3_knobs_catalog(spark, sf_dir):
 
 def _long_labels(spark, sf_dir):
     parsed = ev.parsed_answers(st.answers(spark, sf_dir))
-    truth = parsed.select("sample", F.explode("truth").alias("knob", "label"))
-    pred = parsed.select("sample", F.explode("pred").alias("knob", "label"))
-    return truth, pred
+
+    def labels(column):
+        found = parsed.select("sample", F.explode_outer(column).alias("knob", "label"))
+        return found.filter(F.col("knob").isNotNull())
+
+    return labels("truth"), labels("pred")
 
 
 @query("j4_truth_prediction", st.with_views(["pairs"], "SELECT sample, knob, truth_label, pred_label FROM pairs WHERE pred_label IS NOT NULL"))
@@ -893,12 +895,12 @@ def v3_plan_text_from_nodes(spark, sf_dir):
 
 
 @query("v4_plan_profile", st.with_views(["nodes"], """, t AS (SELECT o_orderstatus, node_type, count(*) AS n_nodes, sum(total_cost - startup_cost) AS cost FROM nodes GROUP BY ALL)
-SELECT o_orderstatus, node_type, n_nodes, round(cost, 5) AS cost, round(cost / sum(cost) OVER (PARTITION BY o_orderstatus), 9) AS cost_share FROM t"""))
+SELECT o_orderstatus, node_type, n_nodes, round(cost, 0) AS cost, round(cost / sum(cost) OVER (PARTITION BY o_orderstatus), 9) AS cost_share FROM t"""))
 def v4_plan_profile(spark, sf_dir):
     plans = st.plans(spark, sf_dir)
     nodes = pt.plan_nodes(plans).join(plans.select("plan_id", "o_orderstatus"), "plan_id")
     out = pt.plan_profile(nodes, ["o_orderstatus"])
-    return out.select("o_orderstatus", "node_type", "n_nodes", F.round("cost", 5).alias("cost"), F.round("cost_share", 9).alias("cost_share"))
+    return out.select("o_orderstatus", "node_type", "n_nodes", F.round("cost", 0).alias("cost"), F.round("cost_share", 9).alias("cost_share"))
 
 
 # ---------------------------------------------------------------- evaluation of runs

@@ -99,7 +99,8 @@ def parse_runs(docs: DataFrame) -> DataFrame:
     """
     data = F.try_variant_get(F.try_parse_json("text"), "$.data", "array<variant>")
     run = F.col("run")
-    return docs.select("workload", F.posexplode(data).alias("run_ord", "run")).select(
+    found = docs.select("workload", F.posexplode_outer(data).alias("run_ord", "run"))
+    return found.filter(F.col("run_ord").isNotNull()).select(
         "workload",
         F.col("run_ord").cast("long").alias("run_ord"),
         F.try_variant_get(run, "$[0][0]", "string").alias("config_id"),
@@ -110,7 +111,8 @@ def parse_runs(docs: DataFrame) -> DataFrame:
 def parse_configs(docs: DataFrame) -> DataFrame:
     """(workload, config_id, knobs map) from history documents."""
     configs = F.try_variant_get(F.try_parse_json("text"), "$.configs", "map<string,map<string,double>>")
-    return docs.select("workload", F.explode(configs).alias("config_id", "knobs"))
+    found = docs.select("workload", F.explode_outer(configs).alias("config_id", "knobs"))
+    return found.filter(F.col("config_id").isNotNull())
 
 
 def read_run_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +228,8 @@ def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_responses(docs: DataFrame) -> DataFrame:
     """(path, knob, label) from answer documents; malformed ones are skipped."""
-    return docs.select("path", F.explode(extract_json_object(F.col("text"))).alias("knob", "label"))
+    found = docs.select("path", F.explode_outer(extract_json_object(F.col("text"))).alias("knob", "label"))
+    return found.filter(F.col("knob").isNotNull())
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
