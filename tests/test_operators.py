@@ -191,7 +191,8 @@ def test_best_records(spark):
         [("x/y/w.xml", 0, "1", -1.0), ("x/y/w.xml", 1, "2", -3.0), ("x/y/w.xml", 2, "3", 9.0), ("x/y/v.xml", 3, "1", -1.0), ("x/y/u.xml", 4, "77", -1.0)],
         "workload string, run_ord long, config_id string, cost double",
     )
-    configs = spark.createDataFrame([("1", 1.0, 0.0, 3.0), ("2", 99.0, 1.0, 3.0)], "config_id string, a double, b double, c double")
+    rows = [("x/y/w.xml", "1", 1.0, 0.0, 3.0), ("x/y/w.xml", "2", 99.0, 1.0, 3.0), ("x/y/v.xml", "2", 1.0, 0.0, 3.0)]
+    configs = spark.createDataFrame(rows, "workload string, config_id string, a double, b double, c double")
     metrics = spark.createDataFrame([("x/y/w.xml", [1.0] * 14), ("x/y/u.xml", [1.0] * 14)], "workload string, inner_metrics array<double>")
     got = rc.build_best_records(runs, configs, metrics, ["a", "b", "c"], CATALOG).collect()
     assert len(got) == 1

@@ -139,12 +139,14 @@ def test_well_sampled_needs_more_than_the_minimum(spark):
 
 def test_build_samples(spark):
     runs = spark.createDataFrame(
-        [("w", 0, "1", -10.0), ("w", 1, "2", 7.0), ("w", 2, "9", -1.0), ("v", 3, "3", -2.0)],
+        [("w", 0, "1", -10.0), ("w", 1, "2", 7.0), ("w", 2, "9", -1.0), ("v", 3, "1", -2.0)],
         "workload string, run_ord long, config_id string, cost double",
     )
-    configs = spark.createDataFrame([("1", 1.0), ("2", 2.0), ("3", 3.0)], "config_id string, work_mem double")
+    rows = [("w", "1", 1.0), ("w", "2", 2.0), ("v", "1", 3.0), ("v", "9", 4.0)]
+    configs = spark.createDataFrame(rows, "workload string, config_id string, work_mem double")
     metrics = spark.createDataFrame([("w", [1.0] * 14)], "workload string, inner_metrics array<double>")
-    got = {r.config_id: r for r in hi.build_samples(runs, configs, metrics).collect()}
-    assert set(got) == {"1", "2", "3"}
-    assert got["2"].y == [10.0, 0.1]
-    assert got["3"].inner_metrics == [] and got["1"].inner_metrics == [1.0] * 14
+    got = {(r.workload, r.config_id): r for r in hi.build_samples(runs, configs, metrics).collect()}
+    assert set(got) == {("w", "1"), ("w", "2"), ("v", "1")}
+    assert got["w", "2"].y == [10.0, 0.1]
+    assert (got["w", "1"].work_mem, got["v", "1"].work_mem) == (1.0, 3.0)
+    assert got["v", "1"].inner_metrics == [] and got["w", "1"].inner_metrics == [1.0] * 14

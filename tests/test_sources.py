@@ -208,3 +208,23 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     keep_best(run_stream(spark, source), target, state).awaitTermination()
     want = hi.best_runs(runs).select("workload", "config_id", "cost", "run_ord")
     assert as_set(latest_best(spark, target)) == as_set(want)
+
+
+def test_history_files_to_sample_records(spark, history_dir, tmp_path):
+    """From files to records: ids repeat across workloads, one workload has crashed runs only."""
+    from tunelake.operators.records import build_sample_records
+
+    for i in (0, 1):
+        put(tmp_path / f"m/sample_tpcc_config{i}_internal_metrics.json", json.dumps([float(i)] * 14))
+    knobs = knob_records()
+    runs, configs = src.read_run_history(spark, history_dir)
+    wide = src.wide_configs(configs, [k.knob for k in knobs], ["workload", "config_id"])
+    samples = hi.build_samples(runs, wide, src.read_internal_metrics(spark, str(tmp_path / "m")))
+    got = {(r.workload, r.config_id): r.y for r in samples.collect()}
+    assert got == {
+        ("sample_tpcc_config0", "1"): [1.0, 1.0],
+        ("sample_tpcc_config0", "2"): [2.0, 0.5],
+        ("sample_tpcc_config1", "1"): [1.0, 1.0],
+    }
+    outputs = [json.loads(r.output) for r in build_sample_records(samples, knobs).collect()]
+    assert {tuple(sorted(o)) for o in outputs} == {("geqo_seed", "work_mem"), ("work_mem",)}

@@ -1,7 +1,8 @@
 """Run histories: joins, filters, best runs, crash caps, scales and traces.
 
 `runs` has the columns workload, run_ord, config_id, cost; cost is negative
-throughput and a failed run has a cost >= 0.
+throughput and a failed run has a cost >= 0. `configs` has workload, config_id and
+the knobs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tunelake.operators.skew import (
     with_group_stats,
 )
 
+RUN_KEY = ["workload", "config_id"]
+
 
 def valid_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("cost") < 0)
@@ -27,15 +30,15 @@ def valid_runs(runs: DataFrame) -> DataFrame:
 def runs_with_config(runs: DataFrame, configs: DataFrame) -> DataFrame:
     """Runs joined with their configuration; runs of an unknown one are dropped.
 
-    A configuration id is unique in `configs`. A configuration that very many runs share
-    makes a large partition on the side of the runs only, which comes straight from a
-    shuffle, so adaptive execution splits it.
+    Configuration ids count up anew in every history, so the key is (workload,
+    config_id). It is unique in `configs`; a configuration that very many runs share
+    makes a large partition on the side of the runs only, which adaptive execution splits.
     """
-    return runs.join(configs, "config_id", "inner")
+    return runs.join(configs, RUN_KEY, "inner")
 
 
 def runs_with_known_config(runs: DataFrame, configs: DataFrame) -> DataFrame:
-    return runs.join(configs.select("config_id"), "config_id", "left_semi")
+    return runs.join(configs.select(*RUN_KEY), RUN_KEY, "left_semi")
 
 
 def run_order() -> Column:

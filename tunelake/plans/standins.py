@@ -53,9 +53,9 @@ def configs(spark: SparkSession, sf_dir: str, catalog: list[Knob] | None = None)
     keyed = (
         table(spark, sf_dir, "events")
         .filter(prop_k(F.col("props")) != 0)
-        .select(F.col("event_id").cast("string").alias("config_id"))
+        .select(workload_of(F.col("user_id")).alias("workload"), F.col("event_id").cast("string").alias("config_id"))
     )
-    return spread(keyed).select("config_id", *drawn_knobs("config_id", catalog or knob_records()))
+    return spread(keyed).select("workload", "config_id", *drawn_knobs("config_id", catalog or knob_records()))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,8 @@ BACKUP_MARK = ".OLD"
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, text), one row per file."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(
+    found = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+    return found.select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
 
