@@ -15,13 +15,13 @@ from tunelake.plans.tables import register_views
 from tunelake.session import build_session
 
 HEADLINE = [
-    "t2_best_records", "t1_build_samples", "t3_sample_records", "t4_merge_and_split", "t6_analytic_prompt",
+    "q04_self_join", "q05_band_join", "q16_group_by_alias", "q19_count_distinct", "q21_sum_expression",
+    "q27_correlated_subquery", "q31_correlated_exists", "q32_derived_table", "q36_window_average", "q38_topk_revenue",
     "a1_best_config", "a2_crash_cap", "a6_workload_features", "a9_accuracy", "a10_confusion", "a11_label_report",
     "a14_best_response", "a15_replay_throughput", "w3_incumbent_trace", "w6_exact_split", "j4_truth_prediction",
     "v1_plan_nodes", "v3_plan_text", "s3_run_history", "s7_replay_statements", "s14_run_log", "st1_best_stream",
     "m5_group_mean_cv", "m9_best_candidates",
-    "q04_self_join", "q05_band_join", "q16_group_by_alias", "q19_count_distinct", "q21_sum_expression",
-    "q27_correlated_subquery", "q31_correlated_exists", "q32_derived_table", "q36_window_average", "q38_topk_revenue",
+    "t1_build_samples", "t2_best_records", "t3_sample_records", "t4_merge_and_split", "t6_analytic_prompt",
 ]
 
 

@@ -120,13 +120,14 @@ def repeated_holdout(
     """(repeat, n, sse, r2) over given sets of held-out workloads.
 
     `samples` carry `scaled` per workload. All scores are kept; `positive_only`
-    drops scores that are not above 0, which biases the mean upwards.
+    drops scores that are not above 0, which biases the mean upwards. A hold-out is a
+    top-k of a few workload names, which is why it may be broadcast.
     """
     rows = written(samples, "holdout")
     scores = None
     for held in holdouts:
-        train = rows.join(held, "workload", "left_anti")
-        test = rows.join(held, "workload")
+        train = rows.join(F.broadcast(held), "workload", "left_anti")
+        test = rows.join(F.broadcast(held), "workload")
         score = r2(voted(test, fitted(train, estimators)), "scaled", "prediction", ["repeat"])
         scores = score if scores is None else scores.unionByName(score)
     return scores.filter(F.col("r2") > 0) if positive_only else scores

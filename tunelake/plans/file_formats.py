@@ -108,6 +108,11 @@ def s4_internal_metrics(spark, sf_dir):
     return parsed.select("workload", *[F.get("inner_metrics", F.lit(i)).alias(n) for i, n in enumerate(METRIC_NAMES)])
 
 
+@query("f8_with_both_files", st.with_views(["runs", "metrics"], "SELECT DISTINCT workload FROM runs JOIN metrics USING (workload)"))
+def f8_with_both_files(spark, sf_dir):
+    return src.with_both_files(st.runs(spark, sf_dir), st.metrics(spark, sf_dir))
+
+
 @query("s5_samples", tl.CHECKS["t1_build_samples"])
 def s5_samples(spark, sf_dir):
     """Samples written as JSON lines in two appends and read back."""

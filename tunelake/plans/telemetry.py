@@ -30,8 +30,7 @@ from tunelake.operators import history as hi
 from tunelake.operators import plan_trees as pt
 from tunelake.operators import records as rc
 from tunelake.operators import splits as sp
-from tunelake.operators import surrogate as su
-from tunelake.operators.skew import salted_join, with_group_stats
+from tunelake.operators.skew import with_group_stats
 from tunelake.plans import standins as st
 from tunelake.plans.tables import table
 
@@ -794,6 +793,16 @@ def t3_sample_records(spark, sf_dir):
     return _flat_meta(rc.build_sample_records(samples(spark, sf_dir), knob_records()))
 
 
+@query("u2_merge_records", st.with_views(["runs", "configs", "metrics"], f""", {_SQL_BEST}
+SELECT {_quoted(SYSTEM_TEXT)} AS system, {_quoted(INSTRUCTION_TEXT)} AS instruction, older, count(*) AS n_records FROM (
+  SELECT true AS older FROM best JOIN configs USING (config_id) JOIN metrics USING (workload)
+  UNION ALL SELECT false FROM runs JOIN configs USING (config_id) JOIN metrics USING (workload)) GROUP BY older"""))
+def u2_merge_records(spark, sf_dir):
+    merged = rc.merge_records(best_records(spark, sf_dir), rc.build_sample_records(samples(spark, sf_dir), knob_records()))
+    older = F.col("config_id").isNull().alias("older")
+    return merged.groupBy("system", "instruction", older).agg(F.count(F.lit(1)).alias("n_records"))
+
+
 @query("t4_merge_and_split", st.with_views(["runs", "configs", "metrics"], f""", {_SQL_BEST},
 merged AS (SELECT 'best:' || workload AS record_key FROM best JOIN configs USING (config_id) JOIN metrics USING (workload)
   UNION ALL SELECT config_id FROM runs JOIN configs USING (config_id) JOIN metrics USING (workload))

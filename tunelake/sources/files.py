@@ -265,8 +265,6 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     def part(i: int) -> Column:
         return F.regexp_extract("line", LOG_LINE, i)
 
-    message = part(5)
-    found = F.regexp_extract(message, LOG_THROUGHPUT, 1)
     return (
         lines.filter(F.col("line").rlike(LOG_LINE))
         .select(
@@ -274,7 +272,7 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
             part(2).alias("file"),
             part(3).cast("int").alias("line_no"),
             part(4).alias("level"),
-            message.alias("message"),
+            part(5).alias("message"),
         )
         .distinct()
         .withColumn("throughput", F.regexp_extract("message", LOG_THROUGHPUT, 1).try_cast("double"))
