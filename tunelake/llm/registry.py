@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunelake.llm import exact_dedup
+from tunelake.llm import best_fit_packing, byte_bpe, exact_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (best_fit_packing, exact_dedup, byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
