@@ -12,7 +12,6 @@ empty result.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 import struct
 from collections.abc import Callable
@@ -23,12 +22,13 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tunelake.llm.best_fit_packing import byte_letters
 from tunelake.llm.common import CACHE_WORDS, documents, id_and_text, slices_by_bytes, text_bytes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 UNKNOWN = "\ufffe?"  # no letter of a byte, so no text reaches it
 
 # A word with the space before it, or white space: no pre-token goes over these borders.
@@ -136,21 +136,13 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(batches):
-        for batch in batches:
-            ids, decoded = batch.column("ids").to_pylist(), batch.column("decoded").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
     coded = encode_documents(documents(spark, sf_dir))
-    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
