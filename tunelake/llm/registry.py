@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunelake.llm import best_fit_packing, byte_bpe, crf_language_id, exact_dedup, hilbert_sharding, parsing_fingerprint
-
-MODULES = (parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, byte_bpe, hilbert_sharding)
+from tunelake.llm import (
+    best_fit_packing,
+    byte_bpe,
+    crf_language_id,
+    exact_dedup,
+    hilbert_sharding,
+    ngram_jaccard_join,
+    parsing_fingerprint,
+)
+
+MODULES = (ngram_jaccard_join, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, byte_bpe, hilbert_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
