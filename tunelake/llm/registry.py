@@ -14,9 +14,10 @@ from tunelake.llm import (
     hilbert_sharding,
     ngram_jaccard_join,
     parsing_fingerprint,
+    suffix_dedup,
 )
 
-MODULES = (ngram_jaccard_join, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, byte_bpe, hilbert_sharding)
+MODULES = (ngram_jaccard_join, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, byte_bpe, suffix_dedup, hilbert_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,15 +54,18 @@ class Counts:
         self.bits, self.table = bits, table
 
     def of(self, names: np.ndarray) -> np.ndarray:
-        """0: the name is unique; 1: it may occur again; 2: its cell is crowded."""
+        """0: fewer than `few` names in the cell (for 2: the name is unique); 1: at least `few`; 2: at least `many`."""
         cells = names >> np.uint64(64 - self.bits)
         return (self.table[(cells >> np.uint64(2)).astype(np.int64)] >> ((cells & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
 
 
 def count_names(
-    docs: DataFrame, names_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], many: int, bits: int = BITS
+    docs: DataFrame, names_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], many: int, bits: int = BITS, few: int = 2
 ) -> Counts:
-    """Counts the names that `names_of` yields per batch. What comes to the driver has `2 ** bits / 4` bytes."""
+    """Counts the names that `names_of` yields per batch: code 1 from `few`, 2 from `many` on.
+
+    What comes to the driver has `2 ** bits / 4` bytes.
+    """
     width = 1 << max(bits - SLICES.bit_length() + 1, 0)
 
     def send(batches):
@@ -79,7 +82,7 @@ def count_names(
                 cells, times = np.unique(unpacked(blob), return_counts=True)
                 held[i][cells] = np.minimum(held[i][cells].astype(np.int64) + times, many)
         for i, counts in held.items():
-            code = (counts > 1).astype(np.uint8) + (counts >= many)
+            code = (counts >= few).astype(np.uint8) + (counts >= many)
             code = np.pad(code, (0, -len(code) % 4)).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i], pa.int32()), pa.array([(code << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()], pa.binary())],
