@@ -1,22 +1,64 @@
-"""From raw documents to packed sequences: the stages of the corpus pipeline."""
+"""From raw documents to packed sequences: the stages of the corpus pipeline.
+
+All stages but the last take and return the columns of `documents`, in any number of further
+columns. A null text counts as empty; an empty table runs through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tunelake.llm.best_fit_packing import pack
 from tunelake.llm.common import documents
+from tunelake.llm.crf_language_id import UNDETERMINED, with_language
 from tunelake.llm.exact_dedup import drop_exact_copies
+from tunelake.llm.ngram_jaccard_join import linked_documents
+from tunelake.llm.suffix_dedup import strip_repeats
 from tunelake.session import written
 
+# A document needs one language with this share of its words; text without letters has none.
+LEAST_SHARE = 0.4
+NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a clear language go."""
+    found = with_language(docs, docs).toDF(*docs.columns, "_pred", "_share")
+    return found.filter((F.col("_pred") != UNDETERMINED) & (F.col("_share") >= LEAST_SHARE)).drop("_pred", "_share")
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal texts keep the row with the largest id."""
+    """Of equal texts the row with the largest id stays."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    groups = linked_documents(docs, NEAR_WORDS, NEAR_SIMILARITY)
+    gone = groups.filter("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur more than once are cut out; what has nothing left goes."""
+    return strip_repeats(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left as pieces of training sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
-# The stages train models and read tokenizers, which SQL cannot express; tests compare with brute force.
+# The first stage trains a model and the last one reads a tokenizer, which SQL cannot express; tests use brute force.
 ORACLE_SQL = None
 
 

@@ -12,13 +12,14 @@ from tunelake.llm import (
     crf_language_id,
     exact_dedup,
     hilbert_sharding,
+    line_dedup,
     ngram_jaccard_join,
     parsing_fingerprint,
     pitman_yor_lm,
     suffix_dedup,
 )
 
-MODULES = (ngram_jaccard_join, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding)
+MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -307,7 +307,7 @@ def touched_texts(docs: DataFrame, places: DataFrame, keep_text: bool) -> tuple[
                     solved = True
                     if sum(map(len, first)):
                         kept, removed, spans = without_repeats(batch.column("bytes")[a + n].as_py(), np.concatenate(first), np.concatenate(last))
-                        out.append((int(now), removed, spans, kept if keep_text else hashlib.sha256(kept).hexdigest().encode()))
+                        out.append((int(now), removed, spans, kept.decode(errors="ignore").encode() if keep_text else hashlib.sha256(kept).hexdigest().encode()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["text", "n_removed", "n_spans", "kept"])
 
@@ -342,6 +342,31 @@ def removal_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` with `text` reduced (and `n_chars` with it); documents that lose all their text are left out.
+
+    Bytes of a character that was cut through go as well. Only texts that may lose something are shuffled.
+    """
+    plain = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*plain)
+    places = written(repeated_suffixes(rows.select("text")), "places")
+    maybe, texts = touched_texts(rows.select("text"), places, keep_text=True)
+
+    def name(batches):
+        for batch in slices_by_bytes(batches, BLOCK):
+            names = text_names(text_bytes(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names.view(np.int64)), pa.array(maybe(names))], [*plain, "_name", "_maybe"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _name long, _maybe boolean"
+    named = rows.mapInArrow(name, schema)
+    left = named.filter("_maybe").join(texts.select(F.col("text").alias("_name"), F.col("kept").cast("string").alias("_kept")), "_name", "left")
+    reduced = left.withColumn("text", F.coalesce("_kept", "text")).filter("_kept IS NULL OR _kept <> ''")
+    if "n_chars" in docs.columns:
+        n_chars = plain[docs.columns.index("n_chars")]
+        reduced = reduced.withColumn(n_chars, F.when(F.col("_kept").isNotNull(), F.length("text")).otherwise(F.col(n_chars)).cast(rows.schema[n_chars].dataType))
+    return named.filter("NOT _maybe").select(*plain).union(reduced.select(*plain)).toDF(*docs.columns)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
 
