@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
 
 from tunelake.session import build_session  # noqa: E402
 
@@ -21,6 +22,7 @@ def spark():
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     yield session
     session.stop()
 
