@@ -46,7 +46,7 @@ WORDS = 3
 SIMILARITY = (90, 100)
 LIGHT_MOST = 30  # sizes beyond have too many subsets to be weighed at all
 MANY = 16  # a shingle of so many documents comes last in the order
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 BLOCK_SHINGLES = 1_000_000
 COLUMNS = 4096  # of an incidence matrix at a time
 BATCH_BYTES = 4 << 20
@@ -157,8 +157,13 @@ def light_border(sets: DataFrame, similarity: tuple[int, int]) -> int:
 
 
 def postings(sets: DataFrame, light: int, similarity: tuple[int, int]) -> DataFrame:
-    """(key, rep): a row for each list or subset that a set is in."""
+    """(key, rep): a row for each list or subset that a set is in.
+
+    A list is cut by size: linked sets are in the same or in neighbouring classes of sizes,
+    so each entry goes to the part of its class and to the next one.
+    """
     over, under = similarity
+    width = math.log(under / over) * 1.0001 or 1.0
     scanned = -(-over * (light + 1) // under)  # the smallest set that a heavy one can link with
 
     def run(batches):
@@ -166,7 +171,9 @@ def postings(sets: DataFrame, light: int, similarity: tuple[int, int]) -> DataFr
             keys, reps = [], []
             columns = (batch.column("rep").to_pylist(), batch.column("n").to_pylist(), views(batch.column("keys")), views(batch.column("tokens")))
             for rep, n, own, tokens in zip(*columns, strict=True):
-                found = [own] if n >= scanned else []
+                size_class = int(math.log(n) / width)
+                parts = (own.view(np.uint64) + _MULTIPLIERS[:1] * np.uint64(c) for c in (size_class, size_class + 1))
+                found = [mixed(p).view(np.int64) for p in parts] if n >= scanned else []
                 if n <= light:
                     found.append(subset_keys(tokens.view(np.uint64), light, similarity).view(np.int64))
                 keys += found
@@ -247,8 +254,9 @@ def linked_documents(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id with an equal set) of every document."""
     rows = written(shingle_rows(id_and_text(docs), words, similarity), "shingle-rows")
     classes = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    first = rows.filter(F.size("keys") > 0).join(classes, "set_id").filter("doc_id = rep").dropDuplicates(["set_id"])
-    sets = written(first.select("rep", "n", "keys", "tokens"), "sets")
+    small = F.when(F.col("n") <= LIGHT_MOST, F.col("tokens")).otherwise(F.array().cast("array<long>")).alias("tokens")
+    first = rows.filter(F.size("keys") > 0).select("doc_id", "set_id", "n", "keys", small).join(classes, "set_id").filter("doc_id = rep")
+    sets = written(first.dropDuplicates(["set_id"]).select("rep", "n", "keys", "tokens"), "sets")
 
     light = light_border(sets, similarity)
     entries = written(postings(sets, light, similarity), "postings")
@@ -265,7 +273,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
         F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"),
         (F.col("_block") > F.col("_other")).alias("side"),
     )
-    filled = tiles.join(sets.select("rep", "tokens"), "rep")
+    filled = tiles.join(rows.filter(F.size("keys") > 0).select(F.col("doc_id").alias("rep"), "tokens"), "rep")
     key = ["leader", "low", "high"]
     dealt = filled.repartition(shuffle_partitions(docs), *key).sortWithinPartitions(*key)
     found = connected_components(forest(dealt, similarity))
