@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tunelake.catalog import Knob
 from tunelake.operators import evaluate as ev
 from tunelake.operators import history as hi
-from tunelake.operators import replay as rp
 from tunelake.operators import splits as sp
 from tunelake.operators import surrogate as su
 
@@ -55,9 +54,10 @@ def test_holdout_scores(samples):
     rows = su.training_rows(samples, CATALOG)
     scaled = hi.scale_by_workload(rows, "throughput", ["config_id"])
     holdouts = [sp.holdout_workloads(rows, r, 5) for r in range(2)]
-    got = su.repeated_holdout(scaled, holdouts, [su.random_forest(trees=10, depth=6), su.boosted_trees(rounds=5)])
+    got, models = su.repeated_holdout(scaled, holdouts, [su.random_forest(trees=10, depth=6), su.boosted_trees(rounds=5)])
+    assert len(models) == 2
     assert {r.repeat: r.n for r in got.collect()} == {0: 150, 1: 150}
-    assert su.repeated_holdout(scaled, holdouts[:1], [su.random_forest(trees=5)], positive_only=True).count() == 1
+    assert su.repeated_holdout(scaled, holdouts[:1], [su.random_forest(trees=5)], positive_only=True)[0].count() == 1
 
 
 def test_voting_is_the_mean(samples):
@@ -104,13 +104,17 @@ def test_group_mean_folds(spark):
     assert got[1].sse == pytest.approx(9 + 49)
 
 
-def test_replay_records_errors_and_goes_on(spark):
-    spark.range(5).createOrReplaceTempView("numbers")
-    stmts = spark.createDataFrame(
-        [("w", 0, "SELECT count(*) FROM numbers;"), ("w", 1, "SELECT nope FROM numbers;"), ("w", 2, "SELECT 1;"), ("w", 3, "SELECT id FROM numbers;")],
-        "workload string, stmt_pos int, sql_text string",
+def test_group_mean_folds_of_groups_in_one_fold(spark):
+    rows = spark.createDataFrame(
+        [("w1", "1", "g", 1e9), ("w1", "2", "new", 1e9 + 3), ("w2", "3", "g", 1e9 + 1), ("w2", "4", "g", 1e9 + 2)],
+        "workload string, config_id string, g string, y double",
     )
-    got = {r.stmt_pos: r for r in rp.replay_workload(spark, stmts, 2).collect()}
-    assert [got[i].stream for i in range(4)] == [0, 1, 0, 1]
-    assert [got[i].error is None for i in range(4)] == [True, False, True, True]
-    assert all(r.ended >= r.started for r in got.values())
+    folds = spark.createDataFrame([("w1", 0), ("w2", 1)], "workload string, fold int")
+    got = {r.fold: r for r in su.group_mean_folds(rows, folds, "g", "y", ["config_id"]).collect()}
+    assert got[0].sse == pytest.approx(1.5**2 + 1.5**2) and got[0].r2 == pytest.approx(1 - 4.5 / 4.5)
+    assert got[1].sse == pytest.approx(1 + 4) and got[1].r2 == pytest.approx(1 - 5 / 0.5)
+
+
+def test_flat_throughput_has_no_scale(samples):
+    rows = su.training_rows(samples, CATALOG)
+    assert su.with_scale(rows, 5.0, 5.0).filter("scaled IS NOT NULL").count() == 0

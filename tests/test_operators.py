@@ -143,6 +143,15 @@ def test_deep_plan(spark):
     assert pt.plan_texts(df).first().plan_text == "n(" * 40 + "n" + ", 1.0)" * 40
 
 
+def test_plans_without_costs_keep_their_children(spark):
+    text = '{"Node Type":"Sort","Plans":[{"Node Type":"Seq Scan"},{"Node Type":"Hash","Startup Cost":0,"Total Cost":2,"Plans":[{"Node Type":"A"}]}]}'
+    rows = [(1, text), (2, '{"Node Type":"A","Startup Cost":0,"Total Cost":1,"Plans":[]}'), (3, "no plan")]
+    df = spark.createDataFrame(rows, "plan_id long, text string")
+    got = {r.plan_id: r.plan_text for r in pt.plan_texts(df).collect()}
+    assert got == {1: "sort(seq scan, hash(a, 2.0))", 2: "a", 3: None}
+    assert pt.plan_nodes(df.withColumn("status", F.lit("F")), ["status"]).filter("status = 'F' AND plan_id = 1").count() == 4
+
+
 def test_file_plans_skip_entries_without_plan(spark):
     text = json.dumps([{"Plan": {"Plan": PLAN}, "query": "q", "query_id": 1}, {"query": "x"}])
     files = spark.createDataFrame([("f", text)], "workload string, text string")
@@ -270,6 +279,11 @@ def test_decode_answers(spark):
     assert got["autovacuum_vacuum_cost_delay"].value == 4.0
     assert got["geqo_seed"].value == pytest.approx(0.95)
     assert got["temp_file_limit"].rejected and got["temp_file_limit"].value is None
+    both = spark.createDataFrame(
+        [("1", "autovacuum_vacuum_cost_delay", "50-60%"), ("1", "autovacuum_delay", "00% to 10%")],
+        "response string, knob string, label string",
+    )
+    assert [r.value for r in ev.decode_answers(both, catalog).collect()] == [4.0]
 
 
 def test_results(spark):
@@ -280,6 +294,8 @@ def test_results(spark):
     assert best["only"].best_name is None and best["only"].default_qps == 1.0
     got = {r.name: r.improvement_pct for r in ev.compare_runs(results).collect()}
     assert got == {"a": 50.0, "b": 50.0, "c": -50.0}
+    ranks = {r.name: r["rank"] for r in ev.ranked_runs(ev.compare_runs(results)).collect()}
+    assert ranks == {"a": 1, "b": 1, "c": 3}
 
 
 def test_r2(spark):

@@ -45,7 +45,31 @@ def test_salted_join_spreads_the_hot_key(spark, runs):
     plan = skew.salted_join(runs, small, ["workload"], ["config_id"], rows_per_salt=50)
     assert "_salt" in plan._jdf.queryExecution().analyzed().toString()
     hot = skew.key_counts(runs, ["workload"]).filter("_n > 50")
-    assert 0 < hot.count() <= skew.MAX_HOT_KEYS
+    assert hot.count() > 0
+
+
+def test_more_hot_keys_than_a_short_list(spark):
+    big = spark.range(6000).selectExpr("concat('w', id % 700) AS workload", "id AS config_id")
+    small = big.select("workload").distinct().withColumn("tag", F.length("workload"))
+    salted = skew.salted_join(big, small, ["workload"], ["config_id"], rows_per_salt=2)
+    assert as_set(salted) == as_set(big.join(small, "workload").select(*salted.columns))
+
+
+@pytest.fixture(scope="module")
+def null_runs(spark):
+    rows = [("a", 1, "1", -5.0), (None, 2, "2", -3.0), (None, 3, "3", 9.0), ("a", 4, "4", 7.0), (None, 5, "5", -4.0)]
+    return spark.createDataFrame(rows, "workload string, run_ord long, config_id string, cost double")
+
+
+def test_null_workloads_are_a_group(null_runs):
+    capped = {r.config_id: r.capped for r in hi.crash_cap(null_runs).collect()}
+    assert capped == {"1": -5.0, "2": -3.0, "3": -3.0, "4": -5.0, "5": -4.0}
+    trace = {r.run_ord: (r.best_so_far, r.improved) for r in hi.incumbent_trace(null_runs, block_rows=2).collect()}
+    assert trace == {1: (-5.0, True), 2: (-3.0, True), 3: (-3.0, False), 4: (-5.0, False), 5: (-4.0, True)}
+    assert {(r.workload, r.config_id) for r in hi.best_runs(null_runs).collect()} == {("a", "1"), (None, "5")}
+    assert hi.well_sampled(null_runs, ["config_id"], min_samples=2).count() == 3
+    scaled = hi.scale_by_workload(null_runs.filter("cost < 0"), "cost", ["config_id"]).filter("workload IS NULL")
+    assert {r.config_id: r.scaled for r in scaled.collect()} == {"2": 1.0, "5": 0.0}
 
 
 def test_foreign_counts_do_not_change_the_result(spark, runs):

@@ -133,6 +133,10 @@ def test_benchmark_xml(spark, tmp_path):
     assert (got.scalefactor, got.terminals, got.time, got.rate) == (1.0, 16, 60, "unlimited")
     assert got.weights == [45, 43, 4, 4, 4]
     assert got.transactions == ["NewOrder", "Payment"]
+    second = "<work><time>30</time><rate>10</rate><weights>3,4</weights></work></works>"
+    put(tmp_path / "y/sample_tpcc_config2.xml", XML.replace("</works>", second))
+    phases = {r.phase: (r.time, r.weights) for r in src.read_benchmark_xml(spark, str(tmp_path / "y")).collect()}
+    assert phases == {0: (60, [45, 43, 4, 4, 4]), 1: (30, [3, 4])}
 
 
 def test_benchmark_summary(spark, tmp_path):
@@ -145,8 +149,10 @@ def test_benchmark_summary(spark, tmp_path):
 
 
 def test_result_lines(spark, tmp_path):
-    path = put(tmp_path / "in.txt", "default:  -1.05\nresponse_1.json: -0.99\n\n")
+    path = put(tmp_path / "in.txt", "default:  -1.05\nresponse_1.json: -0.99\n\nno number\nx: y\n")
     got = src.read_result_lines(spark, path).select("name", "qps")
+    assert as_set(got.filter("qps IS NULL")) == {("no number", None), ("x", None)}
+    got = got.filter("qps IS NOT NULL")
     assert as_set(got) == {("default", -1.05), ("response_1.json", -0.99)}
     sinks.write_result_lines(got, str(tmp_path / "out"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
@@ -156,6 +162,7 @@ def test_result_lines(spark, tmp_path):
 def test_responses_skip_malformed(spark, tmp_path):
     put(tmp_path / "a/response_1.json", '{"work_mem": "30% to 40%",\n "geqo_seed": "middle"}')
     put(tmp_path / "a/response_2.json", '{"work_mem": ')
+    put(tmp_path / "a/response_3.json", 'Sure: {"wal_buffers": "0% to 10%"} Done.')
     got = src.read_responses(spark, str(tmp_path / "a")).select("knob", "label")
     assert as_set(got) == {("work_mem", "30% to 40%"), ("geqo_seed", "middle")}
 

@@ -33,6 +33,10 @@ def knob_table(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def is_legacy(knob: Column) -> Column:
+    return knob.isin(list(KNOB_RENAMES))
+
+
 def renamed(knob: Column) -> Column:
     """Current name of a knob, mapping the legacy spellings."""
     out = knob

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelake.catalog import renamed
+from tunelake.catalog import is_legacy, renamed
 from tunelake.constants import N_BUCKETS
 from tunelake.functions.labels import label_bucket, range_bucket
 from tunelake.functions.scaling import abs_qps, decode_bucket, improvement_pct, ratio
 from tunelake.functions.text import bind, extract_json_object
-from tunelake.operators.skew import salted_join
+from tunelake.operators.history import with_limits
+from tunelake.operators.skew import ROWS_PER_SALT, matched, salted_join
 
 
 def parsed_answers(answers: DataFrame) -> DataFrame:
@@ -67,8 +68,9 @@ def paired_labels(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return left.join(right, ["sample", "knob"])
 
 
-def missing_predictions(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    return truth.join(pred, ["sample", "knob"], "left_anti")
+def missing_predictions(parsed: DataFrame) -> DataFrame:
+    """Knobs of the truth without a prediction, under readable answers only, as (sample, knob)."""
+    return knob_labels(parsed).filter(F.col("pred_label").isNull()).select("sample", "knob")
 
 
 def comparable(pairs: DataFrame) -> DataFrame:
@@ -101,6 +103,8 @@ def label_set(scored: DataFrame) -> DataFrame:
 def confusion_matrix(scored: DataFrame, n_labels: int = N_BUCKETS) -> DataFrame:
     """One row per label of truth or prediction, one column `pred_i` per label of the scale.
 
+    Labels from `n_labels` on are rows too, but have no column; pass the size of a larger scale.
+
     Every counted pair adds its cell to the row of its truth and an empty cell to the
     row of its prediction, so both kinds of labels come out of one pass.
     """
@@ -181,11 +185,16 @@ def coverage_summary(coverage: DataFrame) -> DataFrame:
 def decode_answers(labels: DataFrame, catalog: DataFrame) -> DataFrame:
     """(…, knob, label, value) with labels decoded to knob values.
 
-    Legacy names are renamed and unknown knobs skipped. A label outside the scale on a
-    knob with a range is an error: its `value` is null and `rejected` is true.
+    Legacy names are renamed and unknown knobs skipped; of a knob under both names the
+    legacy one's label counts. All columns but knob and label tell the answers apart. A label
+    outside the scale on a knob with a range is an error: its `value` is null and
+    `rejected` is true.
     """
-    current = labels.withColumn("knob", renamed(F.col("knob")))
-    known = current.join(F.broadcast(catalog), "knob")
+    answer = [c for c in labels.columns if c not in ("knob", "label")]
+    legacy = F.when(is_legacy(F.col("knob")), F.col("label")).alias("_old")
+    current = labels.select("*", legacy, renamed(F.col("knob")).alias("_new")).drop("knob").withColumnRenamed("_new", "knob")
+    single = current.groupBy(*answer, "knob").agg(F.coalesce(F.max("_old"), F.max("label")).alias("label"))
+    known = with_limits(single, catalog, "inner")
     value = decode_bucket(label_bucket(F.col("label")), F.col("min"), F.col("max"), F.col("default"), F.col("type"))
     return (
         known.withColumn("value", value)
@@ -194,7 +203,9 @@ def decode_answers(labels: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def compare_runs(results: DataFrame, default_name: str = "default") -> DataFrame:
+def compare_runs(
+    results: DataFrame, default_name: str = "default", rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Results (run, name, qps) against the default of the same run: percent change of |qps|.
 
     Of repeated defaults the best counts. A run may hold many results, hence the salted join.
@@ -202,32 +213,40 @@ def compare_runs(results: DataFrame, default_name: str = "default") -> DataFrame
     qps = abs_qps(F.col("qps"))
     base = results.filter(F.col("name") == default_name).groupBy("run").agg(F.max(qps).alias("default_qps"))
     tried = results.filter(F.col("name") != default_name).select("run", "name", qps.alias("qps"))
-    return salted_join(tried, base, ["run"], ["name"]).withColumn(
+    return salted_join(tried, base, ["run"], ["name"], rows_per_salt=rows_per_salt).withColumn(
         "improvement_pct", improvement_pct(F.col("qps"), F.col("default_qps"))
     )
 
 
+def ranked_runs(results: DataFrame) -> DataFrame:
+    """Adds `rank`: 1 for the largest |qps| of a run, ties share a rank.
+
+    The results of a run are the lines of one result file, which bounds the window.
+    """
+    order = Window.partitionBy("run").orderBy(abs_qps(F.col("qps")).desc_nulls_last())
+    return results.withColumn("rank", F.rank().over(order))
+
+
 def best_against_default(results: DataFrame, default_name: str = "default") -> DataFrame:
     """Per run: the first best answer by |qps|, the default and the gap between them.
 
-    Both come out of one aggregation: no join and no per-run sort.
+    Aggregates of fixed width find both; only the few answers that share the best |qps| of
+    their run are looked at by name.
     """
     is_default = F.col("name") == default_name
     qps = abs_qps(F.col("qps"))
-    best = F.min_by(
-        F.struct("name", qps.alias("qps")), F.when(~is_default, F.struct((-qps).alias("q"), F.col("name")))
-    )
-    return (
-        results.groupBy("run")
-        .agg(best.alias("best"), F.max(F.when(is_default, qps)).alias("default_qps"))
-        .select(
-            "run",
-            F.col("best.name").alias("best_name"),
-            F.col("best.qps").alias("best_qps"),
-            "default_qps",
-            (F.col("best.qps") - F.col("default_qps")).alias("gap"),
-            improvement_pct(F.col("best.qps"), F.col("default_qps")).alias("improvement_pct"),
-        )
+    top = F.max(F.when(~is_default, qps)).alias("best_qps")
+    runs = results.groupBy("run").agg(top, F.max(F.when(is_default, qps)).alias("default_qps"))
+    tried = results.filter(~is_default).select("run", "name", qps.alias("_qps"))
+    ties = matched(tried, runs.select("run", "best_qps"), ["run"], "inner").filter("_qps = best_qps")
+    names = ties.groupBy("run").agg(F.min("name").alias("best_name"))
+    return matched(runs, names, ["run"], "left").select(
+        "run",
+        "best_name",
+        "best_qps",
+        "default_qps",
+        (F.col("best_qps") - F.col("default_qps")).alias("gap"),
+        improvement_pct(F.col("best_qps"), F.col("default_qps")).alias("improvement_pct"),
     )
 
 

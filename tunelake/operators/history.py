@@ -15,6 +15,7 @@ from tunelake.functions.scaling import capped_cost, cost_to_y, ratio
 from tunelake.operators.skew import (
     ROWS_PER_SALT,
     key_counts,
+    matched,
     running_min,
     salted_join,
     with_group_stats,
@@ -46,10 +47,24 @@ def run_order() -> Column:
     return F.struct("cost", "run_ord")
 
 
+def best_of(rows: DataFrame, keys: list[str], measure: str, order: str, largest: bool = False) -> DataFrame:
+    """The row of each key with the smallest (or largest) measure, of equal ones that first in `order`.
+
+    Two aggregates of fixed width run as hash aggregates; an aggregate of whole structs would
+    sort all rows first. What they leave to join is one row per key, and `order` is unique
+    within a key and measure.
+    """
+    best = F.max(measure) if largest else F.min(measure)
+    ties = matched(rows, rows.groupBy(*keys).agg(best.alias("_best")), keys, "inner").filter(
+        F.col(measure).eqNullSafe(F.col("_best"))
+    )
+    first = ties.groupBy(*keys).agg(F.min(order).alias("_first"))
+    return matched(ties, first, keys, "inner").filter(F.col(order).eqNullSafe(F.col("_first"))).drop("_best", "_first")
+
+
 def best_runs(runs: DataFrame) -> DataFrame:
-    """One row per workload: its best run. Partial minima are combined before the shuffle."""
-    best = F.min_by(F.struct("config_id", "cost", "run_ord"), run_order()).alias("best")
-    return runs.groupBy("workload").agg(best).select("workload", "best.*")
+    """One row per workload: its best run."""
+    return best_of(runs, ["workload"], "cost", "run_ord").select("workload", "config_id", "cost", "run_ord")
 
 
 def crash_cap(
@@ -61,10 +76,12 @@ def crash_cap(
     return stats.withColumn("capped", capped_cost(F.col("cost"), F.col("_worst"))).drop("_worst")
 
 
-def scale_by_workload(samples: DataFrame, value: str, spread_by: list[str]) -> DataFrame:
+def scale_by_workload(
+    samples: DataFrame, value: str, spread_by: list[str], rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Adds `scaled`, the min-max position of `value` in its workload; flat workloads give null."""
     stats = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
-    out = with_group_stats(samples, ["workload"], stats, spread_by)
+    out = with_group_stats(samples, ["workload"], stats, spread_by, rows_per_salt=rows_per_salt)
     scaled = ratio(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return out.withColumn("scaled", scaled).drop("_lo", "_hi")
 
@@ -88,20 +105,27 @@ def sample_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("workload").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
-def well_sampled(samples: DataFrame, spread_by: list[str], min_samples: int = MIN_SAMPLES) -> DataFrame:
+def well_sampled(
+    samples: DataFrame, spread_by: list[str], min_samples: int = MIN_SAMPLES, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Samples of workloads that have more than `min_samples` of them."""
-    out = with_group_stats(samples, ["workload"], [F.count(F.lit(1)).alias("_size")], spread_by)
+    size = F.count(F.lit(1)).alias("_size")
+    out = with_group_stats(samples, ["workload"], [size], spread_by, rows_per_salt=rows_per_salt)
     return out.filter(F.col("_size") > min_samples).drop("_size")
 
 
 def with_metrics(
-    rows: DataFrame, metrics: DataFrame, how: str = "inner", counts: DataFrame | None = None
+    rows: DataFrame,
+    metrics: DataFrame,
+    how: str = "inner",
+    counts: DataFrame | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Rows (with a config_id) and the counters of their workload, an empty array where absent.
 
     `metrics` has one row per workload; `rows` may hold a hot workload.
     """
-    out = salted_join(rows, metrics, ["workload"], ["config_id"], how, counts)
+    out = salted_join(rows, metrics, ["workload"], ["config_id"], how, counts, rows_per_salt)
     empty = F.array().cast("array<double>")
     return out.withColumn("inner_metrics", F.coalesce("inner_metrics", empty))
 
@@ -111,17 +135,26 @@ def best_with_metrics(best: DataFrame, metrics: DataFrame) -> DataFrame:
     return best.join(metrics, "workload", "inner")
 
 
+# A catalog of more knobs than this is joined like any other table.
+CATALOG_LIMIT = 10_000
+
+
+def with_limits(values: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
+    """Join with a knob catalog: broadcast if its size was checked, else as Spark plans it."""
+    small = catalog.limit(CATALOG_LIMIT + 1).count() <= CATALOG_LIMIT
+    return values.join(F.broadcast(catalog) if small else catalog, "knob", how)
+
+
 def with_catalog(values: DataFrame, catalog: DataFrame, keep_unknown: bool) -> DataFrame:
-    """Knob values (…, knob, value) with their limits; the catalog is a fixed small table.
+    """Knob values (…, knob, value) with their limits.
 
     Unknown knobs pass through with null limits or are dropped.
     """
-    how = "left" if keep_unknown else "inner"
-    return values.join(F.broadcast(catalog), "knob", how)
+    return with_limits(values, catalog, "left" if keep_unknown else "inner")
 
 
 def known_knobs(values: DataFrame, catalog: DataFrame) -> DataFrame:
-    return values.join(F.broadcast(catalog.select("knob")), "knob", "left_semi")
+    return with_limits(values, catalog.select("knob"), "left_semi")
 
 
 def incumbent_trace(runs: DataFrame, block_rows: int = 100_000) -> DataFrame:
@@ -149,15 +182,20 @@ def build_samples(runs: DataFrame, configs: DataFrame, metrics: DataFrame) -> Da
     """One sample per run: configuration, y = [throughput, inverse], counters, workload.
 
     The cap is taken over runs whose configuration exists, as those are the only
-    samples; the counters are optional. The narrow runs go through the cap before the
-    wide configurations join, so these are shuffled once. Hot workloads are found on
-    the plain runs, for both joins on the workload.
+    samples; the counters are optional. One aggregate of the runs with a known
+    configuration gives the worst valid cost of each workload; it joins the counters, both
+    a row per workload, and then the samples, which were joined with the wide
+    configurations once.
     """
-    counts = key_counts(runs, ["workload"])
-    capped = crash_cap(runs_with_known_config(runs, configs), counts)
-    samples = capped.withColumn("y", cost_to_y(F.col("capped"))).drop("cost", "capped")
-    with_counters = with_metrics(samples, metrics, "left", counts)
-    return runs_with_config(with_counters, configs)
+    joined = runs_with_config(runs, configs)
+    known = runs_with_known_config(runs, configs)
+    worst = known.groupBy("workload").agg(F.max(F.when(F.col("cost") < 0, F.col("cost"))).alias("_worst"), F.count(F.lit(1)).alias("_n"))
+    about = matched(worst, metrics, ["workload"], "left")
+    counts = about.select("workload", "_n")
+    out = salted_join(joined, about.drop("_n"), ["workload"], ["config_id"], "inner", counts, null_safe=True)
+    empty = F.array().cast("array<double>")
+    capped = out.withColumn("y", cost_to_y(capped_cost(F.col("cost"), F.col("_worst")))).withColumn("inner_metrics", F.coalesce("inner_metrics", empty))
+    return capped.drop("cost", "_worst")
 
 
 def union_families(families: dict[str, DataFrame]) -> DataFrame:
@@ -169,6 +207,12 @@ def union_families(families: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def with_family(rows: DataFrame, families: list[str]) -> DataFrame:
+    """Rows of one table marked with the family whose folder their workload is in; others are dropped."""
+    named = F.coalesce(*[F.when(F.contains("workload", F.lit(f"/{f}/")), F.lit(f)) for f in families])
+    return rows.withColumn("benchmark", named).filter(F.col("benchmark").isNotNull())
+
+
 def optimizer_rollup(stats: DataFrame) -> DataFrame:
     """Optimizer statistics per benchmark: runs, evaluations, times, incumbent changes."""
     return stats.groupBy("benchmark").agg(

@@ -7,6 +7,8 @@ and depth is not limited.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def tree_nodes(text: Column) -> Column:
     """Array of the nodes (path, type, startup, total) of a plan's JSON text, parents first.
 
     The root has the path [0]; a child adds its position among its siblings. Every
-    inner node brings one `"Plans"` key, so their number bounds the depth.
+    inner node brings one `"Plans"` key, so their number bounds the depth; levels below the
+    deepest one pass the found nodes on as they are.
     """
     root = F.array(
         F.struct(F.array(F.lit(0)).alias("path"), F.try_parse_json(text).alias("v"))
@@ -36,7 +39,8 @@ def tree_nodes(text: Column) -> Column:
 
     def step(acc, _):
         below = F.flatten(F.transform(acc["front"], _children))
-        return F.struct(below.alias("front"), F.concat(acc["seen"], acc["front"]).alias("seen"))
+        more = F.struct(below.alias("front"), F.concat(acc["seen"], acc["front"]).alias("seen"))
+        return F.when(F.size(acc["front"]) > 0, more).otherwise(acc)
 
     start = F.struct(root.alias("front"), F.filter(root, lambda _: F.lit(False)).alias("seen"))
     found = F.aggregate(levels, start, step, lambda acc: acc["seen"])
@@ -51,17 +55,18 @@ def tree_nodes(text: Column) -> Column:
     )
 
 
-def plan_nodes(plans: DataFrame) -> DataFrame:
-    """Node table (plan_id, node_path, parent_path, ordinal, depth, node_type, costs).
+def plan_nodes(plans: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Node table (plan_id, node_path, parent_path, ordinal, depth, node_type, costs) with the kept columns of the plan.
 
     An outer generator, because for an inner one the array would be computed a second
     time in an inferred filter.
     """
     node = F.col("node")
     path = node["path"]
-    exploded = plans.select("plan_id", F.explode_outer(tree_nodes(F.col("text"))).alias("node"))
+    exploded = plans.select("plan_id", *keep, F.explode_outer(tree_nodes(F.col("text"))).alias("node"))
     return exploded.filter(node.isNotNull()).select(
         "plan_id",
+        *keep,
         F.array_join(path.cast("array<string>"), ".").alias("node_path"),
         F.when(F.size(path) > 1, F.array_join(F.slice(path, 1, F.size(path) - 1).cast("array<string>"), ".")).alias("parent_path"),
         F.element_at(path, -1).alias("ordinal"),
@@ -79,38 +84,35 @@ def self_cost() -> Column:
 def render_tree(nodes: Column) -> Column:
     """Text `type(child, child, cost)` of a node array; leaves print their type only.
 
-    The nodes are folded from the deepest level up: a map carries the finished
-    child texts of each parent until the parent itself is reached.
+    The nodes are folded once, in the reverse order of their paths, which is children
+    before parents and later siblings first. `open` holds the finished texts of nodes whose
+    parents are still to come, with their depths, the next one first: a parent takes those
+    one level below it. A node without costs prints its children only.
     """
-
-    def key(path):
-        return F.array_join(path.cast("array<string>"), ".")
-
-    ordered = F.array_sort(
-        F.transform(
-            nodes,
-            lambda n: F.struct(
-                (-F.size(n["path"])).alias("level"),
-                n["path"].alias("path"),
-                key(n["path"]).alias("own"),
-                key(F.slice(n["path"], 1, F.size(n["path"]) - 1)).alias("parent"),
-                F.lower(n["type"]).alias("type"),
-                (n["total"] - n["startup"]).alias("cost"),
-            ),
+    ordered = F.reverse(
+        F.array_sort(
+            F.transform(
+                nodes,
+                lambda n: F.struct(
+                    n["path"].alias("path"),
+                    F.size(n["path"]).alias("depth"),
+                    F.lower(n["type"]).alias("type"),
+                    (n["total"] - n["startup"]).alias("cost"),
+                ),
+            )
         )
     )
 
-    def step(done, n):
-        inside = F.concat(
-            F.lit("("), F.try_element_at(done, n["own"]), F.lit(", "), humanize_cost(n["cost"]), F.lit(")")
-        )
-        text = F.concat(n["type"], F.coalesce(inside, F.lit("")))
-        siblings = F.concat_ws(", ", F.try_element_at(done, n["parent"]), text)
-        rest = F.map_filter(done, lambda k, _: (k != n["own"]) & (k != n["parent"]))
-        return F.map_concat(rest, F.create_map(n["parent"], siblings))
+    def step(ready, n):
+        below = F.filter(ready, lambda r: r["depth"] > n["depth"])
+        rest = F.filter(ready, lambda r: r["depth"] <= n["depth"])
+        parts = F.concat(F.transform(below, lambda r: r["text"]), F.array(humanize_cost(n["cost"])))
+        inside = F.concat(F.lit("("), F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", "), F.lit(")"))
+        text = F.concat(n["type"], F.when(F.size(below) > 0, inside).otherwise(F.lit("")))
+        return F.concat(F.array(F.struct(n["depth"].alias("depth"), text.alias("text"))), rest)
 
-    empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(ordered, empty, step, lambda done: F.try_element_at(done, F.lit("")))
+    none = F.array().cast("array<struct<depth:int,text:string>>")
+    return F.aggregate(ordered, none, step, lambda ready: F.try_element_at(ready, F.lit(1))["text"])
 
 
 def plan_texts(plans: DataFrame) -> DataFrame:

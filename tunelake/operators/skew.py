@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key a single task takes before the key is spread over more tasks.
+# Rows of one key a single task takes before the key is spread over more tasks. It places rows
+# and changes no result; every caller can pass another value.
 ROWS_PER_SALT = 2_000_000
-# Keys that may be spread. A key outside the largest 512 owns less than 1/512 of the rows.
-MAX_HOT_KEYS = 512
-# Hex digits of the hash prefix that cuts a global order into blocks (16 ** 4 blocks).
+# Hex digits of the hash prefix that cuts a global order into blocks (16 ** 4 blocks). A block
+# holds n / 16 ** digits rows, and there are as many offsets as blocks: choose it by n.
 RANK_DIGITS = 4
 
 
@@ -25,6 +25,16 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool = True) -> DataFrame:
+    """Equi join with one copy of the keys; with `null_safe` a null key equals a null key."""
+    keys = list(keys)
+    if not null_safe:
+        return left.join(right, keys, how)
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -33,13 +43,15 @@ def salted_join(
     how: str = "inner",
     counts: DataFrame | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Equi join whose hot keys are spread over several tasks.
+    """Equi join (inner or left) whose hot keys are spread over several tasks.
 
-    Only the largest keys (at most MAX_HOT_KEYS rows, hence the broadcast) get more
-    than one salt; their rows of `small` are repeated once per salt. `spread_by` are
-    columns of `big` that differ within a key; the salt depends on nothing else, so a
-    recomputed task agrees with the lost one.
+    Keys with more than `rows_per_salt` rows get more than one salt, and their rows of
+    `small` are repeated once per salt. Of n rows at most n / rows_per_salt keys can be so
+    large, which bounds the broadcast list. `spread_by` are columns of `big` that differ
+    within a key; the salt depends on nothing else, so a recomputed task agrees with the
+    lost one. As in any join a null key matches nothing, unless `null_safe` is set.
 
     `counts` are the `key_counts` to find the hot keys with, by default those of `big`.
     Salts change where rows go and never the result, so the counts of an earlier
@@ -47,21 +59,18 @@ def salted_join(
     """
     keys = list(keys)
     counts = key_counts(big, keys) if counts is None else counts
-    hot = (
-        counts.filter(F.col("_n") > rows_per_salt)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
+    hot = counts.filter(F.col("_n") > rows_per_salt).select(
+        *keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts")
     )
     salt = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
-    left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    left = matched(big, F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
     last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
     right = (
-        small.join(F.broadcast(hot), keys, "left")
+        matched(small, F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
         .drop("_salts")
     )
-    return left.join(right, keys + ["_salt"], how).drop("_salt")
+    return matched(left, right, keys + ["_salt"], how, null_safe).drop("_salt")
 
 
 def with_group_stats(
@@ -74,37 +83,38 @@ def with_group_stats(
 ) -> DataFrame:
     """Every row with aggregates of its group: an unordered window without its group buffer.
 
-    The aggregates are combined map-side to one row per key and joined back.
+    The aggregates are combined map-side to one row per key and joined back. Rows with a
+    null key are a group, as in a window.
     """
     per_key = rows.groupBy(*keys).agg(*stats)
-    return salted_join(rows, per_key, keys, spread_by, "inner", counts, rows_per_salt)
+    return salted_join(rows, per_key, keys, spread_by, "inner", counts, rows_per_salt, null_safe=True)
 
 
 def running_min(
-    rows: DataFrame, keys: Sequence[str], order: str, value: str, block_rows: int = 100_000
+    rows: DataFrame, keys: Sequence[str], order: str, value: str, block_rows: int = 100_000, levels: int = 2
 ) -> DataFrame:
     """Adds `_before`, the minimum of `value` over the earlier rows of the same key.
 
-    `order` is an integer unique within a key, so a block of `block_rows`
-    consecutive orders has a bounded size. Minima run inside blocks; the minima
-    of whole blocks are small and run over the key.
+    `order` is an integer unique within a key, so a block of `block_rows` consecutive
+    orders has a bounded size. Minima run inside blocks; the minima of whole blocks are
+    rows of the same kind, one for each block that has any, and run the same way `levels`
+    times. A key of `block_rows ** (levels + 1)` orders has bounded windows only.
     """
     keys = list(keys)
-    blocks = keys + ["_block"]
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / block_rows))
+    if not levels:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_before", F.min(value).over(before))
+    block, least, local = f"_block{levels}", f"_least{levels}", f"_local{levels}"
+    blocks = keys + [block]
+    blocked = rows.withColumn(block, F.floor(F.col(order) / block_rows))
     inside = Window.partitionBy(*blocks).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = blocked.withColumn("_local", F.min(value).over(inside))
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        blocked.groupBy(*blocks)
-        .agg(F.min(value).alias("_block_min"))
-        .withColumn("_earlier", F.min("_block_min").over(across))
-        .drop("_block_min")
-    )
+    minima = blocked.groupBy(*blocks).agg(F.min(value).alias(least))
+    earlier = running_min(minima, keys, block, least, block_rows, levels - 1)
+    earlier = earlier.select(*blocks, F.col("_before").alias(f"_earlier{levels}"))
     return (
-        local.join(earlier, blocks)
-        .withColumn("_before", F.least("_local", "_earlier"))
-        .drop("_block", "_local", "_earlier")
+        matched(blocked.withColumn(local, F.min(value).over(inside)), earlier, blocks, "inner")
+        .withColumn("_before", F.least(local, f"_earlier{levels}"))
+        .drop(block, local, f"_earlier{levels}")
     )
 
 
@@ -113,14 +123,14 @@ def hash_order(*columns: Column) -> Column:
     return F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]))
 
 
-def hash_rank(rows: DataFrame, key_hash: str, name: str = "_rank") -> DataFrame:
+def hash_rank(rows: DataFrame, key_hash: str, name: str = "_rank", digits: int = RANK_DIGITS) -> DataFrame:
     """Exact 0-based position of each row in the global order of a unique md5 column.
 
-    The first hex digits cut the order into 65,536 even blocks. Ranks are local to
-    a block; the offsets come from the block counts, a table of at most that many
+    The first `digits` hex digits cut the order into 16 ** digits even blocks. Ranks are
+    local to a block; the offsets come from the block counts, a table of at most that many
     rows, which is what makes the single-partition running sum and the broadcast safe.
     """
-    blocked = rows.withColumn("_block", F.substring(key_hash, 1, RANK_DIGITS))
+    blocked = rows.withColumn("_block", F.substring(key_hash, 1, digits))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy("_block")
@@ -144,6 +154,7 @@ def band_join(
     upper: str,
     width: float,
     spread_by: Sequence[str],
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Points with every band that holds them (`lower <= point <= upper`).
 
@@ -153,5 +164,5 @@ def band_join(
     cells = F.sequence(F.floor(F.col(lower) / width), F.floor(F.col(upper) / width))
     left = points.withColumn("_cell", F.floor(F.col(point) / width))
     right = bands.withColumn("_cell", F.explode(cells))
-    joined = salted_join(left, right, ["_cell"], spread_by)
+    joined = salted_join(left, right, ["_cell"], spread_by, rows_per_salt=rows_per_salt)
     return joined.filter(F.col(point).between(F.col(lower), F.col(upper))).drop("_cell")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelake.constants import HOLDOUT_WORKLOADS, N_FOLDS, SEED, TRAIN_SHARE
-from tunelake.operators.skew import hash_order, hash_rank, salted_join
+from tunelake.operators.skew import RANK_DIGITS, ROWS_PER_SALT, hash_order, hash_rank, salted_join
 
 
 def hash_split(rows: DataFrame, keys: list[str], seed: int = SEED, percent: int = 90) -> DataFrame:
@@ -16,12 +16,17 @@ def hash_split(rows: DataFrame, keys: list[str], seed: int = SEED, percent: int
     return rows.withColumn("split", F.when(draw < percent, "train").otherwise("test"))
 
 
-def exact_split(rows: DataFrame, keys: list[str], seed: int = SEED, share: float = TRAIN_SHARE) -> DataFrame:
-    """Adds `split` with exactly int(share * n) training rows in hash order of a unique key."""
+def exact_split(
+    rows: DataFrame, keys: list[str], seed: int = SEED, share: float = TRAIN_SHARE, digits: int = RANK_DIGITS
+) -> DataFrame:
+    """Adds `split` with exactly int(share * n) training rows in hash order of a unique key.
+
+    `digits` sets the number of blocks that are ranked on their own (see `hash_rank`).
+    """
     hashed = rows.withColumn("_hash", hash_order(*[F.col(k) for k in keys], F.lit(seed)))
     total = rows.agg(F.count(F.lit(1))).scalar()
     first_test = F.floor(total * share)
-    ranked = hash_rank(hashed, "_hash")
+    ranked = hash_rank(hashed, "_hash", digits=digits)
     return ranked.withColumn(
         "split", F.when(F.col("_rank") < first_test, "train").otherwise("test")
     ).drop("_hash", "_rank")
@@ -45,8 +50,10 @@ def workload_folds(rows: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED) ->
     return hash_rank(hashed, "_hash").select("workload", fold.cast("int").alias("fold"))
 
 
-def with_folds(rows: DataFrame, folds: DataFrame, spread_by: list[str]) -> DataFrame:
-    return salted_join(rows, folds, ["workload"], spread_by)
+def with_folds(
+    rows: DataFrame, folds: DataFrame, spread_by: list[str], rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    return salted_join(rows, folds, ["workload"], spread_by, rows_per_salt=rows_per_salt, null_safe=True)
 
 
 def holdout_workloads(

@@ -12,20 +12,23 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.catalog import Knob
 from tunelake.constants import METRIC_NAMES, N_FOLDS, RUN_LIMIT, SEED
-from tunelake.functions.scaling import denormalize, negative_cost
+from tunelake.functions.scaling import denormalize, negative_cost, ratio
 from tunelake.operators.evaluate import r2
-from tunelake.operators.history import run_order, value_range
-from tunelake.operators.skew import hash_order
+from tunelake.operators.history import best_of, value_range
+from tunelake.operators.skew import hash_order, matched
 from tunelake.operators.splits import with_folds, workload_folds
 from tunelake.session import written
 
 # Deepest trees MLlib grows; the usual default of forests elsewhere has no limit.
 MAX_DEPTH = 30
+# Labelled rows that a registered fit learns from.
+FIT_ROWS = 1_000
 
 
 def feature_array(catalog: Sequence[Knob]) -> Column:
@@ -84,7 +87,14 @@ def voted(rows: DataFrame, models: Sequence[Model]) -> DataFrame:
 
 
 def with_scale(rows: DataFrame, lo: float, hi: float) -> DataFrame:
-    return rows.withColumn("scaled", (F.col("throughput") - lo) / (hi - lo))
+    """Adds `scaled`, the position of the throughput between the limits; null on a flat scale."""
+    return rows.withColumn("scaled", ratio(F.col("throughput") - lo, F.lit(hi) - lo))
+
+
+def labelled_sample(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """At most `most` rows for a fit, those with the smallest hashed keys; what is predicted is never cut."""
+    order = hash_order(F.col("workload"), F.col("config_id"))
+    return rows.withColumn("_draw", order).orderBy("_draw").limit(most).drop("_draw")
 
 
 def fitted(rows: DataFrame, estimators: Sequence) -> list[Model]:
@@ -92,7 +102,7 @@ def fitted(rows: DataFrame, estimators: Sequence) -> list[Model]:
 
 
 def cross_validate(
-    rows: DataFrame, estimators: Sequence, n_folds: int = N_FOLDS, train_scale: bool = True
+    rows: DataFrame, estimators: Sequence, n_folds: int = N_FOLDS, train_scale: bool = True, most: int = FIT_ROWS
 ) -> DataFrame:
     """(fold, n, sse, r2) with whole workloads held out.
 
@@ -106,7 +116,7 @@ def cross_validate(
         train = folded.filter(F.col("fold") != fold)
         test = folded.filter(F.col("fold") == fold)
         lo, hi = value_range(train if train_scale else folded, "throughput").first()
-        models = fitted(with_scale(train, lo, hi), estimators)
+        models = fitted(labelled_sample(with_scale(train, lo, hi), most), estimators)
         score = r2(voted(with_scale(test, lo, hi), models), "scaled", "prediction").select(
             F.lit(fold).alias("fold"), "n", "sse", "r2"
         )
@@ -115,22 +125,30 @@ def cross_validate(
 
 
 def repeated_holdout(
-    samples: DataFrame, holdouts: Sequence[DataFrame], estimators: Sequence, positive_only: bool = False
-) -> DataFrame:
-    """(repeat, n, sse, r2) over given sets of held-out workloads.
+    samples: DataFrame,
+    holdouts: Sequence[DataFrame],
+    estimators: Sequence,
+    positive_only: bool = False,
+    most: int = FIT_ROWS,
+) -> tuple[DataFrame, list[Model]]:
+    """(repeat, n, sse, r2) over given sets of held-out workloads, and the models of the best repeat.
 
     `samples` carry `scaled` per workload. All scores are kept; `positive_only`
     drops scores that are not above 0, which biases the mean upwards. A hold-out is a
     top-k of a few workload names, which is why it may be broadcast.
     """
     rows = written(samples, "holdout")
-    scores = None
+    scores, best, models = None, None, []
     for held in holdouts:
         train = rows.join(F.broadcast(held), "workload", "left_anti")
         test = rows.join(F.broadcast(held), "workload")
-        score = r2(voted(test, fitted(train, estimators)), "scaled", "prediction", ["repeat"])
+        own = fitted(labelled_sample(train, most), estimators)
+        score = r2(voted(test, own), "scaled", "prediction", ["repeat"])
+        found = score.agg(F.max("r2")).first()[0]
+        if not models or (found is not None and (best is None or found > best)):
+            best, models = found, own
         scores = score if scores is None else scores.unionByName(score)
-    return scores.filter(F.col("r2") > 0) if positive_only else scores
+    return scores.filter(F.col("r2") > 0) if positive_only else scores, models
 
 
 MODEL_KINDS = {"forest": RandomForestRegressionModel, "boosted": GBTRegressionModel}
@@ -148,11 +166,11 @@ def save_surrogate(models: Sequence[Model], lo: float, hi: float, path: str, spa
 
 def load_surrogate(path: str, spark: SparkSession) -> tuple[list[Model], float | None, float | None]:
     """Saved models with their range; a lone saved forest without a range is accepted too."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/params")
-    if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    try:
         row = spark.read.schema("models array<string>, lo double, hi double").json(f"{path}/params").first()
-        return [MODEL_KINDS[n].load(f"{path}/{n}") for n in row.models], row.lo, row.hi
-    return [RandomForestRegressionModel.load(path)], None, None
+    except AnalysisException:  # there is no such folder
+        return [RandomForestRegressionModel.load(path)], None, None
+    return [MODEL_KINDS[n].load(f"{path}/{n}") for n in row.models], row.lo, row.hi
 
 
 def predict_cost(rows: DataFrame, models: Sequence[Model], lo: float | None, hi: float | None) -> DataFrame:
@@ -202,25 +220,32 @@ def score_candidates(
 
 def best_candidates(scored: DataFrame) -> DataFrame:
     """Best predicted candidate of every workload."""
-    best = F.min_by(F.struct("config_id", "cost"), run_order()).alias("best")
-    return scored.groupBy("workload").agg(best).select("workload", "best.*")
+    return best_of(scored, ["workload"], "cost", "run_ord").select("workload", "config_id", "cost")
 
 
 def group_mean_folds(rows: DataFrame, folds: DataFrame, group: str, y: str, spread_by: list[str]) -> DataFrame:
     """(fold, n, sse, r2) of predicting the training mean of `group` with workloads held out.
 
-    All folds come from one pass of sums per (fold, group): the training sums of a fold
-    are the group's totals minus its own.
+    All folds come from one pass over the rows: number, mean and variance per (fold, group).
+    The training sums of a fold are the totals minus its own, and a group that only the fold
+    has is predicted by the mean of all training rows. Squares are taken of differences from
+    means, so large values lose nothing.
     """
     folded = with_folds(rows, folds, spread_by)
     cells = folded.groupBy("fold", group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q")
-    )
-    totals = cells.groupBy(group).agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"))
-    mean = F.when(F.col("n_all") > F.col("n"), (F.col("s_all") - F.col("s")) / (F.col("n_all") - F.col("n")))
-    scored = cells.join(totals, group).withColumn("p", mean)
-    sse = F.sum(F.col("q") - 2 * F.col("p") * F.col("s") + F.col("p") * F.col("p") * F.col("n"))
-    sst = F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")
-    return scored.groupBy("fold").agg(
-        F.sum("n").alias("n"), sse.alias("sse"), F.when(sst != 0, 1 - sse / sst).alias("r2")
+        F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")
+    ).filter("n > 0")
+    total = F.sum(F.col("n") * F.col("m"))
+    groups = cells.groupBy(group).agg(F.sum("n").alias("n_group"), total.alias("s_group"))
+    own = cells.groupBy("fold").agg(F.sum("n").alias("n_fold"), total.alias("s_fold"))
+    everything = own.agg(F.sum("n_fold").alias("n"), F.sum("s_fold").alias("s"))
+    n_all, s_all = everything.select("n").scalar(), everything.select("s").scalar()
+    rest = ratio(s_all - F.col("s_fold"), n_all - F.col("n_fold"))
+    known = ratio(F.col("s_group") - F.col("n") * F.col("m"), F.col("n_group") - F.col("n"))
+    scored = matched(cells, groups, [group], "inner").join(own, "fold").withColumn("p", F.coalesce(known, rest))
+    centre = F.col("s_fold") / F.col("n_fold")
+    sse = F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("p")) * (F.col("m") - F.col("p"))))
+    sst = F.sum(F.col("n") * (F.col("v") + (F.col("m") - centre) * (F.col("m") - centre)))
+    return scored.groupBy("fold").agg(F.sum("n").alias("n"), sse.alias("sse"), sst.alias("_sst")).select(
+        "fold", "n", "sse", (1 - ratio(F.col("sse"), F.col("_sst"))).alias("r2")
     )

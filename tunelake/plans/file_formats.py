@@ -16,7 +16,7 @@ from tunelake.operators import plan_trees as pt
 from tunelake.operators.splits import hash_split
 from tunelake.plans import standins as st
 from tunelake.plans import telemetry as tl
-from tunelake.plans.tables import spread, table
+from tunelake.plans.tables import table
 from tunelake.session import scratch_path
 from tunelake.sources import files as src
 from tunelake.sources import sinks
@@ -94,11 +94,11 @@ def s3_run_history(spark, sf_dir):
     return runs.join(wide, ["workload", "config_id"]).select("workload", "run_ord", "config_id", "cost", "work_mem")
 
 
-@query("s4_internal_metrics", st.with_views(["metrics"], f"""
+@query("s4_internal_metrics", st.with_views(["all_metrics"], f"""
 SELECT workload, {', '.join(f'inner_metrics[{i + 1}] AS {n}' for i, n in enumerate(METRIC_NAMES))} FROM metrics"""))
 def s4_internal_metrics(spark, sf_dir):
     """Counter documents, half of them objects and half lists."""
-    rows = st.metrics(spark, sf_dir)
+    rows = st.metrics(spark, sf_dir, every=True)
     as_list = F.to_json("inner_metrics")
     docs = rows.select(
         "workload",
@@ -174,15 +174,17 @@ def s8_file_plan_texts(spark, sf_dir):
 
 @query("s9_benchmark_xml", """
 SELECT 'jdbc:postgresql://host:5432/' || lower(c_mktsegment) || '?id=' || c_custkey::VARCHAR AS url, c_nationkey::DOUBLE AS scalefactor, CAST(c_custkey AS INTEGER) AS terminals,
-  60 AS time, 'unlimited' AS rate, c_nationkey::VARCHAR || '/' || (100 - c_nationkey)::VARCHAR AS weights, 'Read' || c_nationkey::VARCHAR || '/Write' AS transactions FROM customer""")
+  unnest([0::INTEGER, 1]) AS phase, unnest([60::INTEGER, 30]) AS time, 'unlimited' AS rate, c_nationkey::VARCHAR || '/' || (100 - c_nationkey)::VARCHAR AS weights, 'Read' || c_nationkey::VARCHAR || '/Write' AS transactions FROM customer""")
 def s9_benchmark_xml(spark, sf_dir):
-    """Benchmark settings as XML documents, one per customer."""
+    """Benchmark settings as XML documents of two phases, one per customer."""
     nation, key = F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")
     text = F.concat(
         F.lit("<parameters><type>POSTGRES</type><url>jdbc:postgresql://host:5432/"), F.lower("c_mktsegment"), F.lit("?id="), key,
         F.lit("</url><scalefactor>"), nation, F.lit("</scalefactor><terminals>"), key,
         F.lit("</terminals><works><work><time>60</time><rate>unlimited</rate><weights>"), nation, F.lit(","),
         (100 - F.col("c_nationkey")).cast("string"),
+        F.lit("</weights></work><work><time>30</time><rate>unlimited</rate><weights>"), nation, F.lit(","),
+        (100 - F.col("c_nationkey")).cast("string"),
         F.lit("</weights></work></works><transactiontypes><transactiontype><name>Read"), nation,
         F.lit("</name></transactiontype><transactiontype><name>Write</name></transactiontype></transactiontypes></parameters>"),
     )
@@ -214,7 +216,7 @@ def s11_result_lines(spark, sf_dir):
     return src.read_result_lines(spark, path).select("name", "qps")
 
 
-@query("s12_responses", st.with_views(["pairs"], "SELECT sample::VARCHAR AS path, knob, pred_label AS label FROM pairs WHERE pred_label IS NOT NULL"))
+@query("s12_responses", st.with_views(["pairs"], "SELECT sample::VARCHAR AS path, knob, pred_label AS label FROM pairs JOIN events ON event_id = sample WHERE event_type = 'purchase'"))
 def s12_responses(spark, sf_dir):
     docs = st.answers(spark, sf_dir).select(F.col("sample").cast("string").alias("path"), F.col("answer_text").alias("text"))
     return src.parse_responses(docs)
@@ -271,7 +273,7 @@ def s14_run_log(spark, sf_dir):
     )
     line = F.explode(F.array_repeat(text, 2)).alias("line")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
-    return src.parse_run_log(spread(events).select(line))
+    return src.parse_run_log(events.select(line))
 
 
 @query("s15_training_records", """

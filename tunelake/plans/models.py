@@ -1,4 +1,4 @@
-"""Queries of the throughput surrogate, its validation and scoring, and the replay."""
+"""Queries of the throughput surrogate, its validation and scoring."""
 
 from __future__ import annotations
 
@@ -11,13 +11,11 @@ from tunelake.catalog import knob_records
 from tunelake.functions import scaling as sc
 from tunelake.operators import evaluate as ev
 from tunelake.operators import history as hi
-from tunelake.operators import replay as rp
 from tunelake.operators import splits as sp
 from tunelake.operators import surrogate as su
 from tunelake.plans import standins as st
 from tunelake.plans import telemetry as tl
-from tunelake.plans import workload_sql as ws
-from tunelake.plans.tables import register_views, table
+from tunelake.plans.tables import table
 from tunelake.session import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,47 +65,63 @@ def m1_features(spark, sf_dir):
     )
 
 
-@query("m2_forest")
+_SQL_SAMPLED = st.with_views(["runs", "configs", "metrics"], """, sampled AS (SELECT workload, config_id FROM runs JOIN configs USING (config_id) JOIN metrics USING (workload))
+""")
+
+
+def _per_workload(rows, name, condition):
+    """Predictions of each workload and whether a property holds for all of them."""
+    return rows.groupBy("workload").agg(F.count(F.lit(1)).alias("n"), F.every(condition).alias(name))
+
+
+@query("m2_forest", _SQL_SAMPLED + "SELECT workload, count(*) AS n, true AS in_range FROM sampled GROUP BY workload")
 def m2_forest(spark, sf_dir):
+    """100 trees; a forest predicts means of its labels, so nothing outside their range."""
     rows, _, _ = scaled_training(spark, sf_dir)
-    model = su.random_forest(trees=100, depth=10).fit(rows)
-    return model.transform(rows).select("workload", "config_id", "scaled", "forest")
+    model = su.random_forest().fit(su.labelled_sample(rows))
+    return _per_workload(model.transform(rows), "in_range", F.col("forest").between(0, 1))
 
 
-@query("m3_boosted")
+@query("m3_boosted", _SQL_SAMPLED + "SELECT workload, count(*) AS n, true AS predicted FROM sampled GROUP BY workload")
 def m3_boosted(spark, sf_dir):
+    """100 rounds; every sample gets a number."""
     rows, _, _ = scaled_training(spark, sf_dir)
-    model = su.boosted_trees(rounds=100).fit(rows)
-    return model.transform(rows).select("workload", "config_id", "scaled", "boosted")
+    model = su.boosted_trees().fit(su.labelled_sample(rows))
+    return _per_workload(model.transform(rows), "predicted", F.col("boosted").isNotNull() & ~F.isnan("boosted"))
 
 
-@query("m4_voting")
+@query("m4_voting", _SQL_SAMPLED + "SELECT workload, count(*) AS n, true AS is_mean FROM sampled GROUP BY workload")
 def m4_voting(spark, sf_dir):
+    """500 trees and 100 rounds vote with equal weight."""
     rows, _, _ = scaled_training(spark, sf_dir)
-    models = su.fitted(rows, [su.random_forest(trees=20, depth=8), su.boosted_trees(rounds=20)])
-    return su.voted(rows, models).select("workload", "config_id", "scaled", "prediction")
+    models = su.fitted(su.labelled_sample(rows), [su.random_forest(trees=500), su.boosted_trees()])
+    mean = (F.col("forest") + F.col("boosted")) / 2
+    return _per_workload(su.voted(rows, models), "is_mean", F.abs(F.col("prediction") - mean) < 1e-12)
 
 
-@query("m5_forest_cv")
+@query("m5_forest_cv", _SQL_SAMPLED + """, hashed AS (SELECT workload, md5(workload || ':42') AS h FROM (SELECT DISTINCT workload FROM sampled)),
+folds AS (SELECT workload, CAST(ntile(10) OVER (ORDER BY h) - 1 AS INTEGER) AS fold FROM hashed)
+SELECT fold, count(*) AS n, true AS scored FROM sampled JOIN folds USING (workload) GROUP BY fold""")
 def m5_forest_cv(spark, sf_dir):
-    return su.cross_validate(training(spark, sf_dir), [su.random_forest(trees=20, depth=5)])
+    scores = su.cross_validate(training(spark, sf_dir), [su.random_forest()])
+    return scores.select("fold", "n", (F.col("r2") <= 1).alias("scored"))
 
 
-_SQL_CV = f"""r AS (SELECT workload, event_type, -cost AS y FROM (SELECT *, event_id::VARCHAR AS config_id FROM events) JOIN runs USING (config_id) WHERE cost < 0),
+_SQL_CV = f"""{tl._SQL_CAPPED},
+r AS (SELECT workload, event_type, -capped AS y FROM events JOIN capped ON event_id = run_ord),
 {tl._SQL_FOLDS},
 f AS (SELECT event_type, fold, y FROM r JOIN folds USING (workload)),
 cells AS (SELECT fold, event_type, count(*) AS n, sum(y) AS s FROM f GROUP BY ALL),
-means AS (SELECT c.fold, c.event_type, (t.s - c.s) / (t.n - c.n) AS p FROM cells c JOIN (SELECT event_type, sum(n) AS n, sum(s) AS s FROM cells GROUP BY event_type) t USING (event_type)),
+rest AS (SELECT c.fold, (t.s - sum(c.s)) / (t.n - sum(c.n)) AS m FROM cells c, (SELECT sum(n) AS n, sum(s) AS s FROM cells) t GROUP BY c.fold, t.n, t.s),
+means AS (SELECT c.fold, c.event_type, coalesce((t.s - c.s) / nullif(t.n - c.n, 0), rest.m) AS p FROM cells c JOIN rest USING (fold)
+  JOIN (SELECT event_type, sum(n) AS n, sum(s) AS s FROM cells GROUP BY event_type) t USING (event_type)),
 scores AS (SELECT fold, count(*) AS n, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM f JOIN means USING (fold, event_type) GROUP BY fold)"""
 
 
 def _group_mean_scores(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    valid = hi.valid_runs(st.runs(spark, sf_dir)).select("workload", "config_id", (-F.col("cost")).alias("y"))
-    kinds = events.select(F.col("event_id").cast("string").alias("config_id"), "event_type")
-    rows = valid.join(kinds, "config_id")
-    folds = sp.workload_folds(st.runs(spark, sf_dir))
-    return su.group_mean_folds(rows, folds, "event_type", "y", ["config_id"])
+    capped = hi.crash_cap(st.runs(spark, sf_dir, "event_type"))
+    rows = capped.select("workload", "config_id", "event_type", (-F.col("capped")).alias("y"))
+    return su.group_mean_folds(rows, sp.workload_folds(st.runs(spark, sf_dir)), "event_type", "y", ["config_id"])
 
 
 @query("m5_group_mean_cv", st.with_views(["runs"], f", {_SQL_CV} SELECT fold, n, round(r2, 6) AS r2 FROM scores"))
@@ -121,27 +135,37 @@ def a13_cv_summary(spark, sf_dir):
     return out.select("n_folds", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("m6_repeated_holdout")
+HOLDOUTS = 10
+
+
+@query("m6_repeated_holdout", _SQL_SAMPLED + f""", names AS (SELECT DISTINCT workload FROM sampled), draws AS (SELECT unnest(range({HOLDOUTS})) AS repeat),
+held AS (SELECT workload, repeat FROM names, draws QUALIFY row_number() OVER (PARTITION BY repeat ORDER BY md5(workload || ':42:' || repeat::VARCHAR)) <= 7),
+sizes AS (SELECT workload, count(*) AS size FROM sampled GROUP BY workload HAVING count(*) > {hi.MIN_SAMPLES})
+SELECT CAST(repeat AS INTEGER) AS repeat, CAST(sum(size) AS BIGINT) AS n, true AS scored FROM held JOIN sizes USING (workload) GROUP BY repeat""")
 def m6_repeated_holdout(spark, sf_dir):
     rows = training(spark, sf_dir)
     scaled = hi.scale_by_workload(hi.well_sampled(rows, ["config_id"]), "throughput", ["config_id"])
     usable = scaled.filter(F.col("scaled").isNotNull())
-    holdouts = [sp.holdout_workloads(rows, r) for r in range(3)]
-    return su.repeated_holdout(usable, holdouts, [su.random_forest(trees=20, depth=5), su.boosted_trees(rounds=10)])
+    holdouts = [sp.holdout_workloads(rows, r) for r in range(HOLDOUTS)]
+    scores, _ = su.repeated_holdout(usable, holdouts, [su.random_forest()])
+    return scores.select("repeat", "n", (F.col("r2") <= 1).alias("scored"))
 
 
 def _saved_surrogate(spark, sf_dir):
     rows, lo, top = scaled_training(spark, sf_dir)
     path = scratch_path(spark, "surrogate")
-    su.save_surrogate(su.fitted(rows, [su.random_forest(trees=20, depth=8)]), lo, top, path, spark)
-    return rows, su.load_surrogate(path, spark)
+    fitted = su.fitted(su.labelled_sample(rows), [su.random_forest()])
+    su.save_surrogate(fitted, lo, top, path, spark)
+    return rows, fitted, su.load_surrogate(path, spark)
 
 
-@query("m7_saved_predictions")
+@query("m7_saved_predictions", _SQL_SAMPLED + "SELECT workload, count(*) AS n, true AS same FROM sampled GROUP BY workload")
 def m7_saved_predictions(spark, sf_dir):
-    """Costs predicted by a model that was saved and loaded."""
-    rows, (models, lo, top) = _saved_surrogate(spark, sf_dir)
-    return su.predict_cost(rows, models, lo, top).select("workload", "config_id", "predicted_cost")
+    """A model that was saved and loaded predicts what the fitted one does."""
+    rows, fitted, (models, lo, top) = _saved_surrogate(spark, sf_dir)
+    first = su.predict_cost(rows, fitted, lo, top).select("workload", "features", F.col("predicted_cost").alias("first")).drop("forest")
+    both = su.predict_cost(first, models, lo, top)
+    return _per_workload(both, "same", F.col("first") == F.col("predicted_cost"))
 
 
 @query("m8_denormalize", """
@@ -155,13 +179,16 @@ def m8_denormalize(spark, sf_dir):
     return events.select("event_id", F.round(sc.negative_cost(value), 6).alias("cost"))
 
 
-@query("m9_score_candidates")
+@query("m9_score_candidates", st.with_views(["all_metrics"], "SELECT workload, 100::BIGINT AS n_candidates, true AS best_is_least FROM metrics"))
 def m9_score_candidates(spark, sf_dir):
-    """Best of 100 drawn configurations per workload by the surrogate."""
-    _, (models, lo, top) = _saved_surrogate(spark, sf_dir)
+    """The best of 100 drawn configurations per workload by the surrogate, against all of them."""
+    _, _, (models, lo, top) = _saved_surrogate(spark, sf_dir)
     knobs = knob_records()
-    drawn = su.candidates(st.metrics(spark, sf_dir), knobs)
-    return su.best_candidates(su.score_candidates(drawn, knobs, models, lo, top))
+    drawn = su.candidates(st.metrics(spark, sf_dir, every=True), knobs)
+    scored = written(su.score_candidates(drawn, knobs, models, lo, top).select("workload", "config_id", "run_ord", "cost"), "scored")
+    best = su.best_candidates(scored).select("workload", F.col("cost").alias("best"))
+    compared = scored.join(best, "workload").groupBy("workload")
+    return compared.agg(F.count(F.lit(1)).alias("n_candidates"), F.every(F.col("best") <= F.col("cost")).alias("best_is_least"))
 
 
 def _cost_terms():
@@ -169,7 +196,7 @@ def _cost_terms():
     return ["work_mem", "geqo_seed", "wal_buffers"]
 
 
-@query("m9_best_candidates", st.with_views(["metrics"], f""", drawn AS (SELECT workload, i AS run_ord, md5('42:' || workload || ':' || i::VARCHAR) AS config_id FROM metrics, range(100) t(i)),
+@query("m9_best_candidates", st.with_views(["all_metrics"], f""", drawn AS (SELECT workload, i AS run_ord, md5('42:' || workload || ':' || i::VARCHAR) AS config_id FROM metrics, range(100) t(i)),
 scored AS (SELECT workload, run_ord, config_id, -(""" + " + ".join(
     f"({st.sql_knob('config_id', i, k)} - {k.min:.1f}::DOUBLE) / {k.max - k.min:.1f}::DOUBLE"
     for i, k in enumerate(knob_records()) if k.knob in _cost_terms()
@@ -177,7 +204,7 @@ scored AS (SELECT workload, run_ord, config_id, -(""" + " + ".join(
 SELECT workload, config_id, round(cost, 9) AS cost FROM scored QUALIFY row_number() OVER (PARTITION BY workload ORDER BY cost, run_ord) = 1"""))
 def m9_best_candidates(spark, sf_dir):
     knobs = knob_records()
-    drawn = su.candidates(st.metrics(spark, sf_dir), knobs)
+    drawn = su.candidates(st.metrics(spark, sf_dir, every=True), knobs)
     by_name = {k.knob: k for k in knobs}
     total = None
     for name in sorted(_cost_terms(), key=lambda n: [k.knob for k in knobs].index(n)):
@@ -188,16 +215,6 @@ def m9_best_candidates(spark, sf_dir):
     return su.best_candidates(scored).withColumn("cost", F.round("cost", 9))
 
 
-@query("r1_replay")
-def r1_replay(spark, sf_dir):
-    """The relational statements as one workload, replayed in four streams."""
-    register_views(spark, sf_dir)
-    texts = [(i, " ".join(sql.split()) + ";") for i, sql in enumerate(ws.STATEMENTS.values())]
-    stmts = spark.createDataFrame(texts, "stmt_pos int, sql_text string").withColumn("workload", F.lit("relational"))
-    timings = rp.replay_workload(spark, stmts, 4)
-    return timings.select("workload", "stmt_pos", "stream", F.col("error").isNotNull().alias("failed"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

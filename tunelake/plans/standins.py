@@ -15,7 +15,7 @@ from tunelake.constants import BLOCK_BYTES, CRASH_COST, METRIC_NAMES
 from tunelake.functions.labels import bucket_label
 from tunelake.functions.scaling import bucket, normalize_clip
 from tunelake.operators.surrogate import drawn_knobs
-from tunelake.plans.tables import spread, table
+from tunelake.plans.tables import table
 
 FAMILIES = ["ycsb", "tpcc", "smallbank", "twitter", "wikipedia"]
 
@@ -36,15 +36,16 @@ def workload_of(user: Column) -> Column:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run per event; an error event is a crashed run."""
+def runs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """One run per event, with the kept columns of the event; an error event is a crashed run."""
     cost = F.when(F.col("event_type") == "error", F.lit(CRASH_COST)).otherwise(-F.col("value"))
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return spread(events).select(
+    return events.select(
         workload_of(F.col("user_id")).alias("workload"),
         F.col("event_id").alias("run_ord"),
         F.col("event_id").cast("string").alias("config_id"),
         cost.alias("cost"),
+        *keep,
     )
 
 
@@ -55,11 +56,11 @@ def configs(spark: SparkSession, sf_dir: str, catalog: list[Knob] | None = None)
         .filter(prop_k(F.col("props")) != 0)
         .select(workload_of(F.col("user_id")).alias("workload"), F.col("event_id").cast("string").alias("config_id"))
     )
-    return spread(keyed).select("workload", "config_id", *drawn_knobs("config_id", catalog or knob_records()))
+    return keyed.select("workload", "config_id", *drawn_knobs("config_id", catalog or knob_records()))
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters per workload; users divisible by 10 have no counter file."""
+def metrics(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Counters per workload; unless `every` is set, users divisible by 10 have no counter file."""
     k, value, kind = F.col("k"), F.col("value"), F.col("event_type")
     events = table(spark, sf_dir, "events").withColumn("k", prop_k(F.col("props")))
     sums = [
@@ -78,7 +79,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(k) * BLOCK_BYTES,
         F.sum(F.floor(value * 10)) * BLOCK_BYTES,
     ]
-    per_user = events.filter(F.col("user_id") % 10 != 0).groupBy("user_id").agg(
+    per_user = (events if every else events.filter(F.col("user_id") % 10 != 0)).groupBy("user_id").agg(
         *[s.cast("double").alias(n) for s, n in zip(sums, METRIC_NAMES)]
     )
     return per_user.select(
@@ -96,7 +97,7 @@ def workload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.lit("-- note\nSELECT source, SUM(n_chars) FROM docs GROUP BY source ORDER BY source;\n")
     odd = F.lit("WITH d AS (SELECT 1) SELECT MAX(n_chars) FROM d WHERE a = 1 OR b BETWEEN 2 AND 3;\n")
     middle = F.when(F.col("n_chars") % 2 == 0, even).otherwise(odd)
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("workload"),
         F.concat(head, middle, F.col("text")).alias("text"),
     )
@@ -115,21 +116,28 @@ def _node(kind: str, startup: Column, total: Column, *children: Column) -> Colum
     return F.concat(*parts, F.lit("}"))
 
 
-def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One plan per order; its shape follows the priority, its costs the price."""
-    p = F.col("o_totalprice")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def plan_text(p: Column, priority: Column) -> Column:
+    """A plan whose shape follows a priority and whose costs follow a price."""
     zero = F.lit(0.0)
     leaf = _node("Seq Scan", zero, p)
     hashed = _node("Hash", p / 8, p / 4, _node("Index Scan", zero, p / 8))
     join = _node("Hash Join", p / 4, p * 2, leaf, hashed)
-    text = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", leaf)
-        .when(F.col("o_orderpriority") == "2-HIGH", _node("Sort", p / 2, p / 2 + 500, leaf))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", join)
+    return (
+        F.when(priority == "1-URGENT", leaf)
+        .when(priority == "2-HIGH", _node("Sort", p / 2, p / 2 + 500, leaf))
+        .when(priority == "3-MEDIUM", join)
         .otherwise(_node("Aggregate", p, p * 16, _node("Sort", p * 2, p * 2 + 1000, join)))
     )
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan per order."""
+    text = plan_text(F.col("o_totalprice"), F.col("o_orderpriority"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    return spread(orders).select(
+    return orders.select(
         F.col("o_orderkey").alias("plan_id"), "o_orderstatus", text.alias("text")
     )
 
@@ -157,7 +165,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Here it is:\n"), both(pred_mem, pred_buf), F.lit("\nGood luck")))
     )
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
-    return spread(events).select(
+    return events.select(
         event.alias("sample"), both(true_mem, true_buf).alias("truth_text"), text.alias("answer_text")
     )
 
@@ -274,5 +282,8 @@ scored AS (
 }
 
 
+SQL["all_metrics"] = SQL["metrics"].replace(" WHERE user_id % 10 <> 0", "")
+
+
 def with_views(names: list[str], query: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n" + query

@@ -14,15 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Scan output on all cores when the scan has fewer splits than there are cores.
-
-    Only a small input is redistributed; a large one has many splits and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """The tables as temporary views, for statements that name them."""
     for name in TABLES:

@@ -280,10 +280,10 @@ def p16_extract_json(spark, sf_dir):
     return rows.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"))
 
 
-@query("p17_metrics_map", st.with_views(["metrics"], f"""
+@query("p17_metrics_map", st.with_views(["all_metrics"], f"""
 SELECT workload, unnest([{', '.join(f"'{n}'" for n in METRIC_NAMES)}]) AS metric, unnest(inner_metrics) AS value FROM metrics"""))
 def p17_metrics_map(spark, sf_dir):
-    return st.metrics(spark, sf_dir).select(
+    return st.metrics(spark, sf_dir, every=True).select(
         "workload", F.explode(tx.metrics_map(F.col("inner_metrics"))).alias("metric", "value")
     )
 
@@ -430,11 +430,9 @@ def j4_truth_prediction(spark, sf_dir):
 
 
 @query("j4_missing_predictions", """
-SELECT knob, count(*) AS n_missing FROM (
-  SELECT 'work_mem' AS knob FROM events WHERE event_type IN ('error', 'signup')
-  UNION ALL SELECT 'shared_buffers' FROM events WHERE event_type IN ('error', 'signup', 'view')) GROUP BY knob""")
+SELECT 'shared_buffers' AS knob, count(*) AS n_missing FROM events WHERE event_type = 'view' HAVING count(*) > 0""")
 def j4_missing_predictions(spark, sf_dir):
-    missing = ev.missing_predictions(*_long_labels(spark, sf_dir))
+    missing = ev.missing_predictions(ev.parsed_answers(st.answers(spark, sf_dir)))
     return missing.groupBy("knob").agg(F.count(F.lit(1)).alias("n_missing"))
 
 
@@ -522,10 +520,10 @@ def a3_scale_by_workload(spark, sf_dir):
     return hi.scale_by_workload(rows, "y", ["config_id"]).select("config_id", F.round("scaled", 9).alias("scaled"))
 
 
-@query("a4_scale_globally", st.with_views(["runs"], """, valid AS (SELECT config_id, -cost AS y FROM runs WHERE cost < 0), lim AS (SELECT min(y) AS lo, max(y) AS hi FROM valid)
-SELECT config_id, round((y - lo) / (hi - lo), 9) AS scaled FROM valid, lim"""))
+@query("a4_scale_globally", st.with_views(["runs"], f""", {_SQL_CAPPED}, y AS (SELECT config_id, -capped AS y FROM capped), lim AS (SELECT min(y) AS lo, max(y) AS hi FROM y)
+SELECT config_id, round((y - lo) / (hi - lo), 9) AS scaled FROM y, lim"""))
 def a4_scale_globally(spark, sf_dir):
-    rows = hi.valid_runs(st.runs(spark, sf_dir)).select("config_id", (-F.col("cost")).alias("y"))
+    rows = hi.crash_cap(st.runs(spark, sf_dir)).select("config_id", (-F.col("capped")).alias("y"))
     return hi.scale_globally(rows, "y").select("config_id", F.round("scaled", 9).alias("scaled"))
 
 
@@ -717,6 +715,13 @@ def w7_result_order(spark, sf_dir):
     return st.results(spark, sf_dir).orderBy("name", "run")
 
 
+@query("w7_order_by_qps", st.with_views(["results"], """
+SELECT run, name, qps, CAST(rank() OVER (PARTITION BY run ORDER BY abs(qps) DESC) AS INTEGER) AS rank FROM results ORDER BY abs(qps) DESC, run, name"""))
+def w7_order_by_qps(spark, sf_dir):
+    """Results of all runs from the fastest on, with their rank in the run."""
+    return ev.ranked_runs(st.results(spark, sf_dir)).orderBy(F.abs("qps").desc(), "run", "name")
+
+
 @query("l3_workload_slice", st.with_views(["runs"], """
 SELECT workload, CAST(row_number() OVER (ORDER BY workload) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT workload FROM runs) QUALIFY position BETWEEN 17 AND 99"""))
 def l3_workload_slice(spark, sf_dir):
@@ -726,9 +731,8 @@ def l3_workload_slice(spark, sf_dir):
 @query("u1_union_families", st.with_views(["runs"], """
 SELECT split_part(workload, '/', 3) AS benchmark, count(*) AS n_runs, count(DISTINCT workload) AS n_workloads FROM runs GROUP BY 1"""))
 def u1_union_families(spark, sf_dir):
-    runs = st.runs(spark, sf_dir)
-    parts = {f: runs.filter(F.contains("workload", F.lit(f"/{f}/"))) for f in st.FAMILIES}
-    return hi.union_families(parts).groupBy("benchmark").agg(
+    marked = hi.with_family(st.runs(spark, sf_dir), st.FAMILIES)
+    return marked.groupBy("benchmark").agg(
         F.count(F.lit(1)).alias("n_runs"), F.count_distinct("workload").alias("n_workloads")
     )
 
@@ -834,13 +838,16 @@ _SQL_METRICS_TEXT = " || ".join(
 
 
 def _document_inputs(spark, sf_dir):
-    """Features, plan texts and counters keyed by document: order and event of the same number."""
-    files = st.workload_files(spark, sf_dir)
-    key = F.concat(F.lit("doc_"), F.col("plan_id").cast("string"))
-    texts = pt.plan_texts(st.plans(spark, sf_dir)).select(key.alias("workload"), F.array("plan_text", "plan_text").alias("plans"))
-    name = F.concat(F.lit("doc_"), F.regexp_extract("workload", r"config(\d+)\.xml", 1))
-    counters = st.metrics(spark, sf_dir).select(name.alias("workload"), "inner_metrics")
-    return ft.workload_features(files), texts, counters
+    """Features, plan texts and counters of every document: the plan and the counters come from its columns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    plan = st.plan_text(F.col("n_chars").cast("double"), F.get(F.array(*[F.lit(p) for p in st.PRIORITIES]), (F.col("doc_id") % 5).cast("int")))
+    texts = pt.plan_texts(docs.select(key.alias("plan_id"), plan.alias("text"))).select(
+        F.col("plan_id").alias("workload"), F.array("plan_text", "plan_text").alias("plans")
+    )
+    steps = [F.col("n_chars") * (i + 1) for i in range(len(METRIC_NAMES))]
+    counters = docs.select(key.alias("workload"), F.array(*steps).cast("array<double>").alias("inner_metrics"))
+    return ft.workload_features(st.workload_files(spark, sf_dir)), texts, counters
 
 
 def _sql_shape(indent: str = "") -> str:
@@ -861,20 +868,21 @@ def _sql_shape(indent: str = "") -> str:
     )
 
 
-@query("t6_analytic_prompt", st.with_views(["files", "metrics"], f""", {SQL_FEATURES},
-texts AS (SELECT 'doc_' || o_orderkey::VARCHAR AS workload, {_sql_shape()} AS plan_text FROM orders),
-named AS (SELECT 'doc_' || regexp_extract(workload, 'config(\\d+)\\.xml', 1) AS workload, inner_metrics FROM metrics)
+@query("t6_analytic_prompt", st.with_views(["files"], f""", {SQL_FEATURES},
+shaped AS (SELECT doc_id, n_chars::DOUBLE AS o_totalprice, {st.PRIORITIES!r}[doc_id % 5 + 1] AS o_orderpriority FROM documents),
+texts AS (SELECT 'doc_' || doc_id::VARCHAR AS workload, {_sql_shape()} AS plan_text FROM shaped),
+named AS (SELECT 'doc_' || doc_id::VARCHAR AS workload, [x * n_chars::DOUBLE FOR x IN range(1, {len(METRIC_NAMES) + 1})] AS inner_metrics FROM documents)
 SELECT workload, {_quoted(PROMPT_HEAD)} || {_quoted(PROMPT_FEATURES)} || {_SQL_FEATURE_TEXT} || {_quoted(PROMPT_PLANS)} || plan_text || '; ' || plan_text
   || {_quoted(PROMPT_METRICS)} || {_SQL_METRICS_TEXT} AS prompt FROM features JOIN texts USING (workload) JOIN named USING (workload)"""))
 def t6_analytic_prompt(spark, sf_dir):
     return rc.analytic_prompts(*_document_inputs(spark, sf_dir))
 
 
-@query("t7_transactional_prompt", st.with_views(["runs", "metrics"], f""", q AS (SELECT workload, -min(cost) AS qps FROM runs GROUP BY workload)
+@query("t7_transactional_prompt", st.with_views(["runs", "all_metrics"], f""", q AS (SELECT workload, -min(cost) AS qps FROM runs GROUP BY workload)
 SELECT workload, {_quoted(SYSTEM_TEXT)} AS system, {_quoted(INSTRUCTION_TEXT)} AS instruction, {_SQL_METRICS_TEXT} AS input, {_SQL_META}, qps FROM metrics JOIN q USING (workload)"""))
 def t7_transactional_prompt(spark, sf_dir):
     best = hi.best_runs(st.runs(spark, sf_dir)).select("workload", (-F.col("cost")).alias("qps"))
-    rows = hi.best_with_metrics(best, st.metrics(spark, sf_dir))
+    rows = hi.best_with_metrics(best, st.metrics(spark, sf_dir, every=True))
     return _flat_meta(rc.transactional_prompts(rows, tx.workload_database(F.col("workload")), F.col("qps")))
 
 
@@ -906,8 +914,7 @@ def v3_plan_text_from_nodes(spark, sf_dir):
 @query("v4_plan_profile", st.with_views(["nodes"], """, t AS (SELECT o_orderstatus, node_type, count(*) AS n_nodes, sum(total_cost - startup_cost) AS cost FROM nodes GROUP BY ALL)
 SELECT o_orderstatus, node_type, n_nodes, round(cost, 0) AS cost, round(cost / sum(cost) OVER (PARTITION BY o_orderstatus), 9) AS cost_share FROM t"""))
 def v4_plan_profile(spark, sf_dir):
-    plans = st.plans(spark, sf_dir)
-    nodes = pt.plan_nodes(plans).join(plans.select("plan_id", "o_orderstatus"), "plan_id")
+    nodes = pt.plan_nodes(st.plans(spark, sf_dir), ["o_orderstatus"])
     out = pt.plan_profile(nodes, ["o_orderstatus"])
     return out.select("o_orderstatus", "node_type", "n_nodes", F.round("cost", 0).alias("cost"), F.round("cost_share", 9).alias("cost_share"))
 
@@ -915,9 +922,11 @@ def v4_plan_profile(spark, sf_dir):
 # ---------------------------------------------------------------- evaluation of runs
 
 @query("r2_compare_runs", st.with_views(["results"], """, base AS (SELECT run, max(abs(qps)) AS default_qps FROM results WHERE name = 'default' GROUP BY run)
-SELECT run, name, abs(qps) AS qps, default_qps, round((abs(qps) - default_qps) / default_qps * 100, 6) AS improvement_pct FROM results JOIN base USING (run) WHERE name <> 'default'"""))
+SELECT run, name, abs(qps) AS qps, default_qps, round((abs(qps) - default_qps) / default_qps * 100, 6) AS improvement_pct,
+  CAST(rank() OVER (PARTITION BY run ORDER BY abs(qps) DESC) AS INTEGER) AS rank FROM results JOIN base USING (run) WHERE name <> 'default'"""))
 def r2_compare_runs(spark, sf_dir):
-    return ev.compare_runs(st.results(spark, sf_dir)).withColumn("improvement_pct", F.round("improvement_pct", 6))
+    compared = ev.ranked_runs(ev.compare_runs(st.results(spark, sf_dir)))
+    return compared.withColumn("improvement_pct", F.round("improvement_pct", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from tunelake.catalog import CONFIG_SPACE_LINE, Knob
 from tunelake.constants import BENCHMARK_FOLDERS, METRIC_NAMES, THROUGHPUT_KEY
 from tunelake.functions.text import extract_json_object, strip
 from tunelake.operators.features import statements
+from tunelake.operators.history import CATALOG_LIMIT
 from tunelake.operators.plan_trees import read_plan_rows
 
 # Patterns of paths and log lines.
@@ -69,8 +70,16 @@ def read_config_space(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog_records(table: DataFrame) -> list[Knob]:
-    """A catalog table as plain records in name order; a catalog holds a few hundred knobs."""
-    return [Knob(*r) for r in table.select("knob", "type", "min", "max", "default").orderBy("knob").limit(10_000).collect()]
+    """A catalog table as plain records in name order; one of more than CATALOG_LIMIT knobs is refused."""
+    rows = table.select("knob", "type", "min", "max", "default").limit(CATALOG_LIMIT + 1).collect()
+    if len(rows) > CATALOG_LIMIT:
+        raise ValueError(f"a catalog with more than {CATALOG_LIMIT} knobs")
+    return sorted((Knob(*r) for r in rows), key=lambda k: k.knob)
+
+
+def plain_path(path: Column) -> Column:
+    """A local path spelled with or without an authority, in one form."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
 
 
 def run_folder(path: Column) -> list[Column]:
@@ -81,9 +90,9 @@ def run_folder(path: Column) -> list[Column]:
     ]
 
 
-def first_run_folder(docs: DataFrame) -> DataFrame:
-    """History documents of one run folder per workload: the first by name, backups left out."""
-    named = docs.select("*", *run_folder(F.col("path"))).filter(
+def first_run_folder(paths: DataFrame) -> DataFrame:
+    """Paths of one run folder per workload: the first by name, backups left out."""
+    named = paths.select("path", *run_folder(F.col("path"))).filter(
         (F.col("workload") != "") & ~F.contains(F.col("run_folder"), F.lit(BACKUP_MARK))
     )
     first = named.groupBy("workload").agg(F.min("run_folder").alias("run_folder"))
@@ -114,8 +123,14 @@ def parse_configs(docs: DataFrame) -> DataFrame:
 
 
 def read_run_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Runs and configurations of every `*_smac_output/run_*/runhistory.json` below a folder."""
-    docs = first_run_folder(whole_files(spark, path, "runhistory.json"))
+    """Runs and configurations of every `*_smac_output/run_*/runhistory.json` below a folder.
+
+    The folders are chosen from the listing, which reads no contents.
+    """
+    names = {"pathGlobFilter": "runhistory.json", "recursiveFileLookup": True}
+    listed = spark.read.format("binaryFile").options(**names).load(path).select(plain_path(F.col("path")).alias("path"))
+    files = whole_files(spark, path, "runhistory.json").withColumn("path", plain_path(F.col("path")))
+    docs = files.join(first_run_folder(listed), "path")
     return parse_runs(docs), parse_configs(docs)
 
 
@@ -175,20 +190,22 @@ def read_plans(spark: SparkSession, path: str) -> DataFrame:
 
 BENCHMARK_XML = (
     "url string, scalefactor double, terminals int,"
-    " works struct<work: struct<time: int, rate: string, weights: string>>,"
+    " works struct<work: array<struct<time: int, rate: string, weights: string>>>,"
     " transactiontypes struct<transactiontype: array<struct<name: string>>>"
 )
 
 
 def parse_benchmark_xml(docs: DataFrame) -> DataFrame:
-    """Benchmark settings of (path, text): weights as integers, transaction names in order."""
+    """Benchmark settings of (path, text), a row per `work` phase: weights as integers, transaction names in order."""
     parsed = docs.select("path", F.from_xml("text", BENCHMARK_XML, {"mode": "PERMISSIVE"}).alias("x"))
-    work = F.col("x.works.work")
-    return parsed.select(
+    work = F.col("work")
+    phases = parsed.select("path", "x", F.posexplode_outer("x.works.work").alias("phase", "work"))
+    return phases.select(
         F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("workload"),
         "x.url",
         "x.scalefactor",
         "x.terminals",
+        "phase",
         work["time"].alias("time"),
         work["rate"].alias("rate"),
         F.transform(F.split(work["weights"], ","), lambda w: F.trim(w).cast("int")).alias("weights"),
@@ -211,12 +228,12 @@ def read_benchmark_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_result_lines(lines: DataFrame) -> DataFrame:
-    """(path, name, qps) from `name: qps` lines; blank lines are skipped."""
+    """(path, name, qps) from `name: qps` lines; blank lines are skipped, others without a number have a null qps."""
     parts = F.split("line", ":")
     return lines.filter(strip(F.col("line")) != "").select(
         "path",
-        strip(parts[0]).alias("name"),
-        strip(parts[1]).cast("double").alias("qps"),
+        strip(F.get(parts, F.lit(0))).alias("name"),
+        strip(F.get(parts, F.lit(1))).try_cast("double").alias("qps"),
     )
 
 
@@ -225,8 +242,9 @@ def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_responses(docs: DataFrame) -> DataFrame:
-    """(path, knob, label) from answer documents; malformed ones are skipped."""
-    found = docs.select("path", F.explode_outer(extract_json_object(F.col("text"))).alias("knob", "label"))
+    """(path, knob, label) from answer documents; a document that is not one JSON object is skipped."""
+    whole = F.when(F.trim("text").rlike(r"(?s)^\{.*\}$") & F.try_parse_json("text").isNotNull(), F.col("text"))
+    found = docs.select("path", F.explode_outer(extract_json_object(whole)).alias("knob", "label"))
     return found.filter(F.col("knob").isNotNull())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tunelake.operators.history import best_runs
 
 RUN_SCHEMA = "workload string, run_ord long, config_id string, cost double"
+BEST_SCHEMA = "workload string, config_id string, cost double, run_ord long, batch long"
 
 
 def run_stream(spark: SparkSession, path: str, schema: str = RUN_SCHEMA, files_per_trigger: int = 1000) -> DataFrame:
@@ -18,35 +19,29 @@ def run_stream(spark: SparkSession, path: str, schema: str = RUN_SCHEMA, files_p
     )
 
 
-def best_so_far(stream: DataFrame) -> DataFrame:
-    """Best run per workload.
-
-    A minimum does not change when a record comes twice or late, so neither a
-    deduplication state nor a watermark is needed: the state is one row per workload.
-    """
-    return best_runs(stream)
-
-
 def keep_best(stream: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Writes the changed workloads of every batch below `target`, one folder per batch.
+    """Keeps the best run of every workload below `target`, merged batch by batch.
 
-    A repeated batch overwrites its own folder, so a restart leaves no duplicates.
+    Two folders take turns: a batch reads what the batch before left and overwrites the other
+    one, so nothing piles up, and a batch that is repeated after a restart finds its input as
+    it was. A minimum does not change when a record comes twice or late, so neither a
+    deduplication state nor a watermark is needed.
     """
 
-    def write_batch(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def merge_batch(runs: DataFrame, batch_id: int) -> None:
+        best = best_runs(runs)
+        if batch_id:
+            before = runs.sparkSession.read.schema(BEST_SCHEMA).parquet(f"{target}/slot={(batch_id - 1) % 2}")
+            best = best_runs(best.unionByName(before.drop("batch")))
+        single = best.dropDuplicates(["workload"]).withColumn("batch", F.lit(batch_id).cast("long"))
+        single.write.mode("overwrite").parquet(f"{target}/slot={batch_id % 2}")
 
-    writer = (
-        best_so_far(stream)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write_batch)
-    )
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest_best(spark: SparkSession, target: str) -> DataFrame:
-    """Current best per workload: its entry in the newest batch."""
-    history = spark.read.parquet(target)
-    newest = F.max_by(F.struct("config_id", "cost", "run_ord"), F.col("batch")).alias("best")
-    return history.groupBy("workload").agg(newest).select("workload", "best.*")
+    """Current best per workload: what the newest batch left."""
+    history = spark.read.schema(BEST_SCHEMA).parquet(f"{target}/slot=*")
+    newest = history.agg(F.max("batch")).scalar()
+    return history.filter(F.col("batch") == newest).drop("batch")
