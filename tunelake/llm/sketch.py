@@ -8,6 +8,7 @@ remains is decided exactly. Its size depends on `bits` alone, which bounds the b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,12 +54,20 @@ class Counts:
     def __init__(self, bits: int, table: np.ndarray):
         self.bits, self.table = bits, table
 
+    def __reduce__(self):
+        """Sent compressed: the table of a small input is almost empty."""
+        return _unpacked_counts, (self.bits, zlib.compress(self.table, 1))
+
     def of(self, names: np.ndarray) -> np.ndarray:
         """0: fewer than `few` names in the cell (for 2: the name is unique); 1: at least `few`; 2: at least `many`."""
         cells = names >> np.uint64(64 - self.bits)
         return (self.table[(cells >> np.uint64(2)).astype(np.int64)] >> ((cells & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
 
 
+def _unpacked_counts(bits: int, table: bytes) -> Counts:
+    return Counts(bits, np.frombuffer(zlib.decompress(table), dtype=np.uint8))
+
+
 def count_names(
     docs: DataFrame, names_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], many: int, bits: int = BITS, few: int = 2
 ) -> Counts:
