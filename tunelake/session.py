@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "tunelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,6 +48,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tunelake/{name}-{uuid.uuid4().hex}"
 
 
+_tracked: list[list[tuple[str, StructType]]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[tuple[str, StructType]]]:
+    """Collects the tables that `written` makes inside the block, for `emptied`."""
+    tables: list[tuple[str, StructType]] = []
+    _tracked.append(tables)
+    try:
+        yield tables
+    finally:
+        _tracked.remove(tables)
+
+
+def emptied(spark: SparkSession, tables: list[tuple[str, StructType]]) -> None:
+    """Frees the space of written tables that nothing reads any more: empty ones take their place."""
+    for path, schema in tables:
+        spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table in the shared folder and read back.
 
@@ -54,4 +77,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    for tables in _tracked:
+        tables.append((path, df.schema))
     return spark.read.schema(df.schema).parquet(path)
