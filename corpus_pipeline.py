@@ -6,6 +6,9 @@ columns. A null text counts as empty; an empty table runs through all stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +18,46 @@ from tunelake.llm.crf_language_id import UNDETERMINED, with_language
 from tunelake.llm.exact_dedup import drop_exact_copies
 from tunelake.llm.ngram_jaccard_join import linked_documents
 from tunelake.llm.suffix_dedup import strip_repeats
-from tunelake.session import written
+from tunelake.session import emptied, tracked, written
 
 # A document needs one language with this share of its words; text without letters has none.
 LEAST_SHARE = 0.4
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables: list = []
+
+
+def stage(step: Stage) -> Stage:
+    """A stage that first frees what the stage before, whose result is written by now, has left in the shared folder."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        emptied(spark, _tables)
+        _tables.clear()
+        with tracked() as tables:
+            result = step(spark, docs, sf_dir)
+        _tables.extend(tables)
+        return result
+
+    return run
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a clear language go."""
     found = with_language(docs, docs).toDF(*docs.columns, "_pred", "_share")
     return found.filter((F.col("_pred") != UNDETERMINED) & (F.col("_share") >= LEAST_SHARE)).drop("_pred", "_share")
 
 
+@stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return drop_exact_copies(docs)
 
 
+@stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     groups = linked_documents(docs, NEAR_WORDS, NEAR_SIMILARITY)
@@ -40,11 +65,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are cut out; what has nothing left goes."""
     return strip_repeats(docs)
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left as pieces of training sequences."""
     return pack(docs)
@@ -65,6 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written and read again before the next stage."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -100,16 +100,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    The second look at groups that a splitter cut reads the same sorted partitions. Rows with
+    equal text and id are never cut apart, as the id is part of the order.
+    """
     plain = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
-    local = written(sorted_copies(docs.toDF(*plain), keep_rows=True), "exact-local")
-    marks = local.select("doc_id", "_digest", "_pos")
-    first = F.max(F.struct("doc_id", (-F.col("_pos")).alias("pos")))
-    groups = marks.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
-    # More than one row of a text is left only where a splitter cut its group.
-    cut = groups.filter("_n > 1")
-    again = marks.join(cut, "_digest").filter(F.col("_pos") != -F.col("_first.pos")).select("_pos")
-    return local.join(again, "_pos", "left_anti").select(*plain).toDF(*docs.columns)
+    local = sorted_copies(docs.toDF(*plain), keep_rows=True)
+    # More than one row of a text is left only where a splitter cut its group: at most one group for each splitter.
+    groups = local.groupBy(F.col("_digest").alias("_cut")).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_keep"))
+    cut = groups.filter("_n > 1").drop("_n")
+    stays = F.col("_cut").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))
+    return local.join(F.broadcast(cut), F.col("_digest") == F.col("_cut"), "left").filter(stays).select(*plain).toDF(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,9 @@ from tunelake.session import written
 WORDS = 3
 SIMILARITY = (90, 100)
 LIGHT_MOST = 30  # sizes beyond have too many subsets to be weighed at all
+MERGES = 2  # rounds in which overlapping cells are merged
 MANY = 16  # a shingle of so many documents comes last in the order
-BLOCK_SETS = 512
+BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1_000_000
 COLUMNS = 4096  # of an incidence matrix at a time
 BATCH_BYTES = 4 << 20
@@ -184,6 +185,16 @@ def postings(sets: DataFrame, light: int, similarity: tuple[int, int]) -> DataFr
     return sets.mapInArrow(run, "key long, rep long")
 
 
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """Gives the members of a cell to the cell of the smallest leader that its own leader is with.
+
+    The sets of a group of near copies are in lists with different smallest members; after
+    this most of them are in one cell, once. A pair that was in one cell still is.
+    """
+    top = cells.groupBy(F.col("rep").alias("leader")).agg(F.min("leader").alias("_top"))
+    return cells.join(top, "leader").select(F.col("_top").alias("leader"), "rep").distinct()
+
+
 def views(column: pa.Array) -> list[np.ndarray]:
     """The lists of a column without nulls, as slices of one array."""
     values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
@@ -250,6 +261,23 @@ def forest(tiles: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def tokens_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the wanted documents, and few others that share a cell of the table with one."""
+
+    def names_of(batches):
+        for batch in batches:
+            yield mixed(batch.column("rep").to_numpy().view(np.uint64))
+
+    counts = sets.sparkSession.sparkContext.broadcast(count_names(wanted, names_of, 2, few=1))
+
+    def run(batches):
+        for batch in batches:
+            rep = batch.column("rep").fill_null(0).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(counts.value.of(mixed(rep)) > 0))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def linked_documents(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id with an equal set) of every document."""
     rows = written(shingle_rows(id_and_text(docs), words, similarity), "shingle-rows")
@@ -261,7 +289,10 @@ def linked_documents(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     light = light_border(sets, similarity)
     entries = written(postings(sets, light, similarity), "postings")
     leaders = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    cells = written(entries.join(leaders, "key").select("leader", "rep").distinct().join(sets.select("rep", "n"), "rep"), "cells")
+    members_of = entries.join(leaders, "key").select("leader", "rep").distinct()
+    for step in range(MERGES):
+        members_of = merged_cells(written(members_of, f"cells-{step}"))
+    cells = written(members_of.join(sets.select("rep", "n"), "rep"), "cells")
 
     size = cells.groupBy("leader").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_shingles")).filter("_sets > 1")
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_shingles") / BLOCK_SHINGLES)).cast("int")
@@ -273,7 +304,9 @@ def linked_documents(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
         F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"),
         (F.col("_block") > F.col("_other")).alias("side"),
     )
-    filled = tiles.join(rows.filter(F.size("keys") > 0).select(F.col("doc_id").alias("rep"), "tokens"), "rep")
+    tokens = tokens_of(rows.filter(F.size("keys") > 0).select(F.col("doc_id").alias("rep"), "tokens"), tiles.select("rep").distinct())
+    # A merge join at every size: sets are dealt by document, and skewed ones can be split.
+    filled = tiles.join(tokens.hint("merge"), "rep")
     key = ["leader", "low", "high"]
     dealt = filled.repartition(shuffle_partitions(docs), *key).sortWithinPartitions(*key)
     found = connected_components(forest(dealt, similarity))
