@@ -38,7 +38,7 @@ from tunelake.session import written
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\u024f]+")  # no mark combines with these and NFC leaves them alone
@@ -63,9 +63,7 @@ class WordIds(dict):
 
     def __init__(self, path: str = VOCABULARY):
         super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        self.ordinary = Tokenizer.from_file(path)
-        self.ordinary.encode_special_tokens = True  # inside a word their strings are plain text
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
@@ -98,7 +96,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         if not _PLAIN.fullmatch(text):
-            ids = np.array(self.ordinary.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = self.by_library(text, ordinary=True)
         elif (lower := text.lower()).isalpha():
             ids = self.part(lower)
         else:
@@ -108,9 +106,14 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def by_library(self, text: str, ordinary: bool) -> bytes:
+        """Ids of a text; `ordinary` takes the strings of special tokens as plain text, as inside a lower-cased word."""
+        self.library.encode_special_tokens = ordinary
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def of(self, text: bytes) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self.by_library(text.decode(), ordinary=False)
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Entries a worker keeps in a word cache before it starts anew; bounds its memory, never a result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

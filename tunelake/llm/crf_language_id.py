@@ -37,7 +37,7 @@ FEATURE_BITS = 18
 GRAMS = (2, 3, 4)
 ROUNDS = 40
 UNDETERMINED = "und"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _NO_LETTERS = (string.punctuation + string.digits + "".join(map(chr, range(32))) + "\x7f").encode()
 

@@ -41,7 +41,7 @@ BURN_IN = 1
 MOVES = 2  # of each dish in a sweep
 STRENGTH = 1.0
 SEED = 11
-UNIT_BYTES = 6 << 20
+UNIT_BYTES = 4 << 20
 UNIT_ROWS = 1 << 16
 SLICES = 16
 
