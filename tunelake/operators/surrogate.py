@@ -27,8 +27,8 @@ from tunelake.session import written
 
 # Deepest trees MLlib grows; the usual default of forests elsewhere has no limit.
 MAX_DEPTH = 30
-# Labelled rows that a registered fit learns from.
-FIT_ROWS = 1_000
+# Labelled rows that a fit of a validation learns from at most.
+FIT_ROWS = 100_000
 
 
 def feature_array(catalog: Sequence[Knob]) -> Column:

@@ -18,6 +18,9 @@ from tunelake.plans import telemetry as tl
 from tunelake.plans.tables import table
 from tunelake.session import scratch_path, written
 
+# Labelled rows of each fit; predictions and scores are of all rows.
+QUERY_ROWS = 300
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -78,7 +81,7 @@ def _per_workload(rows, name, condition):
 def m2_forest(spark, sf_dir):
     """100 trees; a forest predicts means of its labels, so nothing outside their range."""
     rows, _, _ = scaled_training(spark, sf_dir)
-    model = su.random_forest().fit(su.labelled_sample(rows))
+    model = su.random_forest().fit(su.labelled_sample(rows, QUERY_ROWS))
     return _per_workload(model.transform(rows), "in_range", F.col("forest").between(0, 1))
 
 
@@ -86,7 +89,7 @@ def m2_forest(spark, sf_dir):
 def m3_boosted(spark, sf_dir):
     """100 rounds; every sample gets a number."""
     rows, _, _ = scaled_training(spark, sf_dir)
-    model = su.boosted_trees().fit(su.labelled_sample(rows))
+    model = su.boosted_trees().fit(su.labelled_sample(rows, QUERY_ROWS))
     return _per_workload(model.transform(rows), "predicted", F.col("boosted").isNotNull() & ~F.isnan("boosted"))
 
 
@@ -94,7 +97,7 @@ def m3_boosted(spark, sf_dir):
 def m4_voting(spark, sf_dir):
     """500 trees and 100 rounds vote with equal weight."""
     rows, _, _ = scaled_training(spark, sf_dir)
-    models = su.fitted(su.labelled_sample(rows), [su.random_forest(trees=500), su.boosted_trees()])
+    models = su.fitted(su.labelled_sample(rows, QUERY_ROWS), [su.random_forest(trees=500), su.boosted_trees()])
     mean = (F.col("forest") + F.col("boosted")) / 2
     return _per_workload(su.voted(rows, models), "is_mean", F.abs(F.col("prediction") - mean) < 1e-12)
 
@@ -103,7 +106,7 @@ def m4_voting(spark, sf_dir):
 folds AS (SELECT workload, CAST(ntile(10) OVER (ORDER BY h) - 1 AS INTEGER) AS fold FROM hashed)
 SELECT fold, count(*) AS n, true AS scored FROM sampled JOIN folds USING (workload) GROUP BY fold""")
 def m5_forest_cv(spark, sf_dir):
-    scores = su.cross_validate(training(spark, sf_dir), [su.random_forest()])
+    scores = su.cross_validate(training(spark, sf_dir), [su.random_forest()], most=QUERY_ROWS)
     return scores.select("fold", "n", (F.col("r2") <= 1).alias("scored"))
 
 
@@ -147,14 +150,14 @@ def m6_repeated_holdout(spark, sf_dir):
     scaled = hi.scale_by_workload(hi.well_sampled(rows, ["config_id"]), "throughput", ["config_id"])
     usable = scaled.filter(F.col("scaled").isNotNull())
     holdouts = [sp.holdout_workloads(rows, r) for r in range(HOLDOUTS)]
-    scores, _ = su.repeated_holdout(usable, holdouts, [su.random_forest()])
+    scores, _ = su.repeated_holdout(usable, holdouts, [su.random_forest()], most=QUERY_ROWS)
     return scores.select("repeat", "n", (F.col("r2") <= 1).alias("scored"))
 
 
 def _saved_surrogate(spark, sf_dir):
     rows, lo, top = scaled_training(spark, sf_dir)
     path = scratch_path(spark, "surrogate")
-    fitted = su.fitted(su.labelled_sample(rows), [su.random_forest()])
+    fitted = su.fitted(su.labelled_sample(rows, QUERY_ROWS), [su.random_forest()])
     su.save_surrogate(fitted, lo, top, path, spark)
     return rows, fitted, su.load_surrogate(path, spark)
 
