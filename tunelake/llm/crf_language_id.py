@@ -152,9 +152,9 @@ def train(segments: list[tuple[str, list[bytes]]], rounds: int = ROUNDS, seed: i
         np.put_along_axis(miss, tags[:, :, None], np.take_along_axis(miss, tags[:, :, None], 2) + 1, 2)
         by_word = np.stack([np.bincount(ids[seen], miss[:, :, k][seen], minlength=n) for k in range(size)], axis=1)
         grad = np.stack([np.bincount(numbers, by_word[owner, k], minlength=1 << FEATURE_BITS) for k in range(size)], axis=1) - 0.05 * weights
-        expected = ahead[:-1, :, :, None] * moves * behind[1:, :, None, :]
-        expected /= expected.sum(axis=(2, 3), keepdims=True)
-        turn = moved - expected[pair].sum(axis=0) - 0.05 * transitions
+        left, right = ahead[:-1][pair], behind[1:][pair]
+        mass = ((left @ moves) * right).sum(axis=1, keepdims=True)
+        turn = moved - moves * ((left / mass).T @ right) - 0.05 * transitions
         square_w += grad**2
         square_t += turn**2
         weights += 0.3 * grad / np.sqrt(square_w)
