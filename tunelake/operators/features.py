@@ -14,6 +14,7 @@ from tunelake.functions.text import (
     replay_statements,
     semicolon_statements,
 )
+from tunelake.operators.skew import checked_broadcast
 
 SPLITTERS = {
     "replay": replay_statements,
@@ -100,11 +101,12 @@ def mix_features(mixes: DataFrame, transactions: DataFrame) -> DataFrame:
     """Weighted transaction features per workload, followed by the weights, first value dropped.
 
     `mixes` holds (workload, weights array); `transactions` holds (pos, features
-    array), pos counting from 0. Weights and vectors are joined by position; the
-    vectors collected per workload are bounded by the length of one weight list.
+    array), pos counting from 0. Positions are few and all workloads share them, so a
+    shuffle by position would meet in a few tasks: the vectors are broadcast if their number
+    was checked. What is collected per workload is bounded by the length of one weight list.
     """
     weighted = mixes.select("workload", F.posexplode("weights").alias("pos", "weight")).join(
-        transactions, "pos"
+        checked_broadcast(transactions), "pos"
     )
     values = weighted.select(
         "workload",

@@ -14,7 +14,7 @@ from tunelake.constants import MIN_SAMPLES
 from tunelake.functions.scaling import capped_cost, cost_to_y, ratio
 from tunelake.operators.skew import (
     ROWS_PER_SALT,
-    key_counts,
+    checked_broadcast,
     matched,
     running_min,
     salted_join,
@@ -135,14 +135,9 @@ def best_with_metrics(best: DataFrame, metrics: DataFrame) -> DataFrame:
     return best.join(metrics, "workload", "inner")
 
 
-# A catalog of more knobs than this is joined like any other table.
-CATALOG_LIMIT = 10_000
-
-
 def with_limits(values: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
     """Join with a knob catalog: broadcast if its size was checked, else as Spark plans it."""
-    small = catalog.limit(CATALOG_LIMIT + 1).count() <= CATALOG_LIMIT
-    return values.join(F.broadcast(catalog) if small else catalog, "knob", how)
+    return values.join(checked_broadcast(catalog), "knob", how)
 
 
 def with_catalog(values: DataFrame, catalog: DataFrame, keep_unknown: bool) -> DataFrame:

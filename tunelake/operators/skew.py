@@ -20,6 +20,15 @@ ROWS_PER_SALT = 2_000_000
 RANK_DIGITS = 4
 
 
+# A table of more rows than this is joined like any other.
+BROADCAST_ROWS = 10_000
+
+
+def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`small` marked for broadcast if a count shows that it has at most `most` rows, else as it is."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per key in `_n`, combined map-side."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

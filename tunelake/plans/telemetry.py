@@ -30,7 +30,7 @@ from tunelake.operators import history as hi
 from tunelake.operators import plan_trees as pt
 from tunelake.operators import records as rc
 from tunelake.operators import splits as sp
-from tunelake.operators.skew import with_group_stats
+from tunelake.operators.skew import checked_broadcast, with_group_stats
 from tunelake.plans import standins as st
 from tunelake.plans.tables import table
 
@@ -492,7 +492,7 @@ types AS (SELECT event_type, count(*)::DOUBLE AS n, min(value) AS lo, max(value)
 @query("j6_mix_positions", f"WITH {_SQL_MIX} SELECT workload, event_type, round(w, 9) AS weight, n FROM long_mix JOIN types USING (event_type)")
 def j6_mix_positions(spark, sf_dir):
     weights = _mixes(spark, sf_dir).select("workload", F.posexplode("weights").alias("pos", "weight"))
-    joined = weights.join(_transactions(spark, sf_dir), "pos")
+    joined = weights.join(checked_broadcast(_transactions(spark, sf_dir)), "pos")
     kind = F.get(F.array(*[F.lit(t) for t in MIX_TYPES]), F.col("pos"))
     return joined.select("workload", kind.alias("event_type"), F.round("weight", 9).alias("weight"), F.col("features")[0].alias("n"))
 

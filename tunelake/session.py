@@ -38,9 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = os.path.join(tempfile.gettempdir(), "tunelake-shared")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), "tunelake-shared")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from tunelake.catalog import CONFIG_SPACE_LINE, Knob
 from tunelake.constants import BENCHMARK_FOLDERS, METRIC_NAMES, THROUGHPUT_KEY
 from tunelake.functions.text import extract_json_object, strip
 from tunelake.operators.features import statements
-from tunelake.operators.history import CATALOG_LIMIT
+from tunelake.operators.skew import BROADCAST_ROWS as CATALOG_LIMIT
 from tunelake.operators.plan_trees import read_plan_rows
 
 # Patterns of paths and log lines.
