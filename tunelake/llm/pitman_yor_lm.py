@@ -4,10 +4,9 @@ Every context (the hashed word before, in 2 ** CONTEXT_BITS classes) is a restau
 customers are the tokens that follow it and whose dishes are words. All share one parent, the
 restaurant of single words, which gets a customer for each table below it and has the uniform
 distribution over the V known words and the unknown one above it. Seatings are sampled by
-Gibbs: a random customer of each dish leaves and sits down again, at a table of its dish in
-proportion to its size less the discount, or at a new one in proportion to the mass of new
-tables times the parent's probability. Scores use predictive probabilities averaged over the
-sweeps after the burn-in.
+blocked Gibbs: in a sweep all customers of a dish leave and are seated anew, drawn from the
+distribution of its tables given those of all other dishes (`table_counts`), whatever its
+count. Scores use predictive probabilities averaged over the sweeps after the burn-in.
 
 Words are dealt into buckets, so all customers of a word, in whatever context, are in one
 place, and a word has at most 2 ** CONTEXT_BITS rows. The only shared state is the number of
@@ -32,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm.common import WordNames, documents, id_remainder, shuffle_partitions, slices_by_bytes, text_bytes
+from tunelake.llm.table_counts import drawn_tables
 from tunelake.session import written
 
 CONTEXT_BITS = 16
 CONTEXTS = 1 << CONTEXT_BITS
 SWEEPS = 3
 BURN_IN = 1
-MOVES = 2  # of each dish in a sweep
 STRENGTH = 1.0
 SEED = 11
 UNIT_BYTES = 4 << 20
@@ -157,45 +156,6 @@ class Shared:
     parent_tables: list[float] = field(default_factory=list)
 
 
-class Seating:
-    """Tables of many dishes, each with its own customers; all dishes move at the same time."""
-
-    def __init__(self, customers: np.ndarray):
-        self.customers = customers.astype(np.int64)
-        self.sizes = self.customers.copy()  # of each table; all customers of a dish begin at one
-        self.dish = np.arange(len(customers))
-        self.movable = np.flatnonzero(self.customers > 1)
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.dish, minlength=len(self.customers))
-
-    def move(self, new_mass: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """One Gibbs step for each dish with several customers; `new_mass` is the weight of a new table."""
-        who = self.movable
-        if not len(who):
-            return
-        start = np.cumsum(self.customers) - self.customers  # first customer of each dish, in the order of tables
-        gone = np.searchsorted(np.cumsum(self.sizes), start[who] + rng.integers(0, self.customers[who]), side="right")
-        self.sizes[gone] -= 1
-        rest = self.customers[who] - 1
-        old_mass = rest - discount * (self.tables()[who] - (self.sizes[gone] == 0))
-        fresh = rng.random(len(who)) * (old_mass + new_mass[who]) >= old_mass
-        # An old table in proportion to size less discount: that of a random customer, taken with (size - discount) / size.
-        ends, first = np.cumsum(self.sizes), start[who] - np.arange(len(who))  # each dish before has one customer less
-        left = np.flatnonzero(~fresh)
-        while len(left):
-            table = np.searchsorted(ends, first[left] + rng.integers(0, rest[left]), side="right")
-            taken = rng.random(len(left)) * self.sizes[table] >= discount
-            gone[left[taken]] = table[taken]
-            left = left[~taken]
-        self.sizes[gone[~fresh]] += 1
-        kept = self.sizes > 0
-        dish = np.concatenate([self.dish[kept], who[fresh]])
-        sizes = np.concatenate([self.sizes[kept], np.ones(int(fresh.sum()), dtype=np.int64)])
-        order = np.argsort(dish, kind="stable")
-        self.sizes, self.dish = sizes[order], dish[order]
-
-
 class Bucket:
     """The restaurants' tables for the words of one bucket."""
 
@@ -211,21 +171,16 @@ class Bucket:
         """Tables of each (context, word), and customers and tables of each word in the parent, after every sweep."""
         rng = np.random.default_rng([SEED, self.bucket])
         several = np.flatnonzero(self.counts > 1)
-        seating = Seating(self.counts[several])
         tables = np.ones(len(self.counts), dtype=np.int64)
         customers = np.bincount(self.word, minlength=len(self.words))
         parents = np.ones(len(self.words), dtype=np.int64)
         for sweep in range(sweeps):
-            mass = (STRENGTH + shared.discount * shared.tables[sweep][self.contexts[several]]) * parent_probability(shared, sweep, customers, parents)[self.word[several]]
-            for _ in range(MOVES):
-                seating.move(mass, shared.discount, rng)
-            tables[several] = seating.tables()
+            others = shared.tables[sweep][self.contexts[several]] - tables[several]
+            above = parent_probability(shared, sweep, customers, parents)[self.word[several]]
+            tables[several] = drawn_tables(self.counts[several], STRENGTH + shared.discount * others, above, shared.discount, rng)
             customers = np.bincount(self.word, tables, minlength=len(self.words)).astype(np.int64)
-            parent = Seating(customers)
-            mass = np.full(len(customers), (STRENGTH + shared.parent_discount * shared.parent_tables[sweep]) / (shared.words + 1))
-            for _ in range(MOVES * (sweep + 1)):
-                parent.move(mass, shared.parent_discount, rng)
-            parents = parent.tables()
+            strength = STRENGTH + shared.parent_discount * (shared.parent_tables[sweep] - parents)
+            parents = drawn_tables(customers, strength, np.full(len(customers), 1 / (shared.words + 1)), shared.parent_discount, rng)
             yield tables.copy(), customers, parents
 
 
