@@ -13,10 +13,11 @@ into buckets and the buckets refined until each holds equal strings of that leng
 * Again, one suffix at a time, for runs that differ inside a bucket. Of equal runs one takes
   part, so this touches only the borders of what is repeated.
 
-Buckets are named by 64-bit hashes of their strings, so names agree on all executors. Equal
-keys of one batch are combined before they are shuffled; a sorted stream then compares
-neighbours and keeps one row in memory. Texts are named as well, and what is found for a
-text holds for all its copies.
+Buckets are named by 64-bit hashes of their strings, so names agree on all executors. Of equal
+keys of one batch one goes to its bucket; the others are settled, lose what copies of a text
+repeat and are dealt out by themselves. A sorted stream then compares neighbours and keeps one
+row in memory. Texts are named as well, and what is found for a text holds for all its copies;
+places are reduced to distinct ones before the texts are brought to them.
 
 Null and empty texts, and texts shorter than LENGTH, lose nothing. Repeated rows count as
 occurrences elsewhere. An empty table gives an empty result.
@@ -132,16 +133,24 @@ ROWS = "settled boolean, bucket long, name long, text long, first int, last int,
 
 
 def combined(bucket: np.ndarray, name: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    """Rows of ROWS in which equal (bucket, name) of the batch are settled, but for one that goes on for all."""
-    order = np.lexsort((name, bucket))
-    bucket, name = bucket[order], name[order]
+    """Rows of ROWS in which equal (bucket, name) of the batch are settled, but for one that goes on for all.
+
+    Copies of a text have their places once.
+    """
+    order = np.lexsort((first, text, name, bucket))
+    bucket, name, text, first, last = bucket[order], name[order], text[order], first[order], last[order]
     again = np.zeros(len(order), dtype=bool)
     again[1:] = (bucket[1:] == bucket[:-1]) & (name[1:] == name[:-1])
     many = np.append(again[1:], False) & ~again
-    return table({
-        "settled": again, "bucket": bucket, "name": name, "text": text[order],
-        "first": first[order].astype(np.int32), "last": last[order].astype(np.int32), "many": many,
-    })
+    copy = again.copy()
+    copy[1:] &= (text[1:] == text[:-1]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1])
+    columns = {"settled": again, "bucket": bucket, "name": name, "text": text, "first": first.astype(np.int32), "last": last.astype(np.int32), "many": many}
+    return table({c: v[~copy] for c, v in columns.items()})
+
+
+def dealt_out(rows: DataFrame, partitions: int) -> DataFrame:
+    """ROWS by bucket; settled rows need no comparison and are spread by their places."""
+    return rows.repartition(partitions, F.when(F.col("settled"), F.xxhash64("text", "first")).otherwise(F.col("bucket")))
 
 
 def initial_runs(docs: DataFrame) -> DataFrame:
@@ -218,7 +227,7 @@ def refined(rows: DataFrame, partitions: int) -> DataFrame:
         if start and start[0]:
             yield out(True, *(start[1][c] for c in ("text", "first", "last")))
 
-    dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "name")
+    dealt = dealt_out(rows, partitions).sortWithinPartitions("bucket", "name")
     return dealt.mapInArrow(run, "open boolean, text long, first int, last int")
 
 
@@ -251,11 +260,11 @@ def single_suffixes(docs: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def repeated_suffixes(docs: DataFrame) -> DataFrame:
-    """(text, first, last): places of named texts whose suffixes are repeated."""
+    """(text, first, last): places of named texts whose suffixes are repeated, each once."""
     partitions = shuffle_partitions(docs)
     runs = written(refined(initial_runs(docs), partitions), "runs")
     singles = refined(single_suffixes(docs, runs.filter("open")), partitions)
-    return runs.union(singles).filter("NOT open").drop("open")
+    return runs.union(singles).filter("NOT open").drop("open").distinct()
 
 
 def without_repeats(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int, int]:
