@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tunelake.llm import (
     best_fit_packing,
     byte_bpe,
+    conversation_repair,
     crf_language_id,
     exact_dedup,
     hilbert_sharding,
@@ -19,7 +20,7 @@ from tunelake.llm import (
     suffix_dedup,
 )
 
-MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding)
+MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding, conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
