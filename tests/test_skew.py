@@ -174,3 +174,18 @@ def test_build_samples(spark):
     assert got["w", "2"].y == [10.0, 0.1]
     assert (got["w", "1"].work_mem, got["v", "1"].work_mem) == (1.0, 3.0)
     assert got["v", "1"].inner_metrics == [] and got["w", "1"].inner_metrics == [1.0] * 14
+
+
+def test_value_rank_equals_row_number(spark):
+    """A million rows, a third of them with one value, and nulls; no window over all rows."""
+    rows = spark.range(1_000_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 1000 = 1 THEN NULL ELSE pmod(xxhash64(id), 5000) END AS value")
+    ranked = skew.value_rank(rows, [F.col("value"), F.col("id")], partitions=16)
+    assert "SinglePartition" not in ranked.drop("_rank")._jdf.queryExecution().executedPlan().toString()
+    want = rows.select("id", (F.row_number().over(Window.orderBy("value", "id")) - 1).alias("want"))
+    assert ranked.join(want, "id").filter("_rank = want").count() == 1_000_000
+    sizes = [r["n"] for r in skew.range_sorted(rows, [F.col("value"), F.col("id")], 16).groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 150_000
+
+
+def test_value_rank_of_no_rows(spark):
+    assert skew.value_rank(spark.range(0), [F.col("id")]).collect() == []

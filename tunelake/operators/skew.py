@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelake.session import written
+
 # Rows of one key a single task takes before the key is spread over more tasks. It places rows
 # and changes no result; every caller can pass another value.
 ROWS_PER_SALT = 2_000_000
@@ -155,6 +157,33 @@ def hash_rank(rows: DataFrame, key_hash: str, name: str = "_rank", digits: int =
     )
 
 
+def range_sorted(rows: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """`rows` as a written table in the global order of `order`, cut into ranges by sampled splitters.
+
+    Adds `_range`, the number of the range, and `_local`, the 0-based place in it. Both are read
+    off the sorted partitions, so no window runs, and the written table fixes them for every
+    later plan. Rows that are equal in `order` share a range: end it with a key that tells
+    the rows of a frequent value apart.
+    """
+    ranges = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_local", place), "ranges")
+
+
+def value_rank(rows: DataFrame, order: Sequence[Column], name: str = "_rank", partitions: int | None = None) -> DataFrame:
+    """Exact 0-based position of each row in the order of values, however they are distributed.
+
+    The offset of a range is the number of rows in the ranges before it. There are as many
+    offsets as ranges, which bounds the window over them and their broadcast.
+    """
+    placed = range_sorted(rows, order, partitions)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = key_counts(placed, ["_range"]).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = placed.join(F.broadcast(offsets), "_range")
+    return ranked.withColumn(name, F.col("_offset") + F.col("_local")).drop("_range", "_local", "_offset")
+
+
 def band_join(
     points: DataFrame,
     bands: DataFrame,
