@@ -11,6 +11,7 @@ from tunelake.llm import (
     byte_bpe,
     conversation_repair,
     crf_language_id,
+    curriculum_mix,
     exact_dedup,
     hilbert_sharding,
     line_dedup,
@@ -20,7 +21,7 @@ from tunelake.llm import (
     suffix_dedup,
 )
 
-MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding, conversation_repair)
+MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding, curriculum_mix, conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
