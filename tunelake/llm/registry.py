@@ -17,11 +17,12 @@ from tunelake.llm import (
     line_dedup,
     ngram_jaccard_join,
     parsing_fingerprint,
+    phrase_mining,
     pitman_yor_lm,
     suffix_dedup,
 )
 
-MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding, curriculum_mix, conversation_repair)
+MODULES = (ngram_jaccard_join, line_dedup, parsing_fingerprint, best_fit_packing, exact_dedup, crf_language_id, pitman_yor_lm, byte_bpe, suffix_dedup, hilbert_sharding, phrase_mining, curriculum_mix, conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
