@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunelake.operators.distinct import bitmap_counts, distinct_bitmaps, distinct_counts, merge_bitmaps, value_dictionary
 from tunelake.operators.skew import band_join, with_group_stats
 from tunelake.plans.tables import TABLES, table
+from tunelake.session import written
 
 STATEMENTS: dict[str, str] = {
     "q01_scan_projection": "SELECT c_custkey, c_name, c_acctbal FROM customer",
@@ -177,6 +179,9 @@ STATEMENTS: dict[str, str] = {
 }
 
 CHECK: dict[str, str] = {
+    "q19_merged_distinct": """
+        SELECT l_returnflag, CAST(EXTRACT(YEAR FROM l_shipdate) AS INTEGER) AS ship_year, COUNT(DISTINCT l_suppkey) AS n_suppliers, COUNT(DISTINCT l_partkey) AS n_parts
+        FROM lineitem GROUP BY ALL""",
     "q42_casts": """
         SELECT CAST(p_size AS VARCHAR) AS size_text, trunc(p_retailprice)::INTEGER - p_size AS price_gap,
           TRY_CAST(p_brand AS INTEGER) AS brand_number, CAST(p_partkey AS DOUBLE) AS key_number FROM part""",
@@ -224,6 +229,33 @@ def q05_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q19_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct counts without a copy of the rows for each."""
+    parts = table(spark, sf_dir, "part").filter(F.col("p_retailprice").between(950, 1700)).select("p_type", "p_brand", "p_size", "p_name")
+    return distinct_counts(parts, ["p_type"], {"n_brands": "p_brand", "n_sizes": "p_size", "n_names": "p_name"})
+
+
+def q19_merged_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts per flag and year, merged from the bitmaps of months that came in two increments.
+
+    The second increment extends the dictionary of the first; its rows are coded alone.
+    """
+    shipped = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", "l_partkey", F.trunc("l_shipdate", "month").alias("month"))
+    early = F.col("month") < F.lit("1996-01-01").cast("date")
+    keys = ["l_returnflag", "month"]
+
+    def merged(column: str, name: str) -> DataFrame:
+        first = written(value_dictionary(shipped.filter(early), column), "dictionary")
+        second = written(value_dictionary(shipped.filter(~early), column, first), "dictionary")
+        months = distinct_bitmaps(shipped.filter(early), keys, column, first, ["l_orderkey"]).unionByName(
+            distinct_bitmaps(shipped.filter(~early), keys, column, second, ["l_orderkey"])
+        )
+        by_year = ["l_returnflag", "ship_year"]
+        return bitmap_counts(merge_bitmaps(months.withColumn("ship_year", F.year("month")), by_year), by_year, name)
+
+    return merged("l_suppkey", "n_suppliers").join(merged("l_partkey", "n_parts"), ["l_returnflag", "ship_year"])
+
+
 def q36_window_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average over a partition next to each row, from partial sums instead of a window buffer.
 
@@ -247,6 +279,8 @@ def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _statement(sql) for name, sql in STATEMENTS.items()}
     out["q05_band_join"] = q05_band_join
+    out["q19_count_distinct"] = q19_count_distinct
+    out["q19_merged_distinct"] = q19_merged_distinct
     out["q36_window_average"] = q36_window_average
     return out
 
