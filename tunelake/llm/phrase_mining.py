@@ -41,10 +41,11 @@ from tunelake.session import written
 
 LEAST, MOST_WORDS, SHARE, TOP = 10, 3, 50, 2000
 # Bytes of text in a block; a task fills several, of different languages, up to OPEN times as much.
-BLOCK, OPEN = 4 << 20, 4
+# The larger a block, the fewer rows its repeated phrases make in a shuffle.
+BLOCK, OPEN = 16 << 20, 2
 # A block number is the number of its partition and a count; the id of a phrase is the smallest
 # block that has it and its number there, so no two phrases of a length share one.
-BLOCKS_EACH, GROUPS_EACH = 1 << 17, 1 << 24
+BLOCKS_EACH, GROUPS_EACH = 1 << 15, 1 << 27
 
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 # Lower case, ends of pieces as line feeds, tabs as spaces.
@@ -131,18 +132,20 @@ def word_blocks(docs: DataFrame, most: int = BLOCK) -> DataFrame:
 
 
 def frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows (block, number, n) of groups with at least `least` occurrences, with their total `f` and an id.
+    """(block, number, id) of groups with at least `least` occurrences; where a group has its first block also the keys and the total `f`.
 
     The blocks of a group meet once, in the order of a shuffle that both the sum and the id use.
     """
     group = Window.partitionBy(*keys)
     name = F.col("block") * GROUPS_EACH + F.col("number")
-    return counted.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min(name).over(group)).filter(F.col("f") >= least).drop("n")
+    summed = counted.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min(name).over(group)).filter(F.col("f") >= least)
+    about = [c for c in summed.columns if c not in ("block", "number", "id", "n")]
+    return summed.select("block", "number", "id", *[F.when(F.col("id") == name, F.col(c)).alias(c) for c in about])
 
 
 def groups_of(found: DataFrame) -> DataFrame:
     """One row per group: the one of its first block."""
-    return found.filter(F.col("id") == F.col("block") * GROUPS_EACH + F.col("number")).drop("block", "number")
+    return found.filter(F.col("f").isNotNull()).drop("block", "number")
 
 
 def kept_groups(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
