@@ -184,6 +184,22 @@ def value_rank(rows: DataFrame, order: Sequence[Column], name: str = "_rank", pa
     return ranked.withColumn(name, F.col("_offset") + F.col("_local")).drop("_range", "_local", "_offset")
 
 
+def carried_forward(rows: DataFrame, order: Sequence[Column], value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Adds `name`: the last non-null `value` at or before each row in the order of all rows.
+
+    A window runs inside each range; what comes from earlier ranges is the last value of the
+    nearest one that has any, found over one row per range.
+    """
+    placed = range_sorted(rows, order, partitions)
+    inside = Window.partitionBy("_range").orderBy("_local").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col(value).isNotNull(), F.col("_local"))
+    lasts = placed.groupBy("_range").agg(F.max_by(value, known).alias("_last"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lasts.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_earlier"))
+    local = placed.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    return local.join(F.broadcast(earlier), "_range").withColumn(name, F.coalesce(name, "_earlier")).drop("_range", "_local", "_earlier")
+
+
 def band_join(
     points: DataFrame,
     bands: DataFrame,

@@ -13,13 +13,15 @@ from tunelake.functions.text import float_text, metrics_json
 from tunelake.operators import features as ft
 from tunelake.operators import history as hi
 from tunelake.operators import plan_trees as pt
+from tunelake.operators.log_events import distinct_records, pair_runs
 from tunelake.operators.splits import hash_split
 from tunelake.plans import standins as st
 from tunelake.plans import telemetry as tl
 from tunelake.plans.tables import table
-from tunelake.session import scratch_path
+from tunelake.session import scratch_path, written
 from tunelake.sources import files as src
 from tunelake.sources import sinks
+from tunelake.sources.documents import append_documents, read_documents, read_log
 from tunelake.streaming.samples import keep_best, latest_best, run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +96,35 @@ def s3_run_history(spark, sf_dir):
     return runs.join(wide, ["workload", "config_id"]).select("workload", "run_ord", "config_id", "cost", "work_mem")
 
 
+def stored(docs: DataFrame, name: str, **options) -> DataFrame:
+    """Documents (path, text) written to bundles in two commits, the second one repeated, and read from them again."""
+    path = scratch_path(docs.sparkSession, name)
+    half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    for commit_id, part in (("1", half), ("2", ~half), ("2", ~half)):
+        append_documents(docs.filter(part), path, commit_id)
+    return read_documents(docs.sparkSession, path, **options)
+
+
+@query("s3_history_files", """
+WITH r AS (SELECT user_id::VARCHAR || '_' || (event_id // 100)::VARCHAR AS workload, event_id, CASE WHEN event_type = 'error' THEN 2147483647.0::DOUBLE ELSE -value END AS cost,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY event_id) - 1 AS run_ord FROM r)
+SELECT workload, run_ord, event_id::VARCHAR AS config_id, cost, k AS work_mem FROM n WHERE k <> 0""")
+def s3_history_files(spark, sf_dir):
+    """Histories through the data source: the latest run folder of each counts, and backups do not."""
+    docs = history_documents(spark, sf_dir)
+    folders = F.explode(F.array(F.lit("run_2"), F.lit("run_1"), F.lit("run_0.OLD"))).alias("folder")
+    files = docs.select("*", folders).select(
+        F.concat(F.lit("data/"), "workload", F.lit("_smac_output/"), "folder", F.lit("/runhistory.json")).alias("path"),
+        F.when(F.col("folder") == "run_1", F.col("text")).otherwise(F.lit('{"data": [[["0"],[-1.0]]], "configs": {"0": {"work_mem": 1}}}')).alias("text"),
+    )
+    found = stored(files, "history-files", pattern="runhistory.json").filter("folder IN ('run_1', 'run_2')")
+    kept = written(found.join(src.first_run_folder(found), "path").select("workload", "text"), "history-documents")
+    runs, configs = src.parse_runs(kept), src.parse_configs(kept)
+    wide = src.wide_configs(configs, ["work_mem"], ["workload", "config_id"])
+    return runs.join(wide, ["workload", "config_id"]).select("workload", "run_ord", "config_id", "cost", "work_mem")
+
+
 @query("s4_internal_metrics", st.with_views(["all_metrics"], f"""
 SELECT workload, {', '.join(f'inner_metrics[{i + 1}] AS {n}' for i, n in enumerate(METRIC_NAMES))} FROM metrics"""))
 def s4_internal_metrics(spark, sf_dir):
@@ -108,6 +139,19 @@ def s4_internal_metrics(spark, sf_dir):
     return parsed.select("workload", *[F.get("inner_metrics", F.lit(i)).alias(n) for i, n in enumerate(METRIC_NAMES)])
 
 
+@query("s4_metrics_files", st.with_views(["all_metrics"], f"""
+SELECT workload, {', '.join(f'inner_metrics[{i + 1}] AS {n}' for i, n in enumerate(METRIC_NAMES))} FROM metrics WHERE workload LIKE '%/sample_tpcc%'"""))
+def s4_metrics_files(spark, sf_dir):
+    """Counter files of one family: the filter on the name chooses among them before they are read."""
+    rows = st.metrics(spark, sf_dir, every=True)
+    path = F.concat(F.replace("workload", F.lit("./"), F.lit("")), F.lit("_internal_metrics.json"))
+    files = stored(rows.select(path.alias("path"), metrics_json(F.col("inner_metrics")).alias("text")), "metrics-files", pattern="*_internal_metrics.json", pushdown=True)
+    family = files.filter(F.startswith("name", F.lit("sample_tpcc")))
+    workload = F.concat(F.lit("./"), F.regexp_extract("path", r"(.*)_internal_metrics\.json$", 1))
+    parsed = src.parse_metrics(family.withColumn("workload", workload))
+    return parsed.select("workload", *[F.get("inner_metrics", F.lit(i)).alias(n) for i, n in enumerate(METRIC_NAMES)])
+
+
 @query("f8_with_both_files", st.with_views(["runs", "metrics"], "SELECT DISTINCT workload FROM runs JOIN metrics USING (workload)"))
 def f8_with_both_files(spark, sf_dir):
     return src.with_both_files(st.runs(spark, sf_dir), st.metrics(spark, sf_dir))
@@ -166,6 +210,15 @@ def s8_plan_files(spark, sf_dir):
     return nodes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.max("total_cost"), 4).alias("top_cost"))
 
 
+@query("s8_stored_plans", st.with_views(["nodes"], "SELECT plan_id::VARCHAR || '#0' AS plan_id, count(*) AS n_nodes, round(max(total_cost), 4) AS top_cost FROM nodes GROUP BY plan_id"))
+def s8_stored_plans(spark, sf_dir):
+    """Plan files through the data source, many of them in a partition."""
+    files = plan_files(spark, sf_dir).select(F.concat(F.lit("plans/"), "workload", F.lit(".json")).alias("path"), "text")
+    found = stored(files, "plan-files", pattern="*.json")
+    nodes = pt.plan_nodes(src.read_plan_rows(found.select(F.regexp_extract("name", r"(.*)\.json$", 1).alias("workload"), "text")))
+    return nodes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.max("total_cost"), 4).alias("top_cost"))
+
+
 @query("s8_file_plan_texts", f"SELECT o_orderkey::VARCHAR AS workload, {tl._sql_shape()} AS plans FROM orders")
 def s8_file_plan_texts(spark, sf_dir):
     texts = pt.file_plans(plan_files(spark, sf_dir))
@@ -177,6 +230,10 @@ SELECT 'jdbc:postgresql://host:5432/' || lower(c_mktsegment) || '?id=' || c_cust
   unnest([0::INTEGER, 1]) AS phase, unnest([60::INTEGER, 30]) AS time, 'unlimited' AS rate, c_nationkey::VARCHAR || '/' || (100 - c_nationkey)::VARCHAR AS weights, 'Read' || c_nationkey::VARCHAR || '/Write' AS transactions FROM customer""")
 def s9_benchmark_xml(spark, sf_dir):
     """Benchmark settings as XML documents of two phases, one per customer."""
+    return _settings(_xml_documents(spark, sf_dir))
+
+
+def _xml_documents(spark, sf_dir):
     nation, key = F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")
     text = F.concat(
         F.lit("<parameters><type>POSTGRES</type><url>jdbc:postgresql://host:5432/"), F.lower("c_mktsegment"), F.lit("?id="), key,
@@ -188,13 +245,24 @@ def s9_benchmark_xml(spark, sf_dir):
         F.lit("</weights></work></works><transactiontypes><transactiontype><name>Read"), nation,
         F.lit("</name></transactiontype><transactiontype><name>Write</name></transactiontype></transactiontypes></parameters>"),
     )
-    docs = table(spark, sf_dir, "customer").select(F.concat(key, F.lit(".xml")).alias("path"), text.alias("text"))
+    return table(spark, sf_dir, "customer").select(F.concat(key, F.lit(".xml")).alias("path"), text.alias("text"))
+
+
+def _settings(docs):
     settings = src.parse_benchmark_xml(docs).drop("workload")
     return settings.withColumn("weights", F.array_join(F.col("weights").cast("array<string>"), "/")).withColumn(
         "transactions", F.array_join("transactions", "/")
     )
 
 
+@query("s9_xml_files", """
+SELECT 'jdbc:postgresql://host:5432/' || lower(c_mktsegment) || '?id=' || c_custkey::VARCHAR AS url, c_nationkey::DOUBLE AS scalefactor, CAST(c_custkey AS INTEGER) AS terminals,
+  unnest([0::INTEGER, 1]) AS phase, unnest([60::INTEGER, 30]) AS time, 'unlimited' AS rate, c_nationkey::VARCHAR || '/' || (100 - c_nationkey)::VARCHAR AS weights, 'Read' || c_nationkey::VARCHAR || '/Write' AS transactions FROM customer""")
+def s9_xml_files(spark, sf_dir):
+    """The same settings from files, read through the data source."""
+    return _settings(stored(_xml_documents(spark, sf_dir), "xml-files", pattern="*.xml"))
+
+
 @query("s10_benchmark_summary", """
 SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' THEN o_totalprice ELSE 0.0 END AS throughput FROM orders""")
 def s10_benchmark_summary(spark, sf_dir):
@@ -276,6 +344,62 @@ def s14_run_log(spark, sf_dir):
     return src.parse_run_log(events.select(line))
 
 
+def _log_files(spark, sf_dir, pushdown=False):
+    """A rotated log in the order of time: starts, results, errors over several lines, all written twice."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    message = (
+        F.when(kind == "view", F.concat(F.lit("Running BenchBase with benchmark: b"), (F.col("event_id") % 7).cast("string")))
+        .when(kind == "purchase", F.concat(F.lit("BenchBase tpcc throughput: "), float_text(F.col("value"))))
+        .when(kind == "error", F.concat(F.lit("run failed:\nTraceback\n\n  at ["), number, F.lit("]\n"), "props"))
+        .otherwise(F.concat(F.lit("note "), number))
+    )
+    text = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(":"), kind, F.lit(".py#L"), number, F.lit(":"), F.when(kind == "error", F.lit("ERROR")).otherwise(F.lit("INFO")), F.lit("]: "), message)
+    path = scratch_path(spark, "log-files")
+    events.select("ts", "event_id", text.alias("text")).orderBy("ts", "event_id").select(F.explode(F.array_repeat("text", 2)).alias("value")).write.text(path)
+    return read_log(spark, path, pushdown=pushdown, partition_bytes=str(1 << 20))
+
+
+_SQL_LOG = """log AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+  CASE event_type WHEN 'view' THEN 'Running BenchBase with benchmark: b' || (event_id % 7)::VARCHAR WHEN 'purchase' THEN 'BenchBase tpcc throughput: ' || value::VARCHAR
+    WHEN 'error' THEN 'run failed:' || chr(10) || 'Traceback' || chr(10) || chr(10) || '  at [' || event_id::VARCHAR || ']' || chr(10) || props ELSE 'note ' || event_id::VARCHAR END AS message, value FROM events)"""
+
+
+@query("s14_log_records", f"WITH {_SQL_LOG} SELECT time, event_type || '.py' AS file, CAST(event_id AS INTEGER) AS line_no, level, message FROM log")
+def s14_log_records(spark, sf_dir):
+    """Records of one or several lines from byte ranges of log files, each counted once."""
+    return distinct_records(_log_files(spark, sf_dir)).select("time", "file", "line_no", "level", "message")
+
+
+@query("s14_log_errors", f"WITH {_SQL_LOG} SELECT time, message FROM log WHERE level = 'ERROR'")
+def s14_log_errors(spark, sf_dir):
+    """Errors only: the level is told before a record leaves the reader."""
+    return distinct_records(_log_files(spark, sf_dir, pushdown=True).filter("level = 'ERROR'")).select("time", "message")
+
+
+@query("s14_run_pairs", f"""WITH {_SQL_LOG},
+n AS (SELECT *, count(*) FILTER (WHERE event_type = 'view') OVER (ORDER BY ts, event_id) AS run FROM log WHERE event_type IN ('view', 'purchase')),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, event_type ORDER BY ts, event_id) AS nth FROM n WHERE run > 0)
+SELECT s.time AS started, 'b' || (s.event_id % 7)::VARCHAR AS benchmark, e.value AS throughput, e.time AS ended
+FROM r s LEFT JOIN r e ON e.run = s.run AND e.event_type = 'purchase' AND e.nth = 1 WHERE s.event_type = 'view'""")
+def s14_run_pairs(spark, sf_dir):
+    """Starts of runs with their first result, over all files of the log."""
+    return pair_runs(distinct_records(_log_files(spark, sf_dir))).select("started", "benchmark", "throughput", "ended")
+
+
+@query("s6_committed_samples", """
+SELECT l_returnflag AS workload, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY 1""")
+def s6_committed_samples(spark, sf_dir):
+    """Appends that are repeated, as after a lost answer, and one that breaks off; each row counts once."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("workload"), F.col("l_linenumber").cast("long").alias("number"), "l_linestatus")
+    path, schema = scratch_path(spark, "committed"), "workload string, number long"
+    for status in ("O", "F", "O"):
+        sinks.append_samples_once(items.filter(F.col("l_linestatus") == status).drop("l_linestatus"), path, f"status-{status}")
+    items.drop("l_linestatus").limit(10).write.json(f"{path}/data/broken-off")
+    back = sinks.committed_samples(spark, path, schema)
+    return back.groupBy("workload").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("total"))
+
+
 @query("s15_training_records", """
 SELECT CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 8))::BIGINT % 100 < 90 THEN 'train' ELSE 'test' END AS split, count(*) AS n_records,
   CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1""")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.constants import RECORD_COLUMNS
@@ -16,6 +18,43 @@ def write_samples(samples: DataFrame, path: str, append: bool = False) -> None:
     samples.write.mode("append" if append else "overwrite").json(path)
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the commits of a folder, in name order: those whose record was written to its end."""
+    try:
+        records = spark.read.schema("id string").json(f"{path}/commits", recursiveFileLookup=True)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r.id for r in records.distinct().collect())
+
+
+def append_samples_once(samples: DataFrame, path: str, commit_id: str) -> bool:
+    """Appends samples under an id of the caller (letters, digits, `-`, `_`, `.`); says whether they were new.
+
+    The rows go into a folder of their own, then one small record makes them count. Whatever
+    breaks off before that is overwritten by the next attempt; an id that counts is not
+    written again.
+    """
+    if not re.fullmatch(r"[\w.-]+", commit_id):
+        raise ValueError(f"not a commit id: {commit_id!r}")
+    spark = samples.sparkSession
+    if commit_id in committed(spark, path):
+        return False
+    samples.write.mode("overwrite").json(f"{path}/data/{commit_id}")
+    record = json.dumps({"id": commit_id, "columns": samples.columns})
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/commits/{commit_id}")
+    return True
+
+
+def committed_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The samples of all commits of a folder; rows of unfinished appends are not among them."""
+    ids = committed(spark, path)
+    if not ids:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json([f"{path}/data/{i}" for i in ids])
+
+
 def write_training_records(records: DataFrame, path: str) -> None:
     """Records as JSON lines in one folder per split, with a manifest of their columns.
 
