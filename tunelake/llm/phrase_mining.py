@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tunelake.llm.common import documents, slices_by_bytes, text_bytes
 from tunelake.operators.skew import salted_join
-from tunelake.session import written
+from tunelake.session import emptied, tracked, written
 
 LEAST, MOST_WORDS, SHARE, TOP = 10, 3, 50, 2000
 # Bytes of text in a block; a task fills several, of different languages, up to OPEN times as much.
@@ -45,7 +45,7 @@ LEAST, MOST_WORDS, SHARE, TOP = 10, 3, 50, 2000
 BLOCK, OPEN = 16 << 20, 2
 # A block number is the number of its partition and a count; the id of a phrase is the smallest
 # block that has it and its number there, so no two phrases of a length share one.
-BLOCKS_EACH, GROUPS_EACH = 1 << 15, 1 << 27
+BLOCKS_EACH, GROUP_BITS = 1 << 15, 27
 
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 # Lower case, ends of pieces as line feeds, tabs as spaces.
@@ -56,7 +56,7 @@ RELATION = "block long, lang string, places binary, groups binary, ids binary"
 def packed(values: np.ndarray) -> bytes:
     """An array by byte planes, compressed: the high bytes of small numbers cost nothing."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpacked(data: bytes, dtype: type) -> np.ndarray:
@@ -137,10 +137,10 @@ def frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
     The blocks of a group meet once, in the order of a shuffle that both the sum and the id use.
     """
     group = Window.partitionBy(*keys)
-    name = F.col("block") * GROUPS_EACH + F.col("number")
-    summed = counted.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min(name).over(group)).filter(F.col("f") >= least)
-    about = [c for c in summed.columns if c not in ("block", "number", "id", "n")]
-    return summed.select("block", "number", "id", *[F.when(F.col("id") == name, F.col(c)).alias(c) for c in about])
+    summed = counted.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("name").over(group)).filter(F.col("f") >= least)
+    block, number = F.shiftright("name", GROUP_BITS), F.col("name").bitwiseAND(F.lit((1 << GROUP_BITS) - 1))
+    about = [F.when(F.col("id") == F.col("name"), F.col(c)).alias(c) for c in (*keys, "f")]
+    return summed.select(block.alias("block"), number.cast("int").alias("number"), "id", *about)
 
 
 def groups_of(found: DataFrame) -> DataFrame:
@@ -186,8 +186,8 @@ def joined_places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def counted_pairs(relation: DataFrame) -> DataFrame:
-    """Group-count of each block: (block, number, left, right, n), left and right being ids."""
-    arrow = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+    """Group-count of each block: (name, left, right, n); the name holds the block and the number in it, left and right are ids."""
+    arrow = pa.schema([("name", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,12 +198,10 @@ def counted_pairs(relation: DataFrame) -> DataFrame:
                 left, right = np.divmod(pairs, max(len(ids), 1))
                 for start in range(0, len(pairs), 100_000):
                     cut = slice(start, start + 100_000)
-                    k = len(pairs[cut])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, row["block"])), pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(ids[left[cut]]), pa.array(ids[right[cut]]), pa.array(counts[cut])], schema=arrow
-                    )
+                    names = (row["block"] << GROUP_BITS) + np.arange(start, start + len(pairs[cut]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[left[cut]]), pa.array(ids[right[cut]]), pa.array(counts[cut])], schema=arrow)
 
-    return relation.select("block", "places", "groups", "ids").mapInArrow(run, "block long, number int, left long, right long, n long")
+    return relation.select("block", "places", "groups", "ids").mapInArrow(run, "name long, left long, right long, n long")
 
 
 def frequent_pairs(blocks: pa.Table, found: pa.Table) -> pa.Table:
@@ -261,28 +259,38 @@ def not_inside(phrases: DataFrame, longer: DataFrame, share: int) -> DataFrame:
 
 
 def phrase_collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, share: int = SHARE, top: int = TOP, block: int = BLOCK) -> DataFrame:
-    """The best phrases of 2 to `most_words` words of each language: lang, rank, phrase, a, l, r, n, score."""
-    blocks = written(word_blocks(docs, block), "phrase-words")
-    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("block", "lang", "number", "w.words", F.col("w.counts").alias("n"))
-    found = written(frequent(each, ["lang", "words"], least), "phrase-groups")
+    """The best phrases of 2 to `most_words` words of each language: lang, rank, phrase, a, l, r, n, score.
+
+    Tables that the next length does not need are emptied as soon as what follows is written.
+    """
+    spark = docs.sparkSession
+    no_counts = F.array().cast("array<long>")
+    with tracked() as used:
+        blocks = written(word_blocks(docs, block), "phrase-words")
+        name = F.shiftleft("block", GROUP_BITS) + F.col("number")
+        each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select(name.alias("name"), "lang", "w.words", F.col("w.counts").alias("n"))
+        found = written(frequent(each, ["lang", "words"], least), "phrase-groups")
     word = F.decode("words", "UTF-8")
-    parts = groups_of(found).select(
-        "id", "lang", word.alias("phrase"), word.alias("last"), F.col("f").alias("a"), F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")
-    )
-    relation = semi_joined(blocks.select("block", "lang", "places"), found, frequent_words, "phrase-relation")
+    parts = written(groups_of(found).select("id", "lang", word.alias("phrase"), word.alias("last"), F.col("f").alias("a"), no_counts.alias("heads"), no_counts.alias("tails")), "phrases")
+    sizes = written(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
+    with tracked() as relations:
+        relation = semi_joined(blocks.select("block", "lang", "places"), found, frequent_words, "phrase-relation")
+    emptied(spark, used)
     candidates = None
     for words in range(2, most_words + 1):
-        found = written(frequent(counted_pairs(relation), ["left", "right"], least), "phrase-groups")
+        with tracked() as used:
+            found = written(frequent(counted_pairs(relation), ["left", "right"], least), "phrase-groups")
         longer = written(longer_phrases(groups_of(found), parts), "phrases")
         if words > 2:
             candidates = with_more(candidates, not_inside(scored(parts, words - 1), longer, share))
-        parts = longer
+        parts, used = longer, used + relations
         if words < most_words:
-            relation = semi_joined(relation, found, frequent_pairs, "phrase-relation")
+            with tracked() as relations:
+                relation = semi_joined(relation, found, frequent_pairs, "phrase-relation")
+        emptied(spark, used)
     kept = with_more(candidates, scored(parts, most_words))
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
-    sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
