@@ -189,3 +189,25 @@ def test_value_rank_equals_row_number(spark):
 
 def test_value_rank_of_no_rows(spark):
     assert skew.value_rank(spark.range(0), [F.col("id")]).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_interval_join_equals_brute_force(spark, kind):
+    rng = random.Random(5)
+    one = (lambda x: float(x)) if kind == "double" else int
+    points = [(i, one(rng.choice([rng.uniform(-100, 100), rng.gauss(0, 1e6), 2.0**40, 0, 5]))) for i in range(400)] + [(400, None)]
+    bands = []
+    for i in range(300):
+        low = rng.uniform(-100, 100) if i % 3 else rng.gauss(0, 1e6)
+        bands.append((i, one(low), one(low + rng.choice([0, 0, 1e-9, 0.5, 1, 2, 3, 64, 1000, 2**20 + 1, 1e12, -1]))))
+    bands += [(300, None, one(1)), (301, one(5), one(5)), (302, one(0), one(2**60))]
+    if kind == "double":
+        bands += [(303, float("-inf"), 3.0), (304, 4.0, float("inf")), (305, float("nan"), 1.0), (306, 0.0, float("nan")), (307, 2.0**40, 2.0**40 * (1 + 2**-52))]
+        points += [(401, float("nan")), (402, float("inf")), (403, 1e300), (404, -1e300)]
+    want = {(p, b) for p, x in points for b, lo, hi in bands if None not in (x, lo, hi) and x == x and lo == lo and hi == hi and lo <= x <= hi}
+    left = spark.createDataFrame(points, f"p int, x {kind}").repartition(4)
+    right = spark.createDataFrame(bands, f"b int, lo {kind}, hi {kind}")
+    for rows_per_salt in (10**6, 20):
+        got = [tuple(r) for r in skew.interval_join(left, right, "x", "lo", "hi", ["p"], rows_per_salt).select("p", "b").collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert skew.interval_join(left, right.limit(0), "x", "lo", "hi", ["p"]).collect() == []

@@ -220,3 +220,48 @@ def band_join(
     right = bands.withColumn("_cell", F.explode(cells))
     joined = salted_join(left, right, ["_cell"], spread_by, rows_per_salt=rows_per_salt)
     return joined.filter(F.col(point).between(F.col(lower), F.col(upper))).drop("_cell")
+
+
+# The level of bands without an end, which is one cell.
+ENDLESS = 2000
+
+
+def interval_join(
+    points: DataFrame,
+    bands: DataFrame,
+    point: str,
+    lower: str,
+    upper: str,
+    spread_by: Sequence[str],
+    rows_per_salt: int = ROWS_PER_SALT,
+) -> DataFrame:
+    """Points with every band that holds them (`lower <= point <= upper`), for numeric bands of any widths.
+
+    A band lives on the level of the power of two next above its width, where it touches two
+    cells or a third by rounding; so no band makes many rows, however wide, and a cell holds no
+    band that is much narrower than it. A point looks into one cell of each level that bands
+    are on, of which there are as many as the widths have binary orders, whatever their number.
+    Cells come from a function that never falls, so they lose no match to rounding. Hot cells are
+    salted like any other key. Bands without a width are on the level of the narrowest of the
+    others; null, not-a-number and reversed bands hold nothing.
+    """
+    ends = bands.withColumn("_low", F.col(lower).cast("double")).withColumn("_high", F.col(upper).cast("double"))
+    known = ends.filter((F.col(lower) <= F.col(upper)) & ~F.isnan("_high"))
+    width = F.col("_high") - F.col("_low")
+    order = F.when(width == float("inf"), ENDLESS).when(width > 0, F.ceil(F.log2(width)).cast("int"))
+    finest = known.agg(F.min(order)).first()[0]
+    placed = known.withColumn("_level", F.coalesce(order, F.lit(finest or 0)))
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())  # one for each binary order at most
+
+    def cell(value: Column, level: int | Column) -> Column:
+        return F.floor(value / F.pow(F.lit(2.0), F.lit(level).cast("double")))
+
+    spanned = F.when(F.col("_level") == ENDLESS, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(cell(F.col("_low"), F.col("_level")), cell(F.col("_high"), F.col("_level"))))
+    right = placed.withColumn("_cell", F.explode(spanned)).drop("_low", "_high")
+    place = F.col(point).cast("double")
+    looks = [F.struct(F.lit(i).alias("_level"), (F.lit(0).cast("long") if i == ENDLESS else cell(place, i)).alias("_cell")) for i in levels]
+    if not looks:
+        return points.join(bands, F.lit(False))
+    left = points.filter(F.col(point).isNotNull() & ~F.isnan(place)).withColumn("_at", F.explode(F.array(*looks))).select("*", "_at.*").drop("_at")
+    joined = salted_join(left, right, ["_level", "_cell"], spread_by, rows_per_salt=rows_per_salt)
+    return joined.filter(F.col(point).between(F.col(lower), F.col(upper))).drop("_level", "_cell")

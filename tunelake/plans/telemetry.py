@@ -30,6 +30,7 @@ from tunelake.operators import history as hi
 from tunelake.operators import plan_trees as pt
 from tunelake.operators import records as rc
 from tunelake.operators import splits as sp
+from tunelake.operators.node_trees import subtree_costs
 from tunelake.operators.skew import checked_broadcast, with_group_stats
 from tunelake.plans import standins as st
 from tunelake.plans.tables import table
@@ -893,6 +894,28 @@ def v1_plan_nodes(spark, sf_dir):
     return pt.plan_nodes(st.plans(spark, sf_dir))
 
 
+@query("v1_subtree_costs", st.with_views(["nodes"], """,
+alone AS (SELECT n.plan_id, n.node_path, n.parent_path, n.total_cost::DECIMAL(18, 6) - coalesce(c.total, 0) AS own, c.total IS NULL AS leaf
+  FROM nodes n LEFT JOIN (SELECT plan_id, parent_path, sum(total_cost::DECIMAL(18, 6)) AS total FROM nodes GROUP BY ALL) c ON c.plan_id = n.plan_id AND c.parent_path = n.node_path),
+ways AS (
+  SELECT plan_id, node_path, node_path AS above, parent_path AS next FROM alone
+  UNION ALL
+  SELECT w.plan_id, w.node_path, a.node_path, a.parent_path FROM ways w JOIN alone a ON a.plan_id = w.plan_id AND a.node_path = w.next),
+up AS (SELECT w.plan_id, w.node_path, count(*) - 1 AS depth, sum(a.own) AS path_cost FROM ways w JOIN alone a ON a.plan_id = w.plan_id AND a.node_path = w.above GROUP BY ALL),
+below AS (SELECT w.plan_id, w.above AS node_path, count(*) AS n_below, sum(a.own) AS cost_below FROM ways w JOIN alone a ON a.plan_id = w.plan_id AND a.node_path = w.node_path GROUP BY ALL),
+ends AS (SELECT plan_id, node_path FROM up JOIN alone USING (plan_id, node_path) WHERE leaf
+  QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY path_cost DESC, node_path) = 1),
+way AS (SELECT w.plan_id, w.above AS node_path FROM ways w JOIN ends USING (plan_id, node_path))
+SELECT plan_id, node_path, depth, own::DOUBLE AS own_cost, n_below, cost_below::DOUBLE AS cost_below, path_cost::DOUBLE AS path_cost, way.node_path IS NOT NULL AS critical
+FROM alone JOIN up USING (plan_id, node_path) JOIN below USING (plan_id, node_path) LEFT JOIN way USING (plan_id, node_path)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def v1_subtree_costs(spark, sf_dir):
+    """Nodes of all plans as one table: costs alone, below and on the way, and the critical path of each plan."""
+    nodes = pt.plan_nodes(st.plans(spark, sf_dir)).select(F.col("plan_id").alias("tree"), F.col("node_path").alias("node"), F.col("parent_path").alias("parent"), F.round("total_cost", 6).alias("total_cost"))
+    costs = subtree_costs(nodes)
+    own, below, way = (F.col(c).cast("double").alias(c) for c in ("own_cost", "cost_below", "path_cost"))
+    return costs.select(F.col("tree").alias("plan_id"), F.col("node").alias("node_path"), "depth", own, "n_below", below, way, "critical")
+
+
 @query("v2_plan_self_cost", st.with_views(["nodes"], "SELECT plan_id, round(sum(total_cost - startup_cost), 5) AS self_cost, CAST(max(depth) AS INTEGER) AS depth, count(*) AS n_nodes FROM nodes GROUP BY plan_id"))
 def v2_plan_self_cost(spark, sf_dir):
     nodes = pt.plan_nodes(st.plans(spark, sf_dir))

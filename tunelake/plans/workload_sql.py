@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.operators.distinct import bitmap_counts, distinct_bitmaps, distinct_counts, merge_bitmaps, value_dictionary
-from tunelake.operators.skew import band_join, with_group_stats
+from tunelake.operators.skew import band_join, interval_join, with_group_stats
 from tunelake.plans.tables import TABLES, table
 from tunelake.session import written
 
@@ -195,6 +195,10 @@ CHECK: dict[str, str] = {
           floor(o_totalprice / 25000) * 25000 + 24999.995 AS upper FROM orders)
         SELECT band, lower, upper, COUNT(l_orderkey) AS n_items, ROUND(SUM(l_quantity), 2) AS qty
         FROM lineitem JOIN bands ON l_extendedprice BETWEEN lower AND upper GROUP BY band, lower, upper""",
+    "q05_interval_join": """
+        SELECT s_suppkey, COUNT(l_orderkey) AS n_items, ROUND(COALESCE(SUM(l_quantity), 0), 2) AS qty
+        FROM supplier LEFT JOIN lineitem ON l_extendedprice BETWEEN s_acctbal * 10 AND s_acctbal * 10 + (s_suppkey % 14) * (s_suppkey % 14) * (s_suppkey % 14)
+        GROUP BY s_suppkey""",
     "q36_window_average": """
         SELECT o_orderkey, o_totalprice, CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) OVER w AS DOUBLE) / COUNT(*) OVER w AS avg_price
         FROM orders WHERE o_orderdate >= DATE '1996-01-01' WINDOW w AS (PARTITION BY o_custkey)""",
@@ -229,6 +233,16 @@ def q05_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in price bands of the suppliers, from single prices to bands of 2,197."""
+    third = F.col("s_suppkey") % 14
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") * 10).alias("lower"), (F.col("s_acctbal") * 10 + third * third * third).alias("upper"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    joined = interval_join(items, bands, "l_extendedprice", "lower", "upper", ["l_orderkey", "l_linenumber"])
+    found = joined.groupBy("s_suppkey").agg(F.count("l_orderkey").alias("n_items"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return bands.select("s_suppkey").join(found, "s_suppkey", "left").na.fill(0)
+
+
 def q19_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three distinct counts without a copy of the rows for each."""
     parts = table(spark, sf_dir, "part").filter(F.col("p_retailprice").between(950, 1700)).select("p_type", "p_brand", "p_size", "p_name")
@@ -279,6 +293,7 @@ def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _statement(sql) for name, sql in STATEMENTS.items()}
     out["q05_band_join"] = q05_band_join
+    out["q05_interval_join"] = q05_interval_join
     out["q19_count_distinct"] = q19_count_distinct
     out["q19_merged_distinct"] = q19_merged_distinct
     out["q36_window_average"] = q36_window_average
