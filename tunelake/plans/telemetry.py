@@ -30,10 +30,12 @@ from tunelake.operators import history as hi
 from tunelake.operators import plan_trees as pt
 from tunelake.operators import records as rc
 from tunelake.operators import splits as sp
+from tunelake.operators.increments import SampleStore
 from tunelake.operators.node_trees import subtree_costs
 from tunelake.operators.skew import checked_broadcast, with_group_stats
 from tunelake.plans import standins as st
 from tunelake.plans.tables import table
+from tunelake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -798,6 +800,36 @@ def t3_sample_records(spark, sf_dir):
     return _flat_meta(rc.build_sample_records(samples(spark, sf_dir), knob_records()))
 
 
+def _three_increments(spark, sf_dir):
+    """The runs in three increments of histories, the second one added twice."""
+    store = SampleStore(spark, scratch_path(spark, "increments"), knob_records())
+    runs, configs, counters = st.runs(spark, sf_dir), st.configs(spark, sf_dir), st.metrics(spark, sf_dir)
+    for nth in (0, 1, 1, 2):
+        part = F.floor(F.pmod(F.col("config_id").cast("long"), F.lit(9)) / 3) == nth
+        store.add(f"increment-{nth}", runs.filter(part), configs.filter(part), counters)
+    return store, counters
+
+
+@query("t1_incremental_samples", CHECKS["t1_build_samples"])
+def t1_incremental_samples(spark, sf_dir):
+    store, counters = _three_increments(spark, sf_dir)
+    return store.samples(counters).select(
+        "workload", "config_id", F.col("y")[0].alias("throughput"), F.col("y")[1].alias("inverse"),
+        "work_mem", "shared_buffers", F.size("inner_metrics").alias("n_metrics"),
+    )
+
+
+@query("t2_incremental_records", CHECKS["t2_best_records"])
+def t2_incremental_records(spark, sf_dir):
+    return _flat_meta(_three_increments(spark, sf_dir)[0].best_records())
+
+
+@query("t3_incremental_records", CHECKS["t3_sample_records"])
+def t3_incremental_records(spark, sf_dir):
+    store, counters = _three_increments(spark, sf_dir)
+    return _flat_meta(rc.build_sample_records(store.samples(counters).drop("run_ord"), knob_records()))
+
+
 @query("u2_merge_records", st.with_views(["runs", "configs", "metrics"], f""", {_SQL_BEST}
 SELECT {_quoted(SYSTEM_TEXT)} AS system, {_quoted(INSTRUCTION_TEXT)} AS instruction, older, count(*) AS n_records FROM (
   SELECT true AS older FROM best JOIN configs USING (config_id) JOIN metrics USING (workload)

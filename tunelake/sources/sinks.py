@@ -29,6 +29,18 @@ def committed(spark: SparkSession, path: str) -> list[str]:
     return sorted(r.id for r in records.distinct().collect())
 
 
+def checked_id(commit_id: str) -> str:
+    if not re.fullmatch(r"[\w.-]+", commit_id):
+        raise ValueError(f"not a commit id: {commit_id!r}")
+    return commit_id
+
+
+def commit(spark: SparkSession, path: str, commit_id: str) -> None:
+    """Writes the record that makes an id count, one row in one file, which appears as a whole."""
+    record = json.dumps({"id": checked_id(commit_id)})
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/commits/{commit_id}")
+
+
 def append_samples_once(samples: DataFrame, path: str, commit_id: str) -> bool:
     """Appends samples under an id of the caller (letters, digits, `-`, `_`, `.`); says whether they were new.
 
@@ -36,14 +48,12 @@ def append_samples_once(samples: DataFrame, path: str, commit_id: str) -> bool:
     breaks off before that is overwritten by the next attempt; an id that counts is not
     written again.
     """
-    if not re.fullmatch(r"[\w.-]+", commit_id):
-        raise ValueError(f"not a commit id: {commit_id!r}")
     spark = samples.sparkSession
+    checked_id(commit_id)
     if commit_id in committed(spark, path):
         return False
     samples.write.mode("overwrite").json(f"{path}/data/{commit_id}")
-    record = json.dumps({"id": commit_id, "columns": samples.columns})
-    spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/commits/{commit_id}")
+    commit(spark, path, commit_id)
     return True
 
 
