@@ -22,6 +22,8 @@ from tunelake.session import scratch_path, written
 from tunelake.sources import files as src
 from tunelake.sources import sinks
 from tunelake.sources.documents import append_documents, read_documents, read_log
+from tunelake.streaming.keyed_best import RUN_SCHEMA as KEYED_SCHEMA
+from tunelake.streaming.keyed_best import current_best, keep_best_by_key
 from tunelake.streaming.samples import keep_best, latest_best, run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,6 +439,21 @@ def st1_best_stream(spark, sf_dir):
     return latest_best(spark, target)
 
 
+@query("st1_keyed_best", st.with_views(["runs"], """,
+t AS (SELECT r.*, ts FROM runs r JOIN events ON event_id = run_ord),
+b AS (SELECT workload, count(*) AS n_runs, min(cost) AS cost FROM t GROUP BY workload)
+SELECT b.workload, r.config_id, b.cost, r.run_ord, b.n_runs FROM b JOIN t r ON r.workload = b.workload AND r.cost = b.cost
+QUALIFY row_number() OVER (PARTITION BY b.workload ORDER BY r.run_ord) = 1"""))
+def st1_keyed_best(spark, sf_dir):
+    """Runs that arrive in three batches, the latest first and with a restart between them, kept in keyed state."""
+    source, target, state = (scratch_path(spark, n) for n in ("keyed-in", "keyed-out", "keyed-state"))
+    runs = st.runs(spark, sf_dir, F.col("ts").cast("timestamp").alias("ended"))
+    for third in (2, 0, 1):
+        runs.filter(F.col("run_ord") % 3 == third).write.mode("append").json(source)
+        keep_best_by_key(run_stream(spark, source, KEYED_SCHEMA), target, state).awaitTermination()
+    return current_best(spark, target).select("workload", "config_id", "cost", "run_ord", "n_runs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
