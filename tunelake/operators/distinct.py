@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunelake.operators.skew import BROADCAST_ROWS, matched, salted_join, value_rank
 
@@ -84,9 +85,10 @@ def distinct_counts(rows: DataFrame, keys: Sequence[str], counts: Mapping[str, s
     coded_rows, small = rows, []
     for name, column in counts.items():
         if bitmaps_pay and sizes[name] <= BITS // 2:
-            dictionary = value_dictionary(rows, column)
-            if dictionary.count() <= BITS:  # the bound of the broadcast
-                code = dictionary.select(F.col("value").alias(f"_value_{name}"), F.col("code").alias(f"_code_{name}"))
+            values = rows.select(F.col(column).alias(f"_value_{name}")).distinct().filter(f"_value_{name} IS NOT NULL")
+            found = values.limit(BITS + 1).collect()  # never more than one bitmap's values
+            if len(found) <= BITS:
+                code = rows.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(found)], T.StructType([*values.schema.fields, T.StructField(f"_code_{name}", T.LongType())]))
                 coded_rows = coded_rows.join(F.broadcast(code), F.col(column) == F.col(f"_value_{name}"), "left")
                 small.append(name)
     bits = [F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(f"_code_{n}") + 1))).alias(n) for n in small]

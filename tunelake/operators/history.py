@@ -47,24 +47,27 @@ def run_order() -> Column:
     return F.struct("cost", "run_ord")
 
 
-def best_of(rows: DataFrame, keys: list[str], measure: str, order: str, largest: bool = False) -> DataFrame:
+def best_of(
+    rows: DataFrame, keys: list[str], measure: str, order: str, largest: bool = False, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """The row of each key with the smallest (or largest) measure, of equal ones that first in `order`.
 
-    Two aggregates of fixed width run as hash aggregates; an aggregate of whole structs would
-    sort all rows first. What they leave to join is one row per key, and `order` is unique
-    within a key and measure.
+    A hash aggregate of fixed width finds the best measure; an aggregate of whole structs
+    would sort all rows first. The rows meet it once, hot keys salted, and only those that
+    share the best measure of their key are aggregated as structs. `order` is unique within a
+    key and measure.
     """
     best = F.max(measure) if largest else F.min(measure)
-    ties = matched(rows, rows.groupBy(*keys).agg(best.alias("_best")), keys, "inner").filter(
-        F.col(measure).eqNullSafe(F.col("_best"))
-    )
-    first = ties.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return matched(ties, first, keys, "inner").filter(F.col(order).eqNullSafe(F.col("_first"))).drop("_best", "_first")
+    found = rows.groupBy(*keys).agg(best.alias("_best"), F.count(F.lit(1)).alias("_n"))
+    ties = salted_join(rows, found.drop("_n"), keys, [order], "inner", found.drop("_best"), rows_per_salt, null_safe=True)
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), order).alias("_row")
+    return ties.filter(F.col(measure).eqNullSafe(F.col("_best"))).groupBy(*keys).agg(first).select(*keys, "_row.*").select(*rows.columns)
 
 
 def best_runs(runs: DataFrame) -> DataFrame:
     """One row per workload: its best run."""
-    return best_of(runs, ["workload"], "cost", "run_ord").select("workload", "config_id", "cost", "run_ord")
+    return best_of(runs.select("workload", "config_id", "cost", "run_ord"), ["workload"], "cost", "run_ord")
 
 
 def crash_cap(

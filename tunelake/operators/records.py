@@ -43,14 +43,14 @@ from tunelake.operators.splits import exact_split, hash_split
 
 def best_label_json(knobs: Sequence[str], catalog: dict[str, Knob]) -> Column:
     """JSON object of bucket labels by percent; knobs without limits keep their number."""
-    lines = []
+    lines, labels = [], ", ".join(f"'{label}'" for label in labels_of(RANGE))
     for name in knobs:
         knob = catalog.get(name)
         if knob is None or knob.min is None or knob.max is None:
             lines.append(json_line(name, float_text(F.col(name).cast("double"))))
         else:
-            position = clip_text(f"`{name}`", knob.min, knob.max)
-            lines.append(json_line(name, json_string(bucket_label(bucket(F.expr(position))))))
+            decile = f"cast(least(floor(({clip_text(f'`{name}`', knob.min, knob.max)}) * 100 / 10), 9) AS int)"
+            lines.append(F.expr(f"""concat('"{name}": "', element_at(array({labels}), {decile} + 1), '"')"""))
     return json_object_text(*lines)
 
 

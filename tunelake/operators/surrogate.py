@@ -220,7 +220,8 @@ def score_candidates(
 
 def best_candidates(scored: DataFrame) -> DataFrame:
     """Best predicted candidate of every workload."""
-    return best_of(scored, ["workload"], "cost", "run_ord").select("workload", "config_id", "cost")
+    narrow = scored.select("workload", "config_id", "cost", "run_ord")
+    return best_of(narrow, ["workload"], "cost", "run_ord").select("workload", "config_id", "cost")
 
 
 def group_mean_folds(rows: DataFrame, folds: DataFrame, group: str, y: str, spread_by: list[str]) -> DataFrame:
@@ -235,12 +236,13 @@ def group_mean_folds(rows: DataFrame, folds: DataFrame, group: str, y: str, spre
     cells = folded.groupBy("fold", group).agg(
         F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")
     ).filter("n > 0")
+    cells = written(cells, "cells")  # a row per fold and group, which all that follows reads
     total = F.sum(F.col("n") * F.col("m"))
     groups = cells.groupBy(group).agg(F.sum("n").alias("n_group"), total.alias("s_group"))
     own = cells.groupBy("fold").agg(F.sum("n").alias("n_fold"), total.alias("s_fold"))
-    everything = own.agg(F.sum("n_fold").alias("n"), F.sum("s_fold").alias("s"))
-    n_all, s_all = everything.select("n").scalar(), everything.select("s").scalar()
-    rest = ratio(s_all - F.col("s_fold"), n_all - F.col("n_fold"))
+    everything = cells.agg(F.sum("n").alias("n_all"), total.alias("s_all"))
+    own = own.join(F.broadcast(everything))  # one row
+    rest = ratio(F.col("s_all") - F.col("s_fold"), F.col("n_all") - F.col("n_fold"))
     known = ratio(F.col("s_group") - F.col("n") * F.col("m"), F.col("n_group") - F.col("n"))
     scored = matched(cells, groups, [group], "inner").join(own, "fold").withColumn("p", F.coalesce(known, rest))
     centre = F.col("s_fold") / F.col("n_fold")

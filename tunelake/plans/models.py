@@ -207,7 +207,7 @@ scored AS (SELECT workload, run_ord, config_id, -(""" + " + ".join(
 SELECT workload, config_id, round(cost, 9) AS cost FROM scored QUALIFY row_number() OVER (PARTITION BY workload ORDER BY cost, run_ord) = 1"""))
 def m9_best_candidates(spark, sf_dir):
     knobs = knob_records()
-    drawn = su.candidates(st.metrics(spark, sf_dir, every=True), knobs)
+    drawn = su.candidates(st.dealt(st.metrics(spark, sf_dir, every=True), "workload"), knobs)
     by_name = {k.knob: k for k in knobs}
     total = None
     for name in sorted(_cost_terms(), key=lambda n: [k.knob for k in knobs].index(n)):

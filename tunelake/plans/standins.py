@@ -20,6 +20,11 @@ from tunelake.plans.tables import table
 FAMILIES = ["ycsb", "tpcc", "smallbank", "twitter", "wikipedia"]
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows by the key that later joins and groups use, before wide texts and values are made of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def prop_k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("long")
 
@@ -49,14 +54,16 @@ def runs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     )
 
 
-def configs(spark: SparkSession, sf_dir: str, catalog: list[Knob] | None = None) -> DataFrame:
-    """One configuration per event, drawn from its id; events with k = 0 have none."""
+def configs(spark: SparkSession, sf_dir: str, catalog: list[Knob] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """One configuration per event, drawn from its id; events with k = 0 have none. With `only`, those of its (workload, config_id)."""
     keyed = (
         table(spark, sf_dir, "events")
         .filter(prop_k(F.col("props")) != 0)
         .select(workload_of(F.col("user_id")).alias("workload"), F.col("event_id").cast("string").alias("config_id"))
     )
-    return keyed.select("workload", "config_id", *drawn_knobs("config_id", catalog or knob_records()))
+    if only is not None:
+        keyed = keyed.join(only, ["workload", "config_id"], "left_semi")
+    return dealt(keyed, "workload", "config_id").select("workload", "config_id", *drawn_knobs("config_id", catalog or knob_records()))
 
 
 def metrics(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
@@ -136,15 +143,13 @@ def plan_text(p: Column, priority: Column) -> Column:
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One plan per order."""
     text = plan_text(F.col("o_totalprice"), F.col("o_orderpriority"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    return orders.select(
-        F.col("o_orderkey").alias("plan_id"), "o_orderstatus", text.alias("text")
-    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return dealt(orders, "plan_id").select("plan_id", "o_orderstatus", text.alias("text"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model answer per event, with noise, gaps and unreadable texts by event type."""
-    k, event, kind = prop_k(F.col("props")).cast("double"), F.col("event_id"), F.col("event_type")
+    k, event, kind = F.col("k").cast("double"), F.col("sample"), F.col("event_type")
 
     def label(position):
         return bucket_label(bucket(position))
@@ -164,9 +169,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", both(F.lit("middle"), pred_buf))
         .otherwise(F.concat(F.lit("Here it is:\n"), both(pred_mem, pred_buf), F.lit("\nGood luck")))
     )
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
-    return events.select(
-        event.alias("sample"), both(true_mem, true_buf).alias("truth_text"), text.alias("answer_text")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("sample"), "event_type", "value", prop_k(F.col("props")).alias("k"))
+    return dealt(events, "sample").select(
+        "sample", both(true_mem, true_buf).alias("truth_text"), text.alias("answer_text")
     )
 
 

@@ -35,7 +35,7 @@ from tunelake.operators.node_trees import subtree_costs
 from tunelake.operators.skew import checked_broadcast, with_group_stats
 from tunelake.plans import standins as st
 from tunelake.plans.tables import table
-from tunelake.session import scratch_path
+from tunelake.session import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -776,10 +776,10 @@ def t1_build_samples(spark, sf_dir):
 
 
 def best_records(spark, sf_dir):
-    knobs = knob_records()
-    return rc.build_best_records(
-        st.runs(spark, sf_dir), st.configs(spark, sf_dir), st.metrics(spark, sf_dir), [k.knob for k in knobs], knobs
-    )
+    """The best runs are found first and written, a row per workload; only their configurations are drawn."""
+    knobs, best = knob_records(), written(hi.best_runs(st.runs(spark, sf_dir)), "best-runs")
+    configs = st.configs(spark, sf_dir, only=best)
+    return rc.build_best_records(best, configs, st.metrics(spark, sf_dir), [k.knob for k in knobs], knobs)
 
 
 @query("t2_best_records", st.with_views(["runs", "configs", "metrics"], f""", {_SQL_BEST}

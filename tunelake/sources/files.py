@@ -283,8 +283,10 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     def part(i: int) -> Column:
         return F.regexp_extract("line", LOG_LINE, i)
 
+    # A line and its parts tell each other, so lines are compared whole and split only once each.
+    once = lines.select("line").filter(F.startswith("line", F.lit("["))).distinct()
     return (
-        lines.filter(F.col("line").rlike(LOG_LINE))
+        once.filter(F.col("line").rlike(LOG_LINE))
         .select(
             part(1).alias("time"),
             part(2).alias("file"),
@@ -292,7 +294,6 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
             part(4).alias("level"),
             part(5).alias("message"),
         )
-        .distinct()
         .withColumn("throughput", F.regexp_extract("message", LOG_THROUGHPUT, 1).try_cast("double"))
     )
 
