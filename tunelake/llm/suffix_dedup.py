@@ -31,18 +31,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import documents, mixed, shuffle_partitions, slices_by_bytes, text_bytes
+from tunelake.llm.common import documents, mixed, shuffle_partitions, slices_by_bytes, text_bytes, trimmed
 from tunelake.llm.sketch import count_names
-from tunelake.session import written
+from tunelake.session import emptied, tracked, written
 
 LENGTH = 200
 WINDOW = 64
 GRAM = 16
 CORE = LENGTH - WINDOW + 1
-BLOCK = 2 << 20  # places that one block of arrays covers
+BLOCK = 1 << 20  # places that one block of arrays covers
 
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
@@ -153,8 +154,8 @@ def dealt_out(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, F.when(F.col("settled"), F.xxhash64("text", "first")).otherwise(F.col("bucket")))
 
 
-def initial_runs(docs: DataFrame) -> DataFrame:
-    """The runs whose anchor's bucket may have another member."""
+def initial_runs(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The runs whose anchor's bucket may have another member, and the counts they read."""
 
     def names_of(batches):
         for batch in slices_by_bytes(batches, BLOCK):
@@ -178,7 +179,7 @@ def initial_runs(docs: DataFrame) -> DataFrame:
                 shift = block.offset[piece] - block.start[piece]
                 yield combined(bucket, whole, names[block.text[piece]], first + shift, last + shift)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(trimmed(run), ROWS), counts
 
 
 def refined(rows: DataFrame, partitions: int) -> DataFrame:
@@ -228,11 +229,11 @@ def refined(rows: DataFrame, partitions: int) -> DataFrame:
             yield out(True, *(start[1][c] for c in ("text", "first", "last")))
 
     dealt = dealt_out(rows, partitions).sortWithinPartitions("bucket", "name")
-    return dealt.mapInArrow(run, "open boolean, text long, first int, last int")
+    return dealt.mapInArrow(trimmed(run), "open boolean, text long, first int, last int")
 
 
-def single_suffixes(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """The suffixes of open runs, each named by its whole string."""
+def single_suffixes(docs: DataFrame, opened: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The suffixes of open runs, each named by its whole string, and the choice that they read."""
 
     def names_of(batches):
         for batch in batches:
@@ -256,15 +257,25 @@ def single_suffixes(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 own = place + np.repeat(shift, size)
                 yield combined(mixed(block.names(place, place + LENGTH)), np.zeros(len(place), dtype=np.uint64), np.repeat(text, size), own, own)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(trimmed(run), ROWS), chosen
 
 
 def repeated_suffixes(docs: DataFrame) -> DataFrame:
-    """(text, first, last): places of named texts whose suffixes are repeated, each once."""
+    """(text, first, last): places of named texts whose suffixes are repeated, each once.
+
+    They are written; the tables and counts that led to them are freed.
+    """
     partitions = shuffle_partitions(docs)
-    runs = written(refined(initial_runs(docs), partitions), "runs")
-    singles = refined(single_suffixes(docs, runs.filter("open")), partitions)
-    return runs.union(singles).filter("NOT open").drop("open").distinct()
+    with tracked() as used:
+        initial, counts = initial_runs(docs)
+        runs = written(refined(initial, partitions), "runs")
+    counts.destroy()
+    single, chosen = single_suffixes(docs, runs.filter("open"))
+    found = runs.union(refined(single, partitions)).filter("NOT open").drop("open").distinct()
+    places = written(found, "places")
+    chosen.destroy()
+    emptied(docs.sparkSession, used)
+    return places
 
 
 def without_repeats(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int, int]:
@@ -320,15 +331,15 @@ def touched_texts(docs: DataFrame, places: DataFrame, keep_text: bool) -> tuple[
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["text", "n_removed", "n_spans", "kept"])
 
-    rows = places.withColumn("bytes", F.lit(None).cast("binary")).union(docs.mapInArrow(send, "text long, first int, last int, bytes binary"))
+    rows = places.withColumn("bytes", F.lit(None).cast("binary")).union(docs.mapInArrow(trimmed(send), "text long, first int, last int, bytes binary"))
     dealt = rows.repartition(shuffle_partitions(docs), "text").sortWithinPartitions("text", F.col("first").asc_nulls_last())
-    return maybe, dealt.mapInArrow(cut, "text long, n_removed long, n_spans long, kept binary")
+    return maybe, dealt.mapInArrow(trimmed(cut), "text long, n_removed long, n_spans long, kept binary")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = written(repeated_suffixes(rows.select("text")), "places")
+    places = repeated_suffixes(rows.select("text"))
     _, texts = touched_texts(rows.select("text"), places, keep_text=False)
 
     def name(batches):
@@ -341,7 +352,7 @@ def removal_report(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "text", "whole"],
             )
 
-    named = rows.mapInArrow(name, "doc_id long, n_bytes long, text long, whole string")
+    named = rows.mapInArrow(trimmed(name), "doc_id long, n_bytes long, text long, whole string")
     return named.join(texts, "text", "left").select(
         "doc_id",
         "n_bytes",
@@ -358,7 +369,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     """
     plain = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     rows = docs.toDF(*plain)
-    places = written(repeated_suffixes(rows.select("text")), "places")
+    places = repeated_suffixes(rows.select("text"))
     maybe, texts = touched_texts(rows.select("text"), places, keep_text=True)
 
     def name(batches):
@@ -367,7 +378,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names.view(np.int64)), pa.array(maybe(names))], [*plain, "_name", "_maybe"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _name long, _maybe boolean"
-    named = rows.mapInArrow(name, schema)
+    named = rows.mapInArrow(trimmed(name), schema)
     left = named.filter("_maybe").join(texts.select(F.col("text").alias("_name"), F.col("kept").cast("string").alias("_kept")), "_name", "left")
     reduced = left.withColumn("text", F.coalesce("_kept", "text")).filter("_kept IS NULL OR _kept <> ''")
     if "n_chars" in docs.columns:
