@@ -1,14 +1,13 @@
 """From raw documents to packed sequences: the stages of the corpus pipeline.
 
 All stages but the last take and return the columns of `documents`, in any number of further
-columns. A null text counts as empty; an empty table runs through all stages.
+columns. A null text counts as empty; an empty table runs through all stages. A stage frees its
+own tables before it returns, but for the narrow ones that its result reads; it touches nothing
+of another stage or run, so results may be read late and more than once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,53 +24,34 @@ LEAST_SHARE = 0.4
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_tables: list = []
-
-
-def stage(step: Stage) -> Stage:
-    """A stage that first frees what the stage before, whose result is written by now, has left in the shared folder."""
-
-    @wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        emptied(spark, _tables)
-        _tables.clear()
-        with tracked() as tables:
-            result = step(spark, docs, sf_dir)
-        _tables.extend(tables)
-        return result
-
-    return run
-
-
-@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a clear language go."""
     found = with_language(docs, docs).toDF(*docs.columns, "_pred", "_share")
     return found.filter((F.col("_pred") != UNDETERMINED) & (F.col("_share") >= LEAST_SHARE)).drop("_pred", "_share")
 
 
-@stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return drop_exact_copies(docs)
 
 
-@stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = linked_documents(docs, NEAR_WORDS, NEAR_SIMILARITY)
-    gone = groups.filter("component_id <> doc_id").select("doc_id")
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    The ids that go are written, and what the join has written is freed before the stage returns.
+    """
+    with tracked() as used:
+        groups = linked_documents(docs, NEAR_WORDS, NEAR_SIMILARITY)
+    gone = written(groups.filter("component_id <> doc_id").select("doc_id"), "near-duplicates")
+    emptied(spark, used)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-@stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are cut out; what has nothing left goes."""
     return strip_repeats(docs)
 
 
-@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left as pieces of training sequences."""
     return pack(docs)
