@@ -1,6 +1,7 @@
 """Surrogate fits on small frames: invariants rather than scores."""
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tunelake.catalog import Knob
@@ -8,6 +9,8 @@ from tunelake.operators import evaluate as ev
 from tunelake.operators import history as hi
 from tunelake.operators import splits as sp
 from tunelake.operators import surrogate as su
+from tunelake.operators.pipeline_stages import CostScale, surrogate_pipeline
+from tunelake.plans import models as plans
 
 CATALOG = [Knob("a", "real", 0.0, 1.0, 0.5), Knob("b", "integer", 0.0, 100.0, 1.0), Knob("c", "integer", 2.0, 2.0, 2.0)]
 
@@ -118,3 +121,23 @@ def test_group_mean_folds_of_groups_in_one_fold(spark):
 def test_flat_throughput_has_no_scale(samples):
     rows = su.training_rows(samples, CATALOG)
     assert su.with_scale(rows, 5.0, 5.0).filter("scaled IS NOT NULL").count() == 0
+
+
+def test_saved_pipeline_scores_raw_samples(spark, samples, tmp_path):
+    rows = su.training_rows(samples, CATALOG)
+    lo, top = hi.value_range(rows, "throughput").first()
+    models = su.fitted(su.with_scale(rows, lo, top), [su.random_forest(trees=5, depth=5), su.boosted_trees(rounds=3)])
+    surrogate_pipeline(CATALOG, models, lo, top).write().save(str(tmp_path / "p"))
+    loaded = PipelineModel.load(str(tmp_path / "p"))
+    assert loaded.stages[0].knobs() == CATALOG and type(loaded.stages[-1]) is CostScale
+    short = samples.limit(1).withColumn("inner_metrics", F.slice("inner_metrics", 1, 3)).withColumn("config_id", F.lit("short"))
+    got = {r.config_id: r.predicted_cost for r in loaded.transform(samples.unionByName(short)).collect()}
+    assert got == {r.config_id: r.predicted_cost for r in su.predict_cost(rows, models, lo, top).collect()}
+    assert "short" not in got and all(v < 0 for v in got.values())
+
+
+def test_a_constant_model_is_found_out(spark, samples, monkeypatch):
+    monkeypatch.setattr(plans, "on_surface", lambda rows: rows.withColumn("throughput", (F.col("throughput") - 100) * 2))
+    rows = su.training_rows(samples, CATALOG)
+    assert plans.explained(rows, [su.random_forest(trees=5, depth=6)]) > plans.LEAST_R2
+    assert plans.explained(rows, [su.random_forest(trees=1, depth=0)]) < 0.1

@@ -178,6 +178,11 @@ def chat_prompt(system: Column, instruction: Column, content: Column) -> Column:
     )
 
 
+def chat_turn(role: Column, content: Column) -> Column:
+    """One turn of a conversation as a block of the chat template."""
+    return F.concat(F.lit(CHAT_START), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")), F.lit(f"{CHAT_END}\n"))
+
+
 def replay_statements(text: Column) -> Column:
     """Statements for replay: breaks at `;` and line ends, a final empty piece is dropped."""
 

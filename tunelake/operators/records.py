@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tunelake.catalog import Knob
 from tunelake.constants import (
     BEST_INSTRUCTION,
+    CHAT_START,
     INSTRUCTION_TEXT,
     METRIC_NAMES,
     PROMPT_FEATURES,
@@ -27,6 +28,7 @@ from tunelake.functions.labels import RANGE, bucket_label, labels_of
 from tunelake.functions.scaling import bucket, clip_text, threshold_case
 from tunelake.functions.text import (
     chat_prompt,
+    chat_turn,
     feature_text,
     float_text,
     json_line,
@@ -144,6 +146,21 @@ def chat_prompts(records: DataFrame) -> DataFrame:
     return records.withColumn("prompt", chat_prompt(system, F.col("instruction"), F.col("input")))
 
 
+def conversation_prompts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, n_turns, prompt): all turns of a conversation in order as one chat text, with the assistant's turn opened.
+
+    A conversation that ends with an assistant is a whole example and stays closed. The text
+    of a conversation is one value, so its turns meet in one row; turns of one number come in
+    the order of role and text, those without a number first.
+    """
+    blocks = F.sort_array(F.collect_list(F.struct("turn", "role", "text", chat_turn(F.col("role"), F.col("text")).alias("block"))))
+    grouped = turns.groupBy(key).agg(blocks.alias("_turns"))
+    last = F.element_at("_turns", -1)["role"]
+    opener = F.when(last.eqNullSafe(F.lit("assistant")), F.lit("")).otherwise(F.lit(f"{CHAT_START}assistant\n"))
+    prompt = F.concat(F.array_join(F.transform("_turns", lambda t: t["block"]), ""), opener)
+    return grouped.select(key, F.size("_turns").cast("long").alias("n_turns"), prompt.alias("prompt"))
+
+
 def analytic_prompts(features: DataFrame, plan_texts: DataFrame, metrics: DataFrame) -> DataFrame:
     """One prompt per workload: features, all plans of its file, counters.
 

@@ -32,7 +32,7 @@ from tunelake.operators import records as rc
 from tunelake.operators import splits as sp
 from tunelake.operators.increments import SampleStore
 from tunelake.operators.node_trees import subtree_costs
-from tunelake.operators.skew import checked_broadcast, with_group_stats
+from tunelake.operators.skew import checked_broadcast, value_rank, with_group_stats
 from tunelake.plans import standins as st
 from tunelake.plans.tables import table
 from tunelake.session import scratch_path, written
@@ -865,6 +865,30 @@ def t5_chat_template(spark, sf_dir):
     return rc.chat_prompts(records).select("conv_id", "turn", "prompt")
 
 
+@query("t5_conversation_text", f"""
+SELECT conv_id, count(*) AS n_turns, string_agg('{CHAT_START}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CHAT_END}' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+  || CASE WHEN coalesce(last(role ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST), '') = 'assistant' THEN '' ELSE '{CHAT_START}assistant' || chr(10) END AS prompt
+FROM conversations GROUP BY conv_id""")
+def t5_conversation_text(spark, sf_dir):
+    return rc.conversation_prompts(table(spark, sf_dir, "conversations"))
+
+
+@query("l1_global_order", st.with_views(["results"], """
+SELECT run, name, qps, row_number() OVER (ORDER BY abs(qps) DESC, run, name) - 1 AS place FROM results"""))
+def l1_global_order(spark, sf_dir):
+    """The exact place of every result among those of all runs, the fastest first."""
+    return value_rank(st.results(spark, sf_dir), [F.abs("qps").desc(), F.col("run"), F.col("name")], "place")
+
+
+@query("l3_sample_slice", st.with_views(["runs"], """
+SELECT workload, config_id, place FROM (SELECT workload, config_id, row_number() OVER (ORDER BY workload, cost, run_ord) - 1 AS place, count(*) OVER () AS n FROM runs) WHERE place BETWEEN n // 4 AND n // 2"""))
+def l3_sample_slice(spark, sf_dir):
+    """The second quarter of all runs in the order of workload and cost; a slice from the middle needs no head to be ranked."""
+    ranked = value_rank(st.runs(spark, sf_dir), [F.col("workload"), F.col("cost"), F.col("run_ord")], "place")
+    n = F.lit(table(spark, sf_dir, "events").count())
+    return ranked.filter(F.col("place").between(F.floor(n / 4), F.floor(n / 2))).select("workload", "config_id", "place")
+
+
 _SQL_METRICS_TEXT = " || ".join(
     f"'{n}: ' || {sql_humanize_metric(f'inner_metrics[{i + 1}]')} || '; '" for i, n in enumerate(METRIC_NAMES)
 )
