@@ -3,8 +3,10 @@
 Sampled splitters range-partition the normalised bytes (their first bytes, a hash of all of
 them, then the id, so that a splitter has a bounded size and a group of copies may span
 partitions). The sort of each partition, which spills to disk, places equal texts side by
-side, and every row is compared in full with its neighbour. What one splitter separates is
-joined again by digest. Of equal texts the row with the largest id stays.
+side, and every row is compared in full with its neighbour. Equal neighbours are a run; a run
+inside its partition is a group, its first row, the one with the largest id, stays, and its
+length is the group's size. Only the first and the last run of a partition may go on behind a
+splitter; those, at most two for each partition, are put together by digest.
 
 Null and empty texts are equal; a null id is smaller than any other; of repeated rows with
 the same id and text one stays. An empty table gives an empty result.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunelake.llm.common import documents, id_and_text, shuffle_partitions, text_bytes
+from tunelake.operators.skew import salted_join
 from tunelake.session import written
 
 HEAD_BYTES = 64
@@ -85,18 +88,80 @@ def sorted_copies(rows: DataFrame, keep_rows: bool = False) -> DataFrame:
     return sorted_rows.mapInArrow(compare, schema)
 
 
+RUN = "doc_id long, digest string, run long, first boolean, single boolean, n long, border boolean"
+
+
+def content_runs(rows: DataFrame) -> DataFrame:
+    """Rows of (`doc_id`, `text`) in content order with the number of their run, and one row (`n` set) at the end of each run.
+
+    A run of one row that no border touches is told at once (`single`) and has no other row. A
+    run holds one row in memory, however long it is; texts that differ under one hash alternate
+    in it and are told apart by the comparison, so runs of a hash end together.
+    """
+    order = [F.col("_head"), F.col("_name"), F.col("doc_id").desc()]
+    dealt = with_sort_key(rows).repartitionByRange(shuffle_partitions(rows), *order).sortWithinPartitions(*order)
+    arrow = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("run", pa.int64()), ("first", pa.bool_()), ("single", pa.bool_()), ("n", pa.int64()), ("border", pa.bool_())])
+
+    def runs(batches):
+        number, key, out = TaskContext.get().partitionId() << 40, None, []
+        # Text -> [run, digest, rows so far, its first id, the first row if it is not given out yet], of one hash.
+        seen: dict[bytes, list] = {}
+        begun = False
+
+        def ended(border: bool):
+            for run, digest, n, first, waiting in seen.values():
+                if waiting and not border:
+                    yield (first, digest, run, True, True, None, None)
+                else:
+                    if waiting:
+                        yield (first, digest, run, True, False, None, None)
+                    yield (first, digest, run, None, None, n, border)
+
+        def flushed():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for doc_id, name, text in zip(batch.column("doc_id").to_pylist(), batch.column("_name").to_pylist(), text_bytes(batch), strict=True):
+                norm = text.lower()
+                if name != key:
+                    out.extend(ended(border=not begun))
+                    begun = begun or key is not None
+                    key, seen = name, {}
+                if norm in seen:
+                    run = seen[norm]
+                    if run[4]:
+                        out.append((run[3], run[1], run[0], True, False, None, None))
+                        run[4] = False
+                    run[2] += 1
+                    out.append((doc_id, run[1], run[0], False, False, None, None))
+                else:
+                    seen[norm] = [number, hashlib.sha256(norm).hexdigest(), 1, doc_id, True]
+                    number += 1
+            if out:
+                yield flushed()
+        out.extend(ended(border=True))
+        if out:
+            yield flushed()
+
+    return dealt.mapInArrow(runs, RUN)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = written(sorted_copies(id_and_text(docs, id_col, text_col)).drop("_repeat"), "exact-order")
-    first = F.max(F.struct("doc_id", (-F.col("_pos")).alias("pos")))
-    groups = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("group_size"), first.alias("_first"))
-    return rows.join(groups, "_digest").select(
-        "doc_id",
-        F.col("_first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("_pos") == -F.col("_first.pos")).alias("kept"),
-        F.col("_digest").alias("text_sha256"),
-    )
+    found = written(content_runs(id_and_text(docs, id_col, text_col)), "content-runs")
+    alone = found.filter("single").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
+    ends = found.filter("n IS NOT NULL").select("run", "digest", "n", F.col("doc_id").alias("head"), "border")
+    inside = ends.filter("NOT border").select("run", F.col("head").alias("keep_id"), F.col("n").alias("group_size"))
+    # At most a few rows for each partition; of equal texts in different partitions the largest id stays.
+    cut = ends.filter("border")
+    joined = cut.groupBy("digest").agg(F.max("head").alias("keep_id"), F.sum("n").alias("group_size"))
+    whole = inside.unionByName(cut.join(F.broadcast(joined), "digest").select("run", "keep_id", "group_size"))
+    members = found.filter("n IS NULL AND NOT single").select("doc_id", "digest", "run", "first")
+    sized = salted_join(members, whole, ["run"], ["doc_id"])
+    kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return alone.unionByName(sized.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256")))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
