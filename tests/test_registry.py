@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_points
 from tunelake.plans.tables import TABLES
 
-QUICK = ["q02_inner_join", "q05_band_join", "q36_window_average", "a2_crash_cap", "a10_confusion", "w3_incumbent_trace", "t2_best_records", "v3_plan_text", "s3_run_history"]
+QUICK = ["q02_inner_join", "q05_band_join", "q36_window_average", "a2_crash_cap", "a10_confusion", "w3_incumbent_trace", "t2_best_records", "v3_plan_text", "s3_run_history", "q05_interval_join", "q19_merged_distinct", "s4_metrics_files", "s6_committed_samples", "s14_run_pairs", "l3_sample_slice", "t5_conversation_text", "t2_incremental_records"]
 
 
 def test_names_and_checks_fit():
