@@ -1,4 +1,4 @@
-"""Groups from runs of the content sort, with groups that splitters cut."""
+"""Groups from runs of the content sort, with groups that splitters cut; lines of long texts."""
 
 import hashlib
 import random
@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from tunelake.llm import exact_dedup
+from tunelake.llm import exact_dedup, line_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -43,3 +43,14 @@ def test_texts_under_one_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "with_sort_key", lambda r, k=exact_dedup.with_sort_key: k(r).selectExpr("doc_id", "text", "CAST('' AS BINARY) AS _head", "0L AS _name"))
     got = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(str(tuple(r)) for r in got) == expected(rows)
+
+
+def test_lines_of_a_long_text(spark):
+    """Two copies of 100,000 lines: the second one keeps its short chunks only, as the lines before a change do."""
+    lines = [f"line {i}" for i in range(100_000)]
+    text = "\n".join(lines)
+    moved = "\n".join(["new first line", *lines])
+    got = {r.doc_id: r for r in line_dedup.without_repeated_chunks(spark.createDataFrame([(1, text), (2, moved), (3, text + "\n" + text)], SCHEMA)).collect()}
+    assert got[1].n_removed_lines == 0 and got[1].text == text
+    assert got[2].n_lines == 100_001 and got[2].n_removed_lines > 90_000
+    assert got[3].n_removed_lines > 180_000 and "line 99999" in (got[1].text or "")

@@ -7,7 +7,8 @@ for the first occurrence: in the document with the smallest id, there the first
 
 Hashes only find candidates; groups are made of equal bytes. What moves between tasks is the
 hash of each chunk, then the bytes of chunks whose hash occurs again. A chunk that very many
-documents share is counted before the shuffle.
+documents share is counted before the shuffle. Within a text chunks are sorted and compared
+with the one before, so a text of n chunks takes n log n steps.
 
 Null texts count as empty, one empty line. A null id comes after all others. Repeated rows are
 one document for the rule, so all copies of the row keep what the first one keeps. An empty
@@ -50,13 +51,33 @@ def chunks(text: Column) -> Column:
     return bound(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut)
 
 
-def long_chunks(found: Column) -> Column:
-    """Chunks of several lines, each body once, where it comes first."""
+def chosen(values: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The sorted elements for which `keep` holds of the element and the one before it (null for the first)."""
+
+    def use(found: Column) -> Column:
+        nothing = F.array(F.when(F.lit(False), F.get(found, F.lit(0))))
+        before = F.concat(nothing, F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))
+        return F.filter(F.zip_with(found, before, lambda x, b: F.when(keep(x, b), x)), lambda x: x.isNotNull())
+
+    return bound(F.sort_array(values), use)
+
+
+def by_body(found: Column) -> Column:
+    """The chunks of several lines as (body, pos), to be sorted: of equal bodies the first one comes first."""
     several = F.filter(found, lambda c: c["lines"] >= LEAST_LINES)
-    return bound(
-        several,
-        lambda cs: bound(F.transform(cs, lambda c: c["body"]), lambda bodies: F.filter(cs, lambda c, i: F.array_position(bodies, c["body"]) == i + 1)),
-    )
+    return F.transform(several, lambda c: F.struct(c["body"].alias("body"), c["pos"].alias("pos")))
+
+
+def long_chunks(found: Column) -> Column:
+    """(body, pos) of chunks of several lines, each body once, where it comes first."""
+    return chosen(by_body(found), lambda c, b: b.isNull() | (c["body"] != b["body"]))
+
+
+def marked(found: Column, key: Callable[[Column], Column], marks: Column) -> Column:
+    """Elements and marks as (key, kind, element), to be sorted: a mark, of kind 0, comes right before the elements with its key."""
+    elements = F.transform(found, lambda c: F.struct(key(c).alias("key"), F.lit(1).alias("kind"), c.alias("c")))
+    none = F.when(F.lit(False), F.get(found, F.lit(0)))
+    return F.concat(F.transform(marks, lambda m: F.struct(m.alias("key"), F.lit(0).alias("kind"), none.alias("c"))), elements)
 
 
 def removed_places(docs: DataFrame) -> DataFrame:
@@ -66,8 +87,12 @@ def removed_places(docs: DataFrame) -> DataFrame:
     again = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     hits = named.join(again, "name", "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("name").alias("names"))
     joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    wanted = F.filter(long_chunks(chunks(F.col("text"))), lambda c: F.array_contains(F.col("names"), F.xxhash64(c["body"])))
-    shared = written(joined.select("doc_id", F.explode(wanted).alias("c")).select("doc_id", "c.pos", "c.body"), "shared-chunks")
+    # Of chunks that share a name the second one is looked at without a mark as well; bodies decide later.
+    wanted = bound(
+        long_chunks(chunks(F.col("text"))),
+        lambda cs: chosen(marked(cs, lambda c: F.xxhash64(c["body"]), F.col("names")), lambda x, b: (x["kind"] == 1) & b["key"].eqNullSafe(x["key"])),
+    )
+    shared = written(joined.select("doc_id", F.explode(wanted).alias("w")).select("doc_id", "w.c.pos", "w.c.body"), "shared-chunks")
     first = shared.groupBy("body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     gone = shared.join(first, "body").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     return gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("places"))
@@ -81,13 +106,12 @@ def without_repeated_chunks(docs: DataFrame) -> DataFrame:
 
     def keep(found: Column) -> Column:
         """Short chunks stay; a long one stays where its body comes first, unless that place is on the list."""
-        return bound(
-            F.transform(found, lambda c: c["body"]),
-            lambda bodies: F.filter(
-                found,
-                lambda c, i: (c["lines"] < LEAST_LINES) | ((F.array_position(bodies, c["body"]) == i + 1) & ~F.array_contains(F.col("places"), c["pos"])),
-            ),
+        again = F.transform(chosen(by_body(found), lambda c, b: b["body"].eqNullSafe(c["body"])), lambda c: c["pos"])
+        stays = chosen(
+            marked(found, lambda c: c["pos"], F.array_union(again, F.col("places"))),
+            lambda x, b: (x["kind"] == 1) & ~(b["kind"].eqNullSafe(F.lit(0)) & b["key"].eqNullSafe(x["key"])),
         )
+        return F.transform(stays, lambda x: x["c"])
 
     found = joined.select("doc_id", bound(chunks(F.col("text")), lambda cs: F.struct(cs.alias("all"), keep(cs).alias("kept"))).alias("c"))
 
