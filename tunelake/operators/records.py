@@ -51,8 +51,8 @@ def best_label_json(knobs: Sequence[str], catalog: dict[str, Knob]) -> Column:
         if knob is None or knob.min is None or knob.max is None:
             lines.append(json_line(name, float_text(F.col(name).cast("double"))))
         else:
-            decile = f"cast(least(floor(({clip_text(f'`{name}`', knob.min, knob.max)}) * 100 / 10), 9) AS int)"
-            lines.append(F.expr(f"""concat('"{name}": "', element_at(array({labels}), {decile} + 1), '"')"""))
+            decile = f"if(`{name}` IS NULL, NULL, cast(least(floor(({clip_text(f'`{name}`', knob.min, knob.max)}) * 100 / 10), 9) AS int))"
+            lines.append(F.expr(f"""concat('"{name}": "', get(array({labels}), {decile}), '"')"""))
     return json_object_text(*lines)
 
 
