@@ -185,28 +185,6 @@ def _holdouts(spark, sf_dir, n):
     return usable, [sp.holdout_workloads(rows, r) for r in range(n)]
 
 
-VOTED_HOLDOUTS = 2
-
-
-@query("m6_voted_holdout", _SQL_SAMPLED + f""", names AS (SELECT DISTINCT workload FROM sampled), draws AS (SELECT unnest(range({VOTED_HOLDOUTS})) AS repeat),
-held AS (SELECT workload, repeat FROM names, draws QUALIFY row_number() OVER (PARTITION BY repeat ORDER BY md5(workload || ':42:' || repeat::VARCHAR)) <= 7),
-sizes AS (SELECT workload, count(*) AS size FROM sampled GROUP BY workload HAVING count(*) > {hi.MIN_SAMPLES})
-SELECT CAST(repeat AS INTEGER) AS repeat, CAST(sum(size) AS BIGINT) AS n, true AS learned, true AS best_kept FROM held JOIN sizes USING (workload) GROUP BY repeat""")
-def m6_voted_holdout(spark, sf_dir):
-    """Hold-outs by the vote of 500 trees and 100 rounds; the models of the best repeat are saved, loaded and give its score again."""
-    usable, holdouts = _holdouts(spark, sf_dir, VOTED_HOLDOUTS)
-    usable, holdouts = written(usable, "usable"), [written(h, "held") for h in holdouts]
-    scores, models = su.repeated_holdout(usable, holdouts, [su.random_forest(trees=500), su.boosted_trees()], most=QUERY_ROWS)
-    scores = written(scores, "scores")
-    best = scores.orderBy(F.col("r2").desc(), "repeat").first()
-    path = scratch_path(spark, "voted")
-    su.save_surrogate(models, 0.0, 100.0, path, spark)
-    loaded, _, _ = su.load_surrogate(path, spark)
-    test = usable.join(F.broadcast(holdouts[best["repeat"]]), "workload")
-    again = ev.r2(su.voted(test, loaded), "scaled", "prediction").first()["r2"]
-    return scores.select("repeat", "n", (F.col("r2") > LEAST_R2).alias("learned"), F.lit(abs(again - best["r2"]) < 1e-9).alias("best_kept"))
-
-
 def _saved_surrogate(spark, sf_dir):
     rows, lo, top = scaled_training(spark, sf_dir)
     path = scratch_path(spark, "surrogate")
