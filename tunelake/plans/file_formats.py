@@ -95,7 +95,7 @@ def s3_run_history(spark, sf_dir):
     docs = history_documents(spark, sf_dir)
     runs, configs = src.parse_runs(docs), src.parse_configs(docs)
     wide = src.wide_configs(configs, ["work_mem"], ["workload", "config_id"])
-    return runs.join(wide, ["workload", "config_id"]).select("workload", "run_ord", "config_id", "cost", "work_mem")
+    return hi.runs_with_config(runs, wide).select("workload", "run_ord", "config_id", "cost", "work_mem")
 
 
 def stored(docs: DataFrame, name: str, **options) -> DataFrame:
