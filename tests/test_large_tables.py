@@ -15,3 +15,7 @@ def plan(df):
 
 def test_parsed_histories_are_not_broadcast(spark, sf_dir):
     assert "BroadcastHashJoin" not in plan(__spark_entry__.queries()["s3_run_history"](spark, sf_dir))
+
+
+def test_histories_from_files_are_not_broadcast(spark, sf_dir):
+    assert "BroadcastHashJoin" not in plan(__spark_entry__.queries()["s3_history_files"](spark, sf_dir))
