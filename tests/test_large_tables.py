@@ -2,8 +2,13 @@
 
 import contextlib
 import io
+import random
+
+import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tunelake.operators.skew import interval_join, interval_totals
 
 
 def plan(df):
@@ -19,3 +24,24 @@ def test_parsed_histories_are_not_broadcast(spark, sf_dir):
 
 def test_histories_from_files_are_not_broadcast(spark, sf_dir):
     assert "BroadcastHashJoin" not in plan(__spark_entry__.queries()["s3_history_files"](spark, sf_dir))
+
+
+def test_interval_totals_equal_pairs_without_making_them(spark, sf_dir):
+    draw = random.Random(3)
+    points = [(draw.choice("ab"), draw.choice([-0.0, 0.0, 1.5, 2.0, draw.uniform(-9, 9)]), draw.randint(0, 9)) for _ in range(300)]
+    bands = [(i, draw.choice("abc"), low, low + draw.choice([-1.0, 0.0, 0.5, 3.0, float("inf")]), draw.random() < 0.5) for i, low in enumerate(draw.choice([-0.0, 1.5, draw.uniform(-9, 9)]) for _ in range(60))]
+    p = spark.createDataFrame(points + [("a", None, 1), ("b", float("nan"), 1), (None, 1.5, 1)], "k string, x double, q long").repartition(3)
+    b = spark.createDataFrame(bands + [(98, "a", None, 1.0, True), (99, "b", 0.0, float("nan"), True)], "id long, k string, lo double, hi double, shut boolean").repartition(3)
+    for is_open in (False, True):
+        got = interval_totals(p, b, "x", "lo", "hi", {"n": F.count(F.lit(1)), "s": F.sum("q")}, ["k"], is_open, "shut", "first", 5).collect()
+        found = {r.id: (r.n, r.s, r.first) for r in got if r.n}
+        want = {}
+        for i, k, lo, hi, shut in bands:
+            held = [(x, q) for pk, x, q in points if pk == k and (lo < x or lo == x and not is_open) and (x < hi or x == hi and shut)]
+            if held:
+                want[i] = (len(held), sum(q for _, q in held), min(x for x, _ in held))
+        assert found == want
+    joined = interval_join(p, b, "x", "lo", "hi", ["q"], totals={"n": F.count("q")})
+    assert "Join Inner" not in plan(joined)
+    pairs = {r.id: r.n for r in interval_join(p, b.drop("k"), "x", "lo", "hi", ["q"]).groupBy("id").agg(F.count("q").alias("n")).collect()}
+    assert {r.id: r.n for r in joined.collect() if r.n} == pairs

@@ -238,8 +238,9 @@ def q05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("s_suppkey") % 14
     bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") * 10).alias("lower"), (F.col("s_acctbal") * 10 + third * third * third).alias("upper"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    joined = interval_join(items, bands, "l_extendedprice", "lower", "upper", ["l_orderkey", "l_linenumber"])
-    found = joined.groupBy("s_suppkey").agg(F.count("l_orderkey").alias("n_items"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    totals = {"n_items": F.count("l_orderkey"), "qty": F.sum(F.col("l_quantity").cast("decimal(28,6)"))}
+    held = interval_join(items, bands, "l_extendedprice", "lower", "upper", ["l_orderkey", "l_linenumber"], totals=totals)
+    found = held.groupBy("s_suppkey").agg(F.sum("n_items").alias("n_items"), F.round(F.sum("qty").cast("double"), 2).alias("qty"))
     return bands.select("s_suppkey").join(found, "s_suppkey", "left").na.fill(0)
 
 
