@@ -45,3 +45,21 @@ def test_interval_totals_equal_pairs_without_making_them(spark, sf_dir):
     assert "Join Inner" not in plan(joined)
     pairs = {r.id: r.n for r in interval_join(p, b.drop("k"), "x", "lo", "hi", ["q"]).groupBy("id").agg(F.count("q").alias("n")).collect()}
     assert {r.id: r.n for r in joined.collect() if r.n} == pairs
+
+
+def test_residual_join_counts_borders_as_the_difference_does(spark, tmp_path):
+    """Balances within a few steps of the borders; the pairs themselves are not made."""
+    draw = random.Random(8)
+    customers = [(i, i % 3, draw.choice([-5000.0, 0.1, 17.37, draw.uniform(-1000, 5000)]), draw.choice(["A", "B"])) for i in range(80)]
+    near = [c * 2 for _, _, c, _ in customers] + [c + 6000 for _, _, c, _ in customers]
+    steps = [v + k * 2.0 ** draw.choice([-44, -42, -40, -39]) for v in near for k in (-2, -1, 0, 1, 2)]
+    suppliers = [(i, i % 3, v) for i, v in enumerate([*steps, float("nan"), float("inf"), None])]
+    spark.createDataFrame(customers + [(98, 1, float("nan"), "A"), (99, 2, None, "B")], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    query, sql = (f()["q06_residual_join"] for f in (__spark_entry__.queries, __spark_entry__.oracle_sql))
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = query(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == set(con.execute(sql).fetchall())
+    assert "s_nationkey#" not in plan(found)

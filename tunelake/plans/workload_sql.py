@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.operators.distinct import bitmap_counts, distinct_bitmaps, distinct_counts, merge_bitmaps, value_dictionary
-from tunelake.operators.skew import band_join, interval_join, with_group_stats
+from tunelake.operators.skew import band_join, interval_join, interval_totals, with_group_stats
 from tunelake.plans.tables import TABLES, table
 from tunelake.session import written
 
@@ -244,6 +244,34 @@ def q05_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.select("s_suppkey").join(found, "s_suppkey", "left").na.fill(0)
 
 
+def q06_residual_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a supplier and a customer of its nation, counted by the customers' bands of balances.
+
+    A customer of balance c meets the suppliers above 2 c whose difference to c, as a double, is below 6000.
+    That is so below c + 6000 less half of the step to the double before 6000, a sum of which the
+    rounding errors are kept, so that a supplier on the border is told as by the difference itself.
+    """
+    balance = F.col("c_acctbal")
+
+    def added(a: Column, b: Column) -> tuple[Column, Column]:
+        total = a + b
+        rest = total - a
+        return total, (a - (total - rest)) + (b - rest)
+
+    near, error = added(balance, F.lit(6000.0))
+    upper, beyond = added(near, error - 2.0**-41)
+    customers = table(spark, sf_dir, "customer").filter(F.abs(balance) < float("inf")).select(
+        F.col("c_nationkey").alias("nation"), "c_mktsegment", "c_acctbal", (balance * 2).alias("lower"), upper.alias("upper"), (beyond > 0).alias("closed")
+    )
+    bands = customers.groupBy(*customers.columns).agg(F.count(F.lit(1)).alias("weight"))
+    suppliers = table(spark, sf_dir, "supplier").filter(F.abs("s_acctbal") < float("inf")).select(F.col("s_nationkey").alias("nation"), "s_acctbal")
+    held = interval_totals(
+        suppliers, bands, "s_acctbal", "lower", "upper", {"n": F.count(F.lit(1))}, ["nation"], lower_open=True, upper_closed="closed", least="first"
+    )
+    lead = F.round(F.min(F.col("first") - balance), 2)
+    return held.filter("n > 0").groupBy("c_mktsegment").agg(F.sum(F.col("n") * F.col("weight")).alias("n_pairs"), lead.alias("least_lead"))
+
+
 def q19_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three distinct counts without a copy of the rows for each."""
     parts = table(spark, sf_dir, "part").filter(F.col("p_retailprice").between(950, 1700)).select("p_type", "p_brand", "p_size", "p_name")
@@ -295,6 +323,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _statement(sql) for name, sql in STATEMENTS.items()}
     out["q05_band_join"] = q05_band_join
     out["q05_interval_join"] = q05_interval_join
+    out["q06_residual_join"] = q06_residual_join
     out["q19_count_distinct"] = q19_count_distinct
     out["q19_merged_distinct"] = q19_merged_distinct
     out["q36_window_average"] = q36_window_average
