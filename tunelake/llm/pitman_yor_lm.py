@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import WordNames, documents, id_remainder, shuffle_partitions, slices_by_bytes, text_bytes
+from tunelake.llm.common import WordNames, documents, id_remainder, shuffle_partitions, slices_by_bytes, text_bytes, trimmed
 from tunelake.llm.table_counts import drawn_tables
 from tunelake.session import written
 
@@ -122,7 +122,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
     def add(batches):
         # parts are merged as they come in, so a bucket is held once however many units there are
         now, parts, size = None, [], 0
-        for batch in batches:
+        for batch in slices_by_bytes(batches, UNIT_BYTES):
             out = []
             for bucket, *part in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "entries", "contexts", "counts")), strict=True):
                 if bucket != now:
@@ -138,8 +138,8 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         yield batch_of([(now, *merge(parts))] if parts else [])
 
     schema = "bucket int, words binary, entries binary, contexts binary, counts binary"
-    sent = docs.mapInArrow(send, schema)
-    return sent.repartition(shuffle_partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(add, schema)
+    sent = docs.mapInArrow(trimmed(send), schema)
+    return sent.repartition(shuffle_partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(add), schema)
 
 
 @dataclass
@@ -191,8 +191,10 @@ def parent_probability(shared: Shared, sweep: int, customers: np.ndarray, parent
 
 
 def buckets_of(batch: pa.RecordBatch):
-    for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "entries", "contexts", "counts")), strict=True):
-        yield Bucket(*row)
+    """Buckets one after the other; Spark's batches hold many rows, whatever their bytes, so few are copied at a time."""
+    for some in slices_by_bytes([batch], UNIT_BYTES):
+        for row in zip(*(some.column(c).to_pylist() for c in ("bucket", "words", "entries", "contexts", "counts")), strict=True):
+            yield Bucket(*row)
 
 
 def summed(table: DataFrame, what: Callable[[Bucket], tuple[list[float], list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -220,7 +222,7 @@ def summed(table: DataFrame, what: Callable[[Bucket], tuple[list[float], list[np
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blob(r[1], "<f8") for r in rows], pa.binary())], ["slice", "sums"])
 
     schema = "slice int, sums binary"
-    rows = table.mapInArrow(part, schema).repartition(shuffle_partitions(table), "slice").mapInArrow(add, schema).collect()
+    rows = table.mapInArrow(trimmed(part), schema).repartition(shuffle_partitions(table), "slice").mapInArrow(trimmed(add), schema).collect()
     sums = {r["slice"]: np.frombuffer(r["sums"], "<f8") for r in rows}
     if not sums:
         return np.zeros(0), []
@@ -340,7 +342,7 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Dat
 
     def score(batches):
         now, scorer = None, None
-        for batch in batches:
+        for batch in slices_by_bytes(batches, UNIT_BYTES):
             out = []
             for bucket, unit, words, entries, contexts, counts, own, ids, held, tokens in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if unit is None:  # the bucket itself comes before the units
@@ -360,7 +362,7 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Dat
 
     def gather(batches):
         now = None
-        for batch in batches:
+        for batch in slices_by_bytes(batches, UNIT_BYTES):
             for unit, ids, held, tokens, *sums in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 if ids is not None:  # the list of documents comes first
                     if now:
@@ -384,10 +386,10 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Dat
     absent = {"unit": "long", "docs": "binary", "ids": "array<long>", "held_out": "binary", "tokens": "binary"}
     first = table.select(*[F.lit(None).cast(absent[c]).alias(c) if c in absent else F.col(c) for c in names])
     order = ["bucket", F.col("unit").asc_nulls_first()]
-    dealt_out = first.union(docs.mapInArrow(send, schema)).repartition(buckets, "bucket").sortWithinPartitions(*order)
-    parts = dealt_out.mapInArrow(score, "unit long, ids array<long>, held_out binary, tokens binary, known binary, base binary, score binary")
+    dealt_out = first.union(docs.mapInArrow(trimmed(send), schema)).repartition(buckets, "bucket").sortWithinPartitions(*order)
+    parts = dealt_out.mapInArrow(trimmed(score), "unit long, ids array<long>, held_out binary, tokens binary, known binary, base binary, score binary")
     by_unit = parts.repartition(shuffle_partitions(docs), "unit").sortWithinPartitions("unit", F.col("ids").isNull())
-    return by_unit.mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_unit.mapInArrow(trimmed(gather), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
