@@ -8,6 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tunelake.operators import node_trees
 from tunelake.operators.skew import interval_join, interval_totals
 
 
@@ -63,3 +64,21 @@ def test_residual_join_counts_borders_as_the_difference_does(spark, tmp_path):
     found = query(spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == set(con.execute(sql).fetchall())
     assert "s_nationkey#" not in plan(found)
+
+
+def test_small_trees_take_no_rounds_and_equal_doubling(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = []
+    for tree in range(40):
+        n = draw.choice([1, 2, 5, 20])
+        rows += [(tree, f"n{i}", None if i == 0 else draw.choice(["gone", f"n{draw.randrange(i)}"]), draw.randint(0, 8) / 4) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "tree long, node string, parent string, total_cost double").repartition(5)
+    calls = []
+    monkeypatch.setattr(node_trees, "written", lambda df, name, w=node_trees.written: calls.append(name) or w(df, name))
+    in_rows = node_trees.subtree_costs(nodes)
+    assert calls == ["tree-costs"]  # rounds are written as tree-jumps
+    doubled = node_trees.costs_by_doubling(nodes)
+    assert in_rows.dtypes == doubled.dtypes and len(rows) == in_rows.count()
+    assert set(map(tuple, in_rows.collect())) == set(map(tuple, doubled.collect()))
+    monkeypatch.setattr(node_trees, "IN_ROW", 5)
+    assert set(map(tuple, node_trees.subtree_costs(nodes).collect())) == set(map(tuple, doubled.collect()))
