@@ -3,13 +3,16 @@
 import contextlib
 import io
 import random
+import tarfile
 
 import duckdb
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tunelake.operators import node_trees
 from tunelake.operators.skew import interval_join, interval_totals
+from tunelake.sources import documents as docs
 
 
 def plan(df):
@@ -82,3 +85,29 @@ def test_small_trees_take_no_rounds_and_equal_doubling(spark, monkeypatch):
     assert set(map(tuple, in_rows.collect())) == set(map(tuple, doubled.collect()))
     monkeypatch.setattr(node_trees, "IN_ROW", 5)
     assert set(map(tuple, node_trees.subtree_costs(nodes).collect())) == set(map(tuple, doubled.collect()))
+
+
+def test_bundles_are_tar_and_plain_members_need_no_tarfile(spark, tmp_path, monkeypatch):
+    rows = [("a/b.json", "x"), ("a/c.json", ""), ("a/" + "n" * 98, "t" * 512), ("a/" + "n" * 120, "long name"), ("é.json", "ü" * 700), ("z.json", "after")]
+    target = str(tmp_path / "d")
+    docs.append_documents(spark.createDataFrame(rows, "path string, text string").coalesce(1), target, "1")
+    (bundle,) = [f.path for f in docs.listed(target)]
+    with tarfile.open(bundle) as tar:
+        assert [(m.name, tar.extractfile(m).read().decode()) for m in tar] == rows
+    assert {(r.path, r.text) for r in docs.read_documents(spark, target).collect()} == set(rows)
+    for path, text in rows:
+        member = tarfile.TarInfo(path)
+        member.size = len(text.encode())
+        assert docs.member_header(path, member.size) == member.tobuf(tarfile.PAX_FORMAT)
+    plain = tmp_path / "p.bundle.tar"
+    plain.write_bytes(docs.member_header("q.txt", 2) + b"hi".ljust(512, b"\0") + docs.BUNDLE_END)
+    monkeypatch.setattr(tarfile, "open", None)
+    assert list(docs.members(fs.LocalFileSystem(), str(plain), lambda _: True)) == [("q.txt", b"hi")]
+
+
+def test_repeated_append_does_not_make_its_rows_again(spark, tmp_path):
+    target = str(tmp_path / "d")
+    docs.append_documents(spark.createDataFrame([("a", "x")], "path string, text string"), target, "1")
+    failing = spark.range(1).select(F.lit("b").alias("path"), F.raise_error(F.lit("made again")).cast("string").alias("text"))
+    docs.append_documents(failing, target, "1")
+    assert docs.read_documents(spark, target).count() == 1

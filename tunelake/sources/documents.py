@@ -56,6 +56,7 @@ LOG_SCHEMA = "path string, offset long, time string, file string, line_no int, l
 # The first line of a log record, and how a bundle is named.
 LOG_HEAD = re.compile(rb"\[([^\]]*?):([^:\]]+)#L(\d+):([A-Z]+)\]: (.*)", re.DOTALL)
 BUNDLE, COMMITS = ".bundle.tar", "_commits"
+BUNDLE_END = bytes(1024)
 PARTITION_BYTES, BUNDLE_BYTES, BATCH_BYTES = 32 << 20, 64 << 20, 4 << 20
 
 
@@ -90,6 +91,47 @@ def committed_bundles(path: str) -> set[str]:
     return names
 
 
+# The header of a tar member without a name and size, and what its bytes other than these and the checksum add up to.
+BLANK = tarfile.TarInfo().tobuf(tarfile.USTAR_FORMAT)
+BLANK_SUM = sum(BLANK[:124]) + sum(BLANK[135:148]) + 8 * ord(" ") + sum(BLANK[156:])
+
+
+def member_header(path: str, size: int) -> bytes:
+    """The header of a bundle's member, what tarfile makes of it; short plain names are filled in, which takes a small part of the time."""
+    name, digits = path.encode(), b"%011o" % size
+    if len(name) > 100 or not name.isascii() or len(digits) > 11:
+        member = tarfile.TarInfo(path)
+        member.size = size
+        return member.tobuf(tarfile.PAX_FORMAT)
+    return b"%b%b%b%b%06o\0 %b" % (name.ljust(100, b"\0"), BLANK[100:124], digits, BLANK[135:148], BLANK_SUM + sum(name) + sum(digits), BLANK[156:])
+
+
+def members(system: fs.FileSystem, path: str, wanted: Callable[[str], bool]) -> Iterator[tuple[str, bytes]]:
+    """Names and contents of a bundle's wanted members; from the first one with a header that is not plain on, tarfile reads them."""
+    with system.open_input_file(path) as raw:
+        stream, offset = io.BufferedReader(pa.PythonFile(raw, mode="r"), 1 << 20), 0
+        while True:
+            head = stream.read(512)
+            if head[156:157] != b"0" or head[257:263] != b"ustar\0" or head[345:346] != b"\0" or head[124] & 0x80:
+                break
+            name, size = head[:100].rstrip(b"\0").decode(), int(head[124:136].rstrip(b" \0"), 8)
+            data = stream.read(size + -size % 512)
+            if len(data) < size:
+                raise tarfile.ReadError(f"unexpected end of {path}")
+            if wanted(name):
+                yield name, data[:size]
+            offset += 512 + size + -size % 512
+    with system.open_input_file(path) as raw:
+        raw.seek(offset)
+        if offset and not raw.read(512).strip(b"\0"):
+            return
+        raw.seek(offset)
+        with tarfile.open(fileobj=raw, mode="r|") as bundle:
+            for member in bundle:
+                if wanted(member.name):
+                    yield member.name, bundle.extractfile(member).read()
+
+
 def path_columns(path: str) -> dict[str, str]:
     folder, _, name = path.rpartition("/")
     return {"path": path, "name": name, "folder": folder.rpartition("/")[2]}
@@ -164,15 +206,20 @@ class DocumentReader(DataSourceReader):
         self.most = int(options.get("partition_bytes", PARTITION_BYTES))
         self.pushed = Pushed(["path", "name", "folder"])
 
-    def wanted(self, path: str) -> bool:
-        row = path_columns(path)
-        return fnmatch.fnmatchcase(row["name"], self.pattern) and self.pushed.keep()(row)
+    def choice(self) -> Callable[[str], bool]:
+        keep, named = self.pushed.keep(), re.compile(fnmatch.translate(self.pattern)).match
+
+        def wanted(path: str) -> bool:
+            row = path_columns(path)
+            return named(row["name"]) is not None and keep(row)
+
+        return wanted
 
     def partitions(self) -> list[InputPartition]:
         committed = committed_bundles(self.root)
-        groups, size = [[]], 0
+        groups, size, wanted = [[]], 0, self.choice()
         for info in listed(self.root):
-            if info.base_name in committed if info.base_name.endswith(BUNDLE) else self.wanted(info.path):
+            if info.base_name in committed if info.base_name.endswith(BUNDLE) else wanted(info.path):
                 if groups[-1] and size + info.size > self.most:
                     groups.append([])
                     size = 0
@@ -182,12 +229,11 @@ class DocumentReader(DataSourceReader):
 
     def documents(self, paths: list[str]) -> Iterator[tuple[str, str, str, str]]:
         system, _ = opened(self.root)
+        wanted = self.choice()
         for path in paths:
             if path.endswith(BUNDLE):
-                with system.open_input_stream(path) as stream, tarfile.open(fileobj=stream, mode="r|") as bundle:
-                    for member in bundle:
-                        if self.wanted(member.name):
-                            yield (*path_columns(member.name).values(), bundle.extractfile(member).read().decode())
+                for name, data in members(system, path, wanted):
+                    yield (*path_columns(name).values(), data.decode())
             else:
                 with system.open_input_stream(path) as stream:
                     yield (*path_columns(path).values(), stream.read().decode())
@@ -218,25 +264,23 @@ class DocumentWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Bundles:
         system, root = opened(self.root)
         system.create_dir(root, recursive=True)
-        names, n, stream, bundle, size = [], 0, None, None, 0
+        names, n, stream, size = [], 0, None, 0
         try:
             for batch in batches:
                 for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-                    if bundle is None or size >= self.most:
-                        if bundle is not None:
-                            bundle.close()
+                    if stream is None or size >= self.most:
+                        if stream is not None:
+                            stream.write(BUNDLE_END)
                             stream.close()
                         names.append(f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{BUNDLE}")
                         stream, size = system.open_output_stream(f"{root}/{names[-1]}"), 0
-                        bundle = tarfile.open(fileobj=stream, mode="w|", format=tarfile.PAX_FORMAT)
-                    data, member = (text or "").encode(), tarfile.TarInfo(path)
-                    member.size = len(data)
-                    bundle.addfile(member, io.BytesIO(data))
+                    data = (text or "").encode()
+                    stream.write(b"%b%b%b" % (member_header(path, len(data)), data, b"\0" * (-len(data) % 512)))
                     size += len(data) + 1024
                     n += 1
         finally:
-            if bundle is not None:
-                bundle.close()
+            if stream is not None:
+                stream.write(BUNDLE_END)
                 stream.close()
         return Bundles(names, n)
 
@@ -366,8 +410,11 @@ def read_log(spark: SparkSession, path: str, pattern: str = "*", pushdown: bool
 
 
 def append_documents(documents: DataFrame, path: str, commit_id: str | None = None, **options: str) -> None:
-    """Appends (path, text) rows; one with the same `commit_id` adds nothing a second time."""
+    """Appends (path, text) rows; one with the same `commit_id` adds nothing a second time, and does not make its rows again."""
     register_sources(documents.sparkSession)
     if commit_id:
+        system, root = opened(path)
+        if system.get_file_info(f"{root}/{COMMITS}/{commit_id}.json").type == fs.FileType.File:
+            return
         options["commit_id"] = commit_id
     documents.select("path", "text").write.format("telemetry_documents").mode("append").options(**options).save(path)
