@@ -4,6 +4,7 @@ import contextlib
 import io
 import random
 import tarfile
+from pathlib import Path
 
 import duckdb
 from pyarrow import fs
@@ -13,6 +14,7 @@ import __spark_entry__
 from tunelake.operators import node_trees
 from tunelake.operators.skew import interval_join, interval_totals
 from tunelake.sources import documents as docs
+from tunelake.sources import sinks
 
 
 def plan(df):
@@ -111,3 +113,15 @@ def test_repeated_append_does_not_make_its_rows_again(spark, tmp_path):
     failing = spark.range(1).select(F.lit("b").alias("path"), F.raise_error(F.lit("made again")).cast("string").alias("text"))
     docs.append_documents(failing, target, "1")
     assert docs.read_documents(spark, target).count() == 1
+
+
+def test_samples_are_written_compressed(spark, tmp_path):
+    samples = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("config_id"), *[(F.col("id") * i / 7).alias(f"a_long_name_{i}") for i in range(20)])
+    plain, target = str(tmp_path / "plain"), str(tmp_path / "samples")
+    samples.coalesce(1).write.json(plain)
+    for part in (F.col("a_long_name_1") < 9, F.col("a_long_name_1") >= 9):
+        sinks.write_samples(samples.filter(part).coalesce(1), target, append=True)
+    size = lambda p: sum(f.stat().st_size for f in Path(p).glob("part-*"))
+    assert 2 * size(target) < size(plain)
+    back = spark.read.schema(samples.schema).json(target)
+    assert sorted(back.collect()) == sorted(samples.collect())

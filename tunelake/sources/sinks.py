@@ -14,8 +14,8 @@ from tunelake.functions.text import float_text
 
 
 def write_samples(samples: DataFrame, path: str, append: bool = False) -> None:
-    """Samples as JSON lines, one file per task."""
-    samples.write.mode("append" if append else "overwrite").json(path)
+    """Samples as compressed JSON lines, one file per task; the names of the knobs are in every line."""
+    samples.write.mode("append" if append else "overwrite").json(path, compression="gzip")
 
 
 def committed(spark: SparkSession, path: str) -> list[str]:
