@@ -100,7 +100,9 @@ class SampleStore:
         after = self.spark.read.schema(STATE).parquet(f"{self.path}/state/{commit_id}")
         # A changed best run is one of this increment, and so is its configuration.
         best = changed_best(before, after).select("workload", "config_id", "cost", "run_ord")
-        renewed = best.join(configs, ["workload", "config_id"], "left").join(metrics, "workload", "left")
+        # Few configurations are those of changed best runs; they are chosen before their knobs are worked out.
+        wanted = configs.join(best.select("workload", "config_id"), ["workload", "config_id"], "left_semi")
+        renewed = best.join(wanted, ["workload", "config_id"], "left").join(metrics, "workload", "left")
         known = F.coalesce(*[F.col(k).cast("string") for k in self.knobs]).isNotNull() & F.col("inner_metrics").isNotNull()
         renewed.select(
             "workload",
