@@ -1,12 +1,14 @@
 """Forests that predict batch by batch, next to MLlib's own predictions."""
 
 import contextlib
+import hashlib
 import io
 
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tunelake.catalog import knob_records
 from tunelake.operators import forest_batches as fb
 from tunelake.operators import surrogate as su
 
@@ -70,3 +72,14 @@ def test_the_rows_of_a_fit_are_looked_for_once(rows):
     drawn = su.drawn_sample(keyed, 50)
     assert "TakeOrdered" not in plan(drawn) and "Range" not in plan(drawn)
     assert drawn.exceptAll(su.labelled_sample(keyed, 50)).count() == 0 and drawn.count() == 50
+
+
+def test_knobs_are_not_drawn_in_one_large_method(spark):
+    knobs = knob_records()
+    ids = spark.range(3).select(F.col("id").cast("string").alias("c"))
+    drawn = ids.select("c", *su.drawn_knobs("c", knobs))
+    line = next(x for x in plan(drawn).splitlines() if "AS " + knobs[0].knob in x)
+    assert "Project" in line and "*(" not in line
+    row = drawn.filter("c = '2'").first()
+    first = int(hashlib.md5(b"2:0").hexdigest()[:8], 16) / 2**32 * (knobs[0].max - knobs[0].min) + knobs[0].min
+    assert row[1] == (int(first) if knobs[0].type == "integer" else first)
