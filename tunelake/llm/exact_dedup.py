@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunelake.llm.common import documents, id_and_text, shuffle_partitions, text_bytes
+from tunelake.llm.common import documents, id_and_text, shuffle_partitions, slices_by_bytes, text_bytes, trimmed
 from tunelake.operators.skew import salted_join
 from tunelake.session import written
 
 HEAD_BYTES = 64
+# Bytes of a batch whose texts are copied at once; a batch of Spark's may be a whole partition.
+BATCH_BYTES = 1 << 20
 
 
 def with_sort_key(rows: DataFrame) -> DataFrame:
@@ -37,13 +39,13 @@ def with_sort_key(rows: DataFrame) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("_head", T.BinaryType()), T.StructField("_name", T.LongType())])
 
     def keys(batches):
-        for batch in batches:
+        for batch in slices_by_bytes(batches, BATCH_BYTES):
             norm = [t.lower() for t in text_bytes(batch)]
             heads = pa.array([t[:HEAD_BYTES] for t in norm], pa.binary())
             names = pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in norm], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, heads, names], [*batch.schema.names, "_head", "_name"])
 
-    return rows.mapInArrow(keys, schema)
+    return rows.mapInArrow(trimmed(keys), schema)
 
 
 def sorted_copies(rows: DataFrame, keep_rows: bool = False) -> DataFrame:
@@ -67,7 +69,7 @@ def sorted_copies(rows: DataFrame, keep_rows: bool = False) -> DataFrame:
     def compare(batches):
         pos = TaskContext.get().partitionId() << 40
         key, seen = None, {}
-        for batch in batches:
+        for batch in slices_by_bytes(batches, BATCH_BYTES):
             digests, repeats = [], []
             for name, text in zip(batch.column("_name").to_pylist(), text_bytes(batch), strict=True):
                 norm = text.lower()
@@ -85,7 +87,7 @@ def sorted_copies(rows: DataFrame, keep_rows: bool = False) -> DataFrame:
             pos += n
             yield out.filter(pc.invert(out.column("_repeat"))) if keep_rows else out
 
-    return sorted_rows.mapInArrow(compare, schema)
+    return sorted_rows.mapInArrow(trimmed(compare), schema)
 
 
 RUN = "doc_id long, digest string, run long, first boolean, single boolean, n long, border boolean"
@@ -122,7 +124,7 @@ def content_runs(rows: DataFrame) -> DataFrame:
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices_by_bytes(batches, BATCH_BYTES):
             for doc_id, name, text in zip(batch.column("doc_id").to_pylist(), batch.column("_name").to_pylist(), text_bytes(batch), strict=True):
                 norm = text.lower()
                 if name != key:
@@ -145,7 +147,7 @@ def content_runs(rows: DataFrame) -> DataFrame:
         if out:
             yield flushed()
 
-    return dealt.mapInArrow(runs, RUN)
+    return dealt.mapInArrow(trimmed(runs), RUN)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
